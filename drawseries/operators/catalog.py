@@ -121,11 +121,12 @@ def pair_predictions(pred: DataFrame, actual: DataFrame, key=("lottery", "fecha"
 # -- S7 / A3 ----------------------------------------------------------------
 
 def bulk_load(target_fact: DataFrame, draws: DataFrame, loterias: DataFrame, signos: DataFrame,
-              order: str = "k") -> tuple[DataFrame, DataFrame]:
+              order: str = "k", failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Staged bulk insert that ignores key conflicts.
 
     P5 → J2 → J4 on ``(fecha, loteria_id)``.  Returns (new fact table, report
-    rows per lottery: read, rejected, inserted, skipped).
+    rows per lottery: read, rejected, inserted, skipped; ``failed`` lotteries
+    report −1).
     """
     complete = drop_incomplete(draws)
     resolved, rejected = lookup_keys(complete, loterias, signos, case_insensitive=False)
@@ -137,7 +138,7 @@ def bulk_load(target_fact: DataFrame, draws: DataFrame, loterias: DataFrame, sig
     events = (draws.select("lottery", F.lit("read").alias("what"))
               .unionByName(rejected.select("lottery", F.lit("rejected").alias("what")))
               .unionByName(inserted.select("lottery", F.lit("inserted").alias("what"))))
-    report = load_report(events)
+    report = load_report(events, failed)
     return merged, report
 
 

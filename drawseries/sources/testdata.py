@@ -83,12 +83,10 @@ def loterias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signos(spark: SparkSession, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Sign dimension: the 12 codes in alphabetical order with ids 1..12."""
-    rows = sorted(c for c, _ in SIGN_NAMES if c not in drop)
+    """Sign dimension: the 12 codes in alphabetical order with ids 1..12 (``drop`` removes rows, ids stay)."""
     names = dict(SIGN_NAMES)
-    return spark.createDataFrame(
-        [(i + 1, c, names[c]) for i, c in enumerate(rows)],
-        "id int, codigo string, nombre string")
+    rows = [(i + 1, c, names[c]) for i, c in enumerate(sorted(names)) if c not in drop]
+    return spark.createDataFrame(rows, "id int, codigo string, nombre string")
 
 
 # ---------------------------------------------------------------------- F4 --
