@@ -40,16 +40,18 @@ def first_n(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def top3_numbers(scores: DataFrame, key: str = "lottery", per_position: int = 2, k: int = 3) -> DataFrame:
+def top3_numbers(scores: DataFrame, key: str | list[str] = "lottery", per_position: int = 2,
+                 k: int = 3) -> DataFrame:
     """T4: from per-(position, digit) scores, the ``k`` best 4-digit numbers.
 
     Per position the two best digits (score desc, smaller digit on ties); the
     16 combinations score the product of their four probabilities; the best
     three are kept (ties → smaller number).
     """
-    w = Window.partitionBy(key, "position").orderBy(F.col("score").desc(), F.col("digit").asc())
+    keys = [key] if isinstance(key, str) else list(key)
+    w = Window.partitionBy(*keys, "position").orderBy(F.col("score").desc(), F.col("digit").asc())
     best = scores.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_position)
-    per_key = best.groupBy(key).agg(*[
+    per_key = best.groupBy(*keys).agg(*[
         F.array_sort(F.collect_list(F.when(F.col("position") == p,
                                            F.struct(F.col("digit").alias("d"), F.col("score").alias("s")))))
         .alias(f"_p{p}") for p in range(4)])
@@ -69,9 +71,9 @@ def top3_numbers(scores: DataFrame, key: str = "lottery", per_position: int = 2,
     def combos():
         return F.flatten(F.transform(F.col("_p0"), hundreds))
 
-    ranked = per_key.select(key, F.slice(F.array_sort(combos()), 1, k).alias("_top"))
-    return ranked.select(key, F.posexplode("_top").alias("_i", "_c")).select(
-        key, (F.col("_i") + 1).alias("rank"), F.col("_c.number").alias("number"),
+    ranked = per_key.select(*keys, F.slice(F.array_sort(combos()), 1, k).alias("_top"))
+    return ranked.select(*keys, F.posexplode("_top").alias("_i", "_c")).select(
+        *keys, (F.col("_i") + 1).alias("rank"), F.col("_c.number").alias("number"),
         (-F.col("_c.neg_prob")).alias("prob"))
 
 
