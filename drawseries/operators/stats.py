@@ -114,6 +114,28 @@ def with_balanced_weight(df: DataFrame, label: str, key: str = "lottery", out: s
     return df.join(w, [key, label])
 
 
+def with_balanced_weights(df: DataFrame, labels: list[str], key: str = "lottery",
+                          prefix: str = "w_") -> DataFrame:
+    """A6 for several label columns at once: ``<prefix><label>`` weight columns.
+
+    One aggregation over a long (key, label name, class) table, folded into a
+    per-key map bounded by (labels × classes), joined back once.
+    """
+    long = df.select(key, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_t"), F.col(c).cast("string").alias("_v")) for c in labels])).alias("_e")) \
+        .select(key, "_e._t", "_e._v").where(F.col("_v").isNotNull())
+    counts = long.groupBy(key, "_t", "_v").agg(F.count(F.lit(1)).alias("_nc"))
+    tot = counts.groupBy(key, "_t").agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    w = counts.join(tot, [key, "_t"]).select(
+        key, F.concat_ws("\u0001", "_t", "_v").alias("_kv"), (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("_w"))
+    per_key = w.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_kv", "_w"))).alias("_wm"))
+    out = df.join(per_key, key, "left")
+    for c in labels:
+        out = out.withColumn(prefix + c, F.try_element_at(
+            F.col("_wm"), F.concat_ws("\u0001", F.lit(c), F.col(c).cast("string"))))
+    return out.drop("_wm")
+
+
 # -- A9 / A11 ---------------------------------------------------------------
 
 def lag_corr(draws: DataFrame, k: int = 1) -> DataFrame:
