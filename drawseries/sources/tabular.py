@@ -129,3 +129,21 @@ def new_rows(feed: DataFrame, target: DataFrame, today: str, upper_bound: bool =
     if upper_bound:
         keep = keep & (F.col("fecha") <= yesterday)
     return j.filter(keep).drop("_lot", "last_fecha")
+
+
+# -- versions ---------------------------------------------------------------
+
+def latest_version(spark: SparkSession, root: str, below: int | None = None) -> int | None:
+    """Highest ``v=<n>`` folder under ``root`` (optionally ``n < below``)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    found = []
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if name.startswith("v=") and name[2:].isdigit():
+            n = int(name[2:])
+            if below is None or n < below:
+                found.append(n)
+    return max(found) if found else None
