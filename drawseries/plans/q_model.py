@@ -147,7 +147,13 @@ def _persistence_predictions(spark, sf_dir):
                        F.col("series").alias("serie"), F.lit("persistence").alias("modelo"))
 
 
-@register("append_predictions", "lottery str, numero str, serie str, modelo str")
+_LATEST_SQL = td.with_ctes(["draws"], """
+SELECT lottery, lpad(CAST(result AS VARCHAR), 4, '0') AS numero, series AS serie, 'persistence' AS modelo
+FROM (SELECT *, row_number() OVER (PARTITION BY lottery ORDER BY seq DESC) AS rn FROM draws) d WHERE rn = 1""")
+
+
+@register("append_predictions", "lottery str, numero str, serie str, modelo str",
+          "SELECT * FROM (" + _LATEST_SQL + ") a UNION ALL SELECT * FROM (" + _LATEST_SQL + ") b")
 def q_append_predictions(spark, sf_dir):
     path = f"{ensure_checkpoint_dir(spark)}/predictions_{uuid.uuid4().hex}"
     preds = _persistence_predictions(spark, sf_dir)
@@ -156,7 +162,7 @@ def q_append_predictions(spark, sf_dir):
     return spark.read.json(path).select("lottery", "numero", "serie", "modelo")
 
 
-@register("write_batch", "lottery str, numero str, serie str, modelo str")
+@register("write_batch", "lottery str, numero str, serie str, modelo str", _LATEST_SQL)
 def q_write_batch(spark, sf_dir):
     root = f"{ensure_checkpoint_dir(spark)}/batch_{uuid.uuid4().hex}"
     path = S.write_batch(_persistence_predictions(spark, sf_dir), root, ts=dt.datetime(2024, 1, 1))
