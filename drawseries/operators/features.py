@@ -129,10 +129,15 @@ def _finish(df: DataFrame, passthrough: list[str], mode: str) -> DataFrame:
 
 
 def features(draws: DataFrame, mode: str = "recorded", block_rows: int | None = None,
-             halo: int = MAX_LOOKBACK, keep: tuple[str, ...] = ()) -> DataFrame:
+             halo: int = MAX_LOOKBACK, keep: tuple[str, ...] = (),
+             materialize_input: bool = True) -> DataFrame:
     """The 41 features per draw (see module doc).
 
     ``keep``: extra input columns carried to the output (e.g. ``series``).
+    ``materialize_input`` (block form): the narrow input is read by the main
+    pass and by both carry passes; it is checkpointed once so the source scan
+    and the ``seq`` derivation run once.  Pass ``False`` when the input is
+    already a stored table.
     """
     if mode not in ("recorded", "as_of"):
         raise ValueError(f"mode must be 'recorded' or 'as_of', not {mode!r}")
@@ -145,6 +150,9 @@ def features(draws: DataFrame, mode: str = "recorded", block_rows: int | None =
     passthrough = list(dict.fromkeys(["lottery", "seq", "fecha", "result", *keep]))
     if block_rows is None:
         return _finish(_plain(base, mode), passthrough, mode)
+    if materialize_input:
+        from ..session import checkpoint
+        base = checkpoint(base)
     return _finish(_blocked(base, mode, block_rows, halo), passthrough, mode)
 
 

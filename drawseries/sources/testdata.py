@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.sequence import add_seq
+from ..session import checkpoint
 
 # The twelve sign codes packed in zodiac order (3 letters each);
 # a customer key picks one by position.
@@ -58,7 +59,9 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max_by("result", "k").alias("result"),
         F.max_by("series", "k").alias("series"),
     )
-    return add_seq(dedup, "lottery", ["fecha"])
+    # several branches of a query read the draws: write them once (shared
+    # checkpoint folder) instead of re-deriving them from orders per branch
+    return checkpoint(add_seq(dedup, "lottery", ["fecha"]))
 
 
 def raw_old(spark, sf_dir):
