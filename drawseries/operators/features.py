@@ -57,6 +57,7 @@ DIGIT_PLACES = [1000, 100, 10, 1]
 
 LAGS = (1, 2, 3, 5, 7)
 MAX_LOOKBACK = 90           # longest bounded frame (freq_90)
+DEFAULT_BLOCK_ROWS = 1 << 16
 
 
 def digit(c: Column, place: int) -> Column:
@@ -128,11 +129,12 @@ def _finish(df: DataFrame, passthrough: list[str], mode: str) -> DataFrame:
     return df.select(*passthrough, *out, *labels)
 
 
-def features(draws: DataFrame, mode: str = "recorded", block_rows: int | None = None,
+def features(draws: DataFrame, mode: str = "recorded", block_rows: int | None = DEFAULT_BLOCK_ROWS,
              halo: int = MAX_LOOKBACK, keep: tuple[str, ...] = (),
              materialize_input: bool = True) -> DataFrame:
     """The 41 features per draw (see module doc).
 
+    ``block_rows=None`` selects the plain window form (one task per series).
     ``keep``: extra input columns carried to the output (e.g. ``series``).
     ``materialize_input`` (block form): the narrow input is read by the main
     pass and by both carry passes; it is checkpointed once so the source scan

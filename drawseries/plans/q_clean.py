@@ -223,7 +223,11 @@ def q_draw_parts(spark, sf_dir):
 @register("read_draws", DRAW_SPEC, td.with_ctes(
     ["draws"], "SELECT lottery, fecha, result, series FROM draws WHERE upper(lottery) = upper('2-high')"))
 def q_read_draws(spark, sf_dir):
-    return S.read_draws(td.draws(spark, sf_dir), "2-high")
+    """The draws are stored (partitioned by lottery) and read back with the
+    lottery predicate evaluated by the Parquet scan."""
+    root = f"{ensure_checkpoint_dir(spark)}/draws_{uuid.uuid4().hex}"
+    path = S.write_version(td.draws(spark, sf_dir), root, 0, partition_by=("lottery",))
+    return S.read_draws(path, "2-high", spark=spark, canonical_names=True)
 
 
 # -- S3 + P9 ----------------------------------------------------------------

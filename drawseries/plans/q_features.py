@@ -81,7 +81,7 @@ def _draw_features_sql():
 @register("features_recorded", f"{KEY_SPEC}, {FEATURE_SPEC}", _draw_features_sql())
 def q_features_recorded(spark, sf_dir):
     """W1–W41 over F1 draws, plain window form."""
-    return features(td.draws(spark, sf_dir))
+    return features(td.draws(spark, sf_dir), block_rows=None)
 
 
 @register("features_blocked", f"{KEY_SPEC}, {FEATURE_SPEC}", _draw_features_sql())
@@ -110,6 +110,15 @@ FROM f3""")
     return td.with_ctes(["draws"], body, extra)
 
 
+@register("seq_events_range", "lottery str, event_id int, seq int", td.with_ctes(
+    ["event_series"], "SELECT lottery, event_id, seq FROM event_series"))
+def q_seq_events_range(spark, sf_dir):
+    """Distributed seq with sampled range partitioning (skew-proof variant)."""
+    from ..operators.sequence import add_seq_range
+    e = td.table(spark, sf_dir, "events").select(F.col("event_type").alias("lottery"), "ts", "event_id")
+    return add_seq_range(e, "lottery", ["ts", "event_id"])
+
+
 @register("features_as_of", f"{KEY_SPEC}, {FEATURE_SPEC}, target int, target_series str", _as_of_sql())
 def q_features_as_of(spark, sf_dir):
     """Features of draw i labelled with draw i+1 (block form)."""

@@ -11,7 +11,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.clean import (ESSENTIAL, canonical_text, essential_columns, lottery_eq,
                                parse_fecha)
@@ -22,18 +21,24 @@ TEXT_SCHEMA = "fecha string, lottery string, result string, series string"
 
 # -- S2 ---------------------------------------------------------------------
 
-def read_draws(source, lottery: str | None = None, spark: SparkSession | None = None) -> DataFrame:
+def read_draws(source, lottery: str | None = None, spark: SparkSession | None = None,
+               canonical_names: bool = False) -> DataFrame:
     """All draws (of one lottery, case-insensitive) ordered by date.
 
-    ``source`` is a DataFrame or a parquet path; the lottery filter is a plain
-    predicate, so Parquet pushes it into the scan (store names upper-cased so
-    the predicate is an equality on the stored value).
+    ``source`` is a DataFrame or a parquet path.  Tables written by this
+    library store canonical (trimmed, upper-case) names; with
+    ``canonical_names=True`` the case-insensitive match becomes an equality on
+    the stored value, which Parquet evaluates in the scan (row-group and
+    partition pruning) instead of after it.
     """
     df = source if isinstance(source, DataFrame) else spark.read.parquet(source)
+    if lottery is not None:
+        if canonical_names:
+            df = df.filter(F.col("lottery") == lottery.strip().upper())
+        else:
+            df = df.filter(lottery_eq(lottery))
     df = df.select(F.col("fecha").cast("date").alias("fecha"), F.col("lottery").cast("string"),
                    F.col("result").cast("int"), F.col("series").cast("string"))
-    if lottery is not None:
-        df = df.filter(lottery_eq(lottery))
     return df.orderBy("fecha")
 
 
@@ -82,10 +87,18 @@ def merge_snapshot(old: DataFrame, new: DataFrame, key=("fecha", "lottery"),
     return dedupe_last(tagged, list(key), ["_src", order_col]).drop("_src")
 
 
-def write_version(df: DataFrame, root: str, version: int | str) -> str:
-    """Write a snapshot to a fresh versioned folder; never the folder being read."""
+def write_version(df: DataFrame, root: str, version: int | str,
+                  partition_by: tuple[str, ...] = ()) -> str:
+    """Write a snapshot to a fresh versioned folder; never the folder being read.
+
+    ``partition_by`` (e.g. ``("lottery",)``) lays files out by series so a
+    filter on it prunes whole folders.
+    """
     path = f"{root}/v={version}"
-    df.write.mode("errorifexists").parquet(path)
+    w = df.write.mode("errorifexists")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
     return path
 
 

@@ -123,7 +123,7 @@ def test_feature_types(spark):
 def test_block_form_equals_plain_on_events(spark):
     from drawseries.sources import testdata as td
     ev = td.event_series(spark, "/root/testdata/sf0.01")
-    plain = features(ev)
+    plain = features(ev, block_rows=None)
     block = features(ev, block_rows=300)
     cols = ["lottery", "seq"] + FEATURE_COLUMNS
     assert plain.select(cols).exceptAll(block.select(cols)).count() == 0
@@ -161,3 +161,13 @@ def test_repartition_invariance(spark):
     a = features(df.repartition(7))
     b = features(df.coalesce(1))
     assert a.exceptAll(b).count() == 0
+
+
+def test_range_seq_equals_row_number_with_hot_key(spark):
+    from drawseries.operators.sequence import add_seq_range
+    # one key holds most rows, many rows share an hour: the range variant splits it
+    rows = [("hot", i // 1000, i) for i in range(6000)] + [("cold", i, 10_000 + i) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, t bigint, id bigint")
+    a = add_seq_range(df, "k", ["t", "id"], partitions=7)
+    b = add_seq_plain(df, "k", ["t", "id"])
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
