@@ -19,6 +19,9 @@ SIGN_ALIASES = {
 
 # Accepted date layouts, tried in this order.
 DATE_PATTERNS = ["yyyy-M-d", "d/M/yyyy", "d-M-yyyy"]
+# shape of each layout; a parse is only attempted on text of that shape, so
+# failed attempts (which cost an exception each) stay rare
+_DATE_SHAPES = [r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{1,2}-\d{1,2}-\d{4}$"]
 
 
 def _c(c) -> Column:
@@ -58,8 +61,9 @@ def between_dates(lo: str, hi: str, col: str = "fecha") -> Column:
 
 def parse_fecha(c) -> Column:
     """First layout that parses (1-digit day and month accepted); else null."""
-    c = _c(c)
-    return F.coalesce(*[F.call_function("try_to_date", F.trim(c), F.lit(p)) for p in DATE_PATTERNS])
+    t = F.trim(_c(c))
+    return F.coalesce(*[F.when(t.rlike(shape), F.call_function("try_to_date", t, F.lit(p)))
+                        for p, shape in zip(DATE_PATTERNS, _DATE_SHAPES)])
 
 
 def sign_map() -> Column:
@@ -151,7 +155,8 @@ def finite_or_zero(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def clean_draws(df: DataFrame, sign_mode: str = "passthrough") -> DataFrame:
     """Text draw rows → typed draws; rows with any unusable field are dropped."""
-    typed = df.select(
+    from ..session import spread
+    typed = spread(df).select(
         parse_fecha("fecha").alias("fecha"),
         canonical_text("lottery").alias("lottery"),
         parse_number("result").alias("result"),

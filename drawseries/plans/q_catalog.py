@@ -169,3 +169,26 @@ FROM draws WHERE lottery IN ('{td.PAGE_LOTTERIES[0]}', '{td.PAGE_LOTTERIES[1]}')
           note="pages rendered from F1 (two tables, header and short rows, one single-table page)")
 def q_extract_result_rows(spark, sf_dir):
     return PG.extract_result_rows(td.result_pages(spark, sf_dir))
+
+
+# -- update from pages: S1 → P4 → J5 ----------------------------------------
+
+UPDATE_TODAY = "2030-01-01"
+
+
+@register("update_from_pages", DRAW_SPEC, td.with_ctes(["draws"], f"""
+SELECT CASE WHEN lottery = '{td.PAGE_LOTTERIES[1]}' THEN '{td.SECOND_TABLE_NAME}' ELSE lottery END AS lottery,
+       fecha, result, series
+FROM draws WHERE lottery IN ('{td.PAGE_LOTTERIES[0]}', '{td.PAGE_LOTTERIES[1]}')"""),
+          note="stored table holds draws before 1998; stored pages bring the rest")
+def q_update_from_pages(spark, sf_dir):
+    from ..sources.tabular import new_rows
+    d = td.draws(spark, sf_dir)
+    name = F.when(F.col("lottery") == td.PAGE_LOTTERIES[1], F.lit(td.SECOND_TABLE_NAME)) \
+        .otherwise(F.col("lottery"))
+    stored = d.filter(F.col("lottery").isin(*td.PAGE_LOTTERIES) & (F.col("fecha") < F.lit("1998-01-01").cast("date"))) \
+        .select(name.alias("lottery"), "fecha", "result", "series")
+    scraped = PG.extract_result_rows(td.result_pages(spark, sf_dir)).drop("page_id")
+    fresh = new_rows(scraped, stored, UPDATE_TODAY).withColumn("_arrival", F.lit(1))
+    merged = CT.upsert(stored.withColumn("_arrival", F.lit(0)), fresh, ["fecha", "lottery"], ["_arrival"])
+    return merged.drop("_arrival")

@@ -282,3 +282,20 @@ def q_last_date(spark, sf_dir):
     out = lots.join(marks, "lottery", "left")
     return out.withColumn("start_fecha", F.coalesce(
         "start_fecha", F.date_sub(F.lit(TODAY).cast("date"), 30)))
+
+
+# -- P12 --------------------------------------------------------------------
+
+@register("finite_or_zero", "lottery str, seq int, inv_units dbl, inv_tens dbl", td.with_ctes(["draws"], """
+SELECT lottery, seq,
+       CASE WHEN a IS NULL OR isinf(a) OR isnan(a) THEN 0.0 ELSE a END AS inv_units,
+       CASE WHEN b IS NULL OR isinf(b) OR isnan(b) THEN 0.0 ELSE b END AS inv_tens
+FROM (SELECT lottery, seq, pow(CAST(result % 10 AS DOUBLE), -1.0) AS a,
+             pow(CAST(CAST(floor(result / 10) AS BIGINT) % 10 AS DOUBLE), -1.0) AS b FROM draws) x"""))
+def q_finite_or_zero(spark, sf_dir):
+    """Reciprocal digits produce ±inf for a zero digit; P12 maps them to 0."""
+    d = td.draws(spark, sf_dir)
+    ratios = d.select("lottery", "seq",
+                      F.pow((F.col("result") % 10).cast("double"), F.lit(-1.0)).alias("inv_units"),
+                      F.pow((F.floor(F.col("result") / 10) % 10).cast("double"), F.lit(-1.0)).alias("inv_tens"))
+    return C.finite_or_zero(ratios, ["inv_units", "inv_tens"])

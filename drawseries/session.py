@@ -66,3 +66,17 @@ def checkpoint(df):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df):
+    """Round-robin an input that has fewer partitions than task slots.
+
+    Per-row CPU work (regex parsing, date parsing) on a file that cannot be
+    split would otherwise run in one task.  A no-op when the input already has
+    at least as many partitions as the cluster has slots — always the case
+    for large inputs — so it never adds a shuffle at scale.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df

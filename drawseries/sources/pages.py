@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import normalise_sign, parse_fecha, parse_number
+from ..session import spread
 
 # The marker that selects the second table.
 SECOND_TABLE_MARKER = "LUNA"
@@ -36,7 +37,7 @@ def _text(c):
 def extract_result_rows(pages: DataFrame) -> DataFrame:
     tables = F.regexp_extract_all(F.col("html"), F.lit(_TABLE), 1)
     idx = F.when(F.upper(F.col("lottery")).contains(SECOND_TABLE_MARKER), 1).otherwise(0)
-    picked = pages.select("page_id", "lottery", tables.alias("_tables"), idx.alias("_idx")) \
+    picked = spread(pages).select("page_id", "lottery", tables.alias("_tables"), idx.alias("_idx")) \
         .filter(F.size("_tables") >= 2) \
         .select("page_id", "lottery", F.element_at("_tables", F.col("_idx") + 1).alias("_table"))
     rows = picked.select("page_id", "lottery", F.posexplode(
