@@ -43,7 +43,8 @@ def random_split(df: DataFrame, test_size: float, seed: int, key=("lottery", "se
 
 # -- training frame ---------------------------------------------------------
 
-def training_frame(as_of: DataFrame, sign_labels: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+def training_frame(as_of: DataFrame, sign_labels: list[str] | None = None,
+                   weights: bool = True) -> tuple[DataFrame, list[str]]:
     """Labels (4 digits + sign index), class weights and the feature vector.
 
     The sign index is alphabetical over every sign present (P13); returned
@@ -61,7 +62,9 @@ def training_frame(as_of: DataFrame, sign_labels: list[str] | None = None) -> tu
     code = F.array_position(F.array(*[F.lit(s) for s in sign_labels]), F.col("target_series"))
     df = df.withColumn("y_series", F.when(code > 0, (code - 1).cast("double")))
     df = VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="features").transform(df)
-    labelled = with_balanced_weights(df.filter(F.col("target").isNotNull()), TARGETS, key="lottery")
+    labelled = df.filter(F.col("target").isNotNull())
+    if weights:
+        labelled = with_balanced_weights(labelled, TARGETS, key="lottery")
     return labelled, sign_labels
 
 
@@ -113,7 +116,7 @@ def warm_start_fit(train: DataFrame, cand: Candidate, extra_trees: int = 50) ->
     return fit_digit_models(train, bigger)
 
 
-def fit_per_lottery(train: DataFrame, cand: Candidate, lotteries: list[str], parallelism: int = 4) -> dict:
+def fit_per_lottery(train: DataFrame, cand: Candidate, lotteries: list[str], parallelism: int = 8) -> dict:
     """H2 per series: every lottery is trained on its own draws.
 
     Each fit is a distributed MLlib job; fits of different (series, target)
