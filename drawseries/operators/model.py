@@ -230,13 +230,47 @@ def predict_latest(frame_all: DataFrame, models: dict, sign_labels: list[str]) -
     return numbers, signs
 
 
-def score_dates(frame_all: DataFrame, models: dict, start: str, end: str) -> DataFrame:
-    """H7: one prediction row per (date, lottery) in ``[start, end]`` from each
-    series' latest state (the features carry no calendar input)."""
+def score_dates(frame_all: DataFrame, models: dict, start: str | None = None, end: str | None = None,
+                next_n: int | None = None, dates: list[str] | None = None) -> DataFrame:
+    """H7: one prediction row per (date, lottery) from each series' latest
+    state (the features carry no calendar input).  Dates: the range
+    ``[start, end]``, the ``next_n`` days after each series' last draw, or an
+    explicit list."""
     latest = predict_number(score(frame_all.filter(F.col("target").isNull()), models))
-    spine = latest.select("lottery", "pred_number", F.explode(
-        F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("fecha"))
-    return spine.select("fecha", "lottery", F.lpad(F.col("pred_number").cast("string"), 4, "0").alias("numero"))
+    if dates is not None:
+        days = F.array(*[F.lit(d).cast("date") for d in dates])
+    elif next_n is not None:
+        days = F.sequence(F.date_add("fecha", 1), F.date_add("fecha", next_n))
+    else:
+        days = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    spine = latest.select("lottery", "pred_number", F.explode(days).alias("_day"))
+    return spine.select(F.col("_day").alias("fecha"), "lottery",
+                        F.lpad(F.col("pred_number").cast("string"), 4, "0").alias("numero"))
+
+
+def eligible_lotteries(frame: DataFrame, min_rows: int = 50) -> list[str]:
+    """Series with at least ``min_rows`` training rows (P11 gate before H6)."""
+    counts = frame.groupBy("lottery").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
+    return [r[0] for r in counts.select("lottery").orderBy("lottery").collect()]
+
+
+def select_best(results: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """H4: best candidate per (lottery, target), chosen independently for the
+    result score and the sign score (strictly better wins, so the earlier
+    candidate keeps ties).  With a registry, its best entry is the warm
+    baseline a candidate has to beat."""
+    long = results.select("lottery", "candidate", F.explode(F.array(
+        F.struct(F.lit("result").alias("target"), F.col("result_acc").alias("accuracy")),
+        F.struct(F.lit("series").alias("target"), F.col("series_acc").alias("accuracy")))).alias("_t")) \
+        .select("lottery", F.col("candidate").cast("bigint").alias("candidate"), "_t.*")
+    if registry is not None:
+        from .training import best_model
+        reg = best_model(registry)
+        long = long.unionByName(reg.select("lottery", F.lit(-1).cast("bigint").alias("candidate"),
+                                           "target", "accuracy"))
+    key = F.struct(F.coalesce(F.col("accuracy"), F.lit(0.0)).alias("a"), (-F.col("candidate")).alias("c"))
+    return long.groupBy("lottery", "target").agg(
+        F.max_by(F.struct("candidate", "accuracy"), key).alias("_b")).select("lottery", "target", "_b.*")
 
 
 # -- H11 --------------------------------------------------------------------

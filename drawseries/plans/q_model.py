@@ -34,8 +34,9 @@ def _frame(spark, sf_dir):
     return assembled, latest, labels
 
 
-def _lotteries(df):
-    return [r[0] for r in df.select("lottery").distinct().orderBy("lottery").collect()]
+def _lotteries(df, train=None):
+    """Series to model: those with enough training rows (P11 gate)."""
+    return M.eligible_lotteries(train if train is not None else df, min_rows=50)
 
 
 @register("ml_random_split", "lottery str, seq int, is_test bool")
@@ -47,7 +48,7 @@ def q_ml_random_split(spark, sf_dir):
 @register("ml_predict_latest", "lottery str, rank int, number int, prob dbl")
 def q_ml_predict_latest(spark, sf_dir):
     train, latest, labels = _frame(spark, sf_dir)
-    models = M.fit_per_lottery(train, SMALL, _lotteries(latest))
+    models = M.fit_per_lottery(train, SMALL, _lotteries(latest, train))
     numbers, _signs = M.predict_latest(latest.withColumn("target", F.lit(None).cast("int")), models, labels)
     return numbers
 
@@ -55,7 +56,7 @@ def q_ml_predict_latest(spark, sf_dir):
 @register("ml_top3_signs", "lottery str, rank int, cls int, sign str, prob dbl")
 def q_ml_top3_signs(spark, sf_dir):
     train, latest, labels = _frame(spark, sf_dir)
-    models = M.fit_per_lottery(train, SMALL, _lotteries(latest))
+    models = M.fit_per_lottery(train, SMALL, _lotteries(latest, train))
     _numbers, signs = M.predict_latest(latest.withColumn("target", F.lit(None).cast("int")), models, labels)
     return signs
 
@@ -71,6 +72,17 @@ def q_ml_search(spark, sf_dir):
     return board
 
 
+@register("ml_select_best", "lottery str, target str, candidate int, accuracy dbl")
+def q_ml_select_best(spark, sf_dir):
+    """H4: best candidate per (lottery, target) against a registered baseline."""
+    train, _latest, _labels = _frame(spark, sf_dir)
+    cands = M.draw_candidates(M.GRID_TEST, 2, rng_seed=1)
+    res = M.search(train, cands, test_size=0.2, split_seed=42)
+    registered = TR.registry_long(td.history(spark, sf_dir)).withColumn(
+        "accuracy", F.col("accuracy") / 10)          # a weak registered baseline
+    return M.select_best(res, registered)
+
+
 @register("ml_feature_importance", "target str, feature str, importance dbl, rank int")
 def q_ml_feature_importance(spark, sf_dir):
     train, _latest, _labels = _frame(spark, sf_dir)
@@ -83,11 +95,8 @@ def q_ml_feature_importance(spark, sf_dir):
 @register("ml_score_dates", "fecha date, lottery str, numero str")
 def q_ml_score_dates(spark, sf_dir):
     train, latest, _labels = _frame(spark, sf_dir)
-    models = M.fit_per_lottery(train, SMALL, _lotteries(latest))
-    last = latest.agg(F.max("fecha")).collect()[0][0]
-    start = last + dt.timedelta(days=1)
-    return M.score_dates(latest.withColumn("target", F.lit(None).cast("int")), models,
-                         start.isoformat(), (start + dt.timedelta(days=6)).isoformat())
+    models = M.fit_per_lottery(train, SMALL, _lotteries(latest, train))
+    return M.score_dates(latest.withColumn("target", F.lit(None).cast("int")), models, next_n=7)
 
 
 @register("ml_boosted_candidate", "lottery str, n int, unidades_acc dbl")
@@ -121,7 +130,7 @@ def q_ml_warm_start(spark, sf_dir):
 def q_ml_register_models(spark, sf_dir):
     train, latest, _labels = _frame(spark, sf_dir)
     split = M.random_split(train, 0.2, 42)
-    lots = _lotteries(latest)
+    lots = _lotteries(latest, train)
     models = M.fit_per_lottery(split.filter(~F.col("is_test")), SMALL, lots)
     acc = {(r["lottery"]): r for r in M.accuracy_table(M.score(split.filter(F.col("is_test")), models)).collect()}
     rows, saved = [], {}

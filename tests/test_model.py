@@ -89,3 +89,25 @@ def test_feature_guard(spark, learnable):
     with pytest.raises(ValueError):
         M.apply_models(short, {"y_miles": Fake()})
     assert models["y_miles"].numFeatures == 41
+
+
+def test_select_best_is_per_target_and_respects_baseline(spark):
+    res = spark.createDataFrame(
+        [("L", 0, 0.30, 0.10), ("L", 1, 0.30, 0.20), ("L", 2, 0.25, 0.05)],
+        "lottery string, candidate int, result_acc double, series_acc double")
+    best = {(r.target): (r.candidate, r.accuracy) for r in M.select_best(res).collect()}
+    assert best == {"result": (0, 0.30), "series": (1, 0.20)}      # ties keep the earlier candidate
+    reg = spark.createDataFrame([("L", "series", 0.5, 7)], "lottery string, target string, accuracy double, k bigint")
+    best = {(r.target): r.candidate for r in M.select_best(res, reg).collect()}
+    assert best == {"result": 0, "series": -1}                      # the registered model stays
+
+
+def test_score_dates_variants(spark, learnable):
+    as_of, frame, labels = learnable
+    models = M.fit_per_lottery(frame, M.Candidate(n_estimators=3, max_depth=3), ["S"])
+    from pyspark.ml.feature import VectorAssembler
+    latest = VectorAssembler(inputCols=M.FEATURE_COLUMNS, outputCol="features").transform(as_of)
+    assert M.score_dates(latest, models, next_n=5).count() == 5
+    assert M.score_dates(latest, models, start="2030-01-01", end="2030-01-10").count() == 10
+    assert M.score_dates(latest, models, dates=["2030-02-01", "2030-03-01"]).count() == 2
+    assert M.eligible_lotteries(frame, min_rows=10_000) == []
