@@ -20,6 +20,7 @@ HEADLINE = [
     "clean_draws", "read_draws_tabular", "extract_result_rows", "upsert", "bulk_load_report",
     "acf", "lag_corr", "classification_report", "top3_numbers", "alerts", "converged",
     "backtest_frequency", "backtest_metrics", "flagship",
+    "ingest_stream", "ml_predict_latest", "backtest_rf",
 ]
 
 
