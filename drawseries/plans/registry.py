@@ -89,7 +89,12 @@ def register(name: str, spec: str, sql: str | None = None, note: str = ""):
 
 def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     q = REGISTRY[name]
-    return lambda spark, sf_dir: canon_spark(q.build(spark, sf_dir), q.spec)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # the library's date/time semantics are defined in UTC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return canon_spark(q.build(spark, sf_dir), q.spec)
+    return run
 
 
 def oracle(name: str) -> str | None:
