@@ -109,6 +109,18 @@ def upsert(target: DataFrame, new: DataFrame, key: list[str], order: list[str])
         .select(*cols)
 
 
+def extend_dimension(dim: DataFrame, names: DataFrame, name_col: str = "nombre") -> DataFrame:
+    """J4 on a dimension: names not present yet are appended with the next ids
+    (in name order); existing ids never change."""
+    from pyspark.sql.window import Window
+    new = names.select(F.col(name_col)).dropna().distinct().join(dim.select(name_col), name_col, "left_anti")
+    top = dim.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]      # one scalar
+    # the new names are distinct dimension members (a handful), ranked once
+    added = new.select((F.lit(top) + F.row_number().over(Window.orderBy(name_col))).cast("int").alias("id"),
+                       name_col)
+    return dim.select("id", name_col).unionByName(added)
+
+
 # -- J6 ---------------------------------------------------------------------
 
 def pair_predictions(pred: DataFrame, actual: DataFrame, key=("lottery", "fecha")) -> DataFrame:

@@ -230,6 +230,23 @@ def predict_latest(frame_all: DataFrame, models: dict, sign_labels: list[str]) -
     return numbers, signs
 
 
+def prediction_records(numbers: DataFrame, signs: DataFrame, model_name: str = "rf") -> DataFrame:
+    """Nested prediction record per series: top-1 number (4 characters) and
+    sign, the top-3 lists with probabilities, confidence (top-1 probability),
+    model name and timestamp — the S4 log layout."""
+    n = numbers.groupBy("lottery").agg(F.array_sort(F.collect_list(
+        F.struct("rank", F.struct(F.col("number").alias("value"), F.col("prob").alias("prob")).alias("v")))).alias("_n"))
+    s = signs.groupBy("lottery").agg(F.array_sort(F.collect_list(
+        F.struct("rank", F.struct(F.col("sign").alias("value"), F.col("prob").alias("prob")).alias("v")))).alias("_s"))
+    top_n = F.transform("_n", lambda x: x["v"])
+    top_s = F.transform("_s", lambda x: x["v"])
+    return n.join(s, "lottery").select(
+        "lottery", F.lpad(top_n[0]["value"].cast("string"), 4, "0").alias("numero"),
+        top_s[0]["value"].alias("serie"), top_n.alias("top3_numeros"), top_s.alias("top3_signos"),
+        top_n[0]["prob"].alias("confianza"), F.lit(model_name).alias("modelo"),
+        F.current_timestamp().alias("timestamp"))
+
+
 def score_dates(frame_all: DataFrame, models: dict, start: str | None = None, end: str | None = None,
                 next_n: int | None = None, dates: list[str] | None = None) -> DataFrame:
     """H7: one prediction row per (date, lottery) from each series' latest

@@ -192,3 +192,24 @@ def q_update_from_pages(spark, sf_dir):
     fresh = new_rows(scraped, stored, UPDATE_TODAY).withColumn("_arrival", F.lit(1))
     merged = CT.upsert(stored.withColumn("_arrival", F.lit(0)), fresh, ["fecha", "lottery"], ["_arrival"])
     return merged.drop("_arrival")
+
+
+# -- J4 on a dimension --------------------------------------------------------
+
+@register("extend_loterias", "id int, nombre str", td.with_ctes(["raw_old", "raw_new"], """
+WITH_DIM
+SELECT id, nombre FROM dim
+UNION ALL
+SELECT CAST((SELECT max(id) FROM dim) + row_number() OVER (ORDER BY nombre) AS INT) AS id, nombre FROM (
+  SELECT DISTINCT lottery AS nombre FROM raw_new WHERE lottery NOT IN (SELECT nombre FROM dim)) n""".replace(
+    "WITH_DIM\n", ""), ["""dim AS (SELECT CAST(row_number() OVER (ORDER BY nombre) AS INT) AS id, nombre
+  FROM (SELECT DISTINCT lottery AS nombre FROM raw_old WHERE lottery NOT IN ('2-HIGH', '5-LOW')) d)"""]))
+def q_extend_loterias(spark, sf_dir):
+    """Stored dimension lacks two lotteries; the new rows bring them (next ids)."""
+    from ..operators.sequence import add_seq
+    old_names = td.raw_old(spark, sf_dir).select(F.col("lottery").alias("nombre")) \
+        .filter(~F.col("nombre").isin("2-HIGH", "5-LOW")).distinct()
+    dim = add_seq(old_names.withColumn("_all", F.lit(1)), "_all", ["nombre"]) \
+        .select(F.col("seq").cast("int").alias("id"), "nombre")
+    names = td.raw_new(spark, sf_dir).select(F.col("lottery").alias("nombre"))
+    return CT.extend_dimension(dim, names)

@@ -61,6 +61,19 @@ def q_ml_top3_signs(spark, sf_dir):
     return signs
 
 
+@register("ml_prediction_log", "lottery str, numero str, serie str, n_numbers int, n_signs int, modelo str")
+def q_ml_prediction_log(spark, sf_dir):
+    """H6 → S4: nested prediction records appended to a JSON log and read back."""
+    train, latest, labels = _frame(spark, sf_dir)
+    models = M.fit_per_lottery(train, SMALL, _lotteries(latest, train))
+    numbers, signs = M.predict_latest(latest.withColumn("target", F.lit(None).cast("int")), models, labels)
+    path = f"{ensure_checkpoint_dir(spark)}/prediction_log_{uuid.uuid4().hex}"
+    S.append_predictions(M.prediction_records(numbers, signs).drop("timestamp"), path)
+    log = spark.read.json(path)
+    return log.select("lottery", "numero", "serie", F.size("top3_numeros").alias("n_numbers"),
+                      F.size("top3_signos").alias("n_signs"), "modelo")
+
+
 @register("ml_search", "candidate int, lottery str, n int, result_acc dbl, series_acc dbl, n_estimators int, "
                        "max_depth int, rank int, is_elite bool")
 def q_ml_search(spark, sf_dir):

@@ -81,8 +81,15 @@ def write_batch(df: DataFrame, root: str, ts: _dt.datetime | None = None) -> str
 
 def merge_snapshot(old: DataFrame, new: DataFrame, key=("fecha", "lottery"),
                    order_col: str = "k") -> DataFrame:
-    """Concat, keep the last arrival per key (new after old, then ``order_col``)."""
+    """Concat, keep the last arrival per key (new after old, then ``order_col``).
+
+    As in the snapshot writer this re-implements, de-duplication only runs
+    when the old snapshot has rows; otherwise the new rows are taken as they
+    are.
+    """
     from ..operators.catalog import dedupe_last
+    if old.isEmpty():
+        return new
     tagged = old.withColumn("_src", F.lit(0)).unionByName(new.withColumn("_src", F.lit(1)))
     return dedupe_last(tagged, list(key), ["_src", order_col]).drop("_src")
 

@@ -76,3 +76,20 @@ def test_validate_reports_every_reason(spark):
     assert good.count() == 1
     assert bad.collect()[0].reasons == ["lottery: empty", "result: outside 0..9999",
                                          "fecha: unparseable", "series: required"]
+
+
+def test_merge_snapshot_dedupes_only_with_old_rows(spark):
+    from drawseries.sources.tabular import merge_snapshot
+    schema = "fecha string, lottery string, result int, series string, k int"
+    new = spark.createDataFrame([("d1", "A", 1, "ARI", 1), ("d1", "A", 2, "ARI", 2)], schema)
+    assert merge_snapshot(spark.createDataFrame([], schema), new).count() == 2
+    old = spark.createDataFrame([("d0", "A", 9, "ARI", 0)], schema)
+    out = {(r.fecha, r.result) for r in merge_snapshot(old, new).collect()}
+    assert out == {("d0", 9), ("d1", 2)}
+
+
+def test_extend_dimension_keeps_ids(spark):
+    dim = spark.createDataFrame([(1, "B"), (2, "D")], "id int, nombre string")
+    names = spark.createDataFrame([("C",), ("A",), ("B",), (None,)], "nombre string")
+    out = {r.nombre: r.id for r in CT.extend_dimension(dim, names).collect()}
+    assert out == {"B": 1, "D": 2, "A": 3, "C": 4}
