@@ -100,20 +100,20 @@ def q_validate_draws(spark, sf_dir):
 @register("lottery_eq", "lottery str, fecha date, result int", td.with_ctes(
     ["draws"], "SELECT lottery, fecha, result FROM draws WHERE upper(lottery) = upper('3-medium')"))
 def q_lottery_eq(spark, sf_dir):
-    return td.draws(spark, sf_dir).filter(C.lottery_eq("3-medium")).select("lottery", "fecha", "result")
+    return td.stored_draws(spark, sf_dir).filter(C.lottery_eq("3-medium")).select("lottery", "fecha", "result")
 
 
 @register("lottery_contains", "lottery str, fecha date, result int", td.with_ctes(
     ["draws"], "SELECT lottery, fecha, result FROM draws WHERE contains(upper(lottery), upper('high'))"))
 def q_lottery_contains(spark, sf_dir):
-    return td.draws(spark, sf_dir).filter(C.lottery_contains("high")).select("lottery", "fecha", "result")
+    return td.stored_draws(spark, sf_dir).filter(C.lottery_contains("high")).select("lottery", "fecha", "result")
 
 
 @register("between_dates", "lottery str, fecha date, result int", td.with_ctes(
     ["draws"], """SELECT lottery, fecha, result FROM draws
 WHERE fecha BETWEEN DATE '1996-03-01' AND DATE '1996-03-31'"""))
 def q_between_dates(spark, sf_dir):
-    return td.draws(spark, sf_dir).filter(C.between_dates("1996-03-01", "1996-03-31")) \
+    return td.stored_draws(spark, sf_dir).filter(C.between_dates("1996-03-01", "1996-03-31")) \
         .select("lottery", "fecha", "result").orderBy("fecha")
 
 
