@@ -50,7 +50,7 @@ _CLEAN_SQL = f"""cleaned AS (
   WHERE fecha IS NOT NULL AND lottery IS NOT NULL AND result IS NOT NULL AND series IS NOT NULL)"""
 
 
-@register("lookup_keys", "k int, lottery str, series str, loteria_id int, signo_id int, resolved bool",
+@register("lookup_keys", "k int, lottery str, series str, loteria_id nint, signo_id nint, resolved bool",
           td.with_ctes(["raw", "loterias", "signos"], """
 SELECT c.k, c.lottery, c.series, l.id AS loteria_id, s.id AS signo_id,
        l.id IS NOT NULL AND s.id IS NOT NULL AS resolved

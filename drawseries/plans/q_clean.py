@@ -50,7 +50,7 @@ def q_parse_fecha(spark, sf_dir):
     return d.select("k", F.col("fecha").alias("raw"), C.parse_fecha("fecha").alias("fecha"))
 
 
-@register("parse_number", "k int, raw str, result int", _dirty_sql(
+@register("parse_number", "k int, raw str, result nint", _dirty_sql(
     f"SELECT k, result AS raw, {Q.parse_number('result')} AS result FROM dirty"))
 def q_parse_number(spark, sf_dir):
     d = td.dirty_draws(spark, sf_dir)

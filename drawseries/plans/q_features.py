@@ -119,7 +119,7 @@ def q_seq_events_range(spark, sf_dir):
     return add_seq_range(e, "lottery", ["ts", "event_id"])
 
 
-@register("features_as_of", f"{KEY_SPEC}, {FEATURE_SPEC}, target int, target_series str", _as_of_sql())
+@register("features_as_of", f"{KEY_SPEC}, {FEATURE_SPEC}, target nint, target_series str", _as_of_sql())
 def q_features_as_of(spark, sf_dir):
     """Features of draw i labelled with draw i+1 (block form)."""
     return features(td.draws(spark, sf_dir), mode="as_of", block_rows=512)

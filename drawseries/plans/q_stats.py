@@ -131,7 +131,7 @@ def q_running_best(spark, sf_dir):
     return TR.running_best(td.history(spark, sf_dir))
 
 
-@register("converged", "run_id int, attempt int, converged bool, range_result dbl, range_series dbl, stop_attempt int",
+@register("converged", "run_id int, attempt int, converged bool, range_result dbl, range_series dbl, stop_attempt nint",
           td.with_ctes(["history"], """
 SELECT *, min(CASE WHEN converged THEN attempt END) OVER (PARTITION BY run_id) AS stop_attempt FROM (
   SELECT run_id, attempt, range_result, range_series,
@@ -147,7 +147,7 @@ def q_converged(spark, sf_dir):
     return TR.converged(td.history(spark, sf_dir))
 
 
-@register("plateau", "run_id int, attempt int, since_improvement int, stop bool, stop_attempt int",
+@register("plateau", "run_id int, attempt int, since_improvement int, stop bool, stop_attempt nint",
           td.with_ctes(["history"], """
 SELECT *, min(CASE WHEN stop THEN attempt END) OVER (PARTITION BY run_id) AS stop_attempt FROM (
   SELECT run_id, attempt, since_improvement, since_improvement >= 5 AS stop FROM (

@@ -1,8 +1,10 @@
 """Named queries: a Spark plan, its DuckDB oracle SQL, and one output spec.
 
 The output spec fixes every column's canonical type for comparison:
-``int`` → BIGINT, ``dbl`` → DOUBLE rounded to 6 places, ``str`` → STRING,
-``date`` → ISO text, ``bool`` → BOOLEAN.  Both sides are projected through the
+``int`` → BIGINT, ``nint`` (integer that can be null) → DOUBLE, ``dbl`` →
+DOUBLE rounded to 6 places, ``str`` → STRING, ``date`` → ISO text, ``bool`` →
+BOOLEAN.  ``nint`` exists because the two engines hand nullable integers to
+pandas differently (float64 vs Int64); as DOUBLE both agree.  Both sides are projected through the
 same spec, so names and types agree by construction.
 """
 
@@ -44,6 +46,8 @@ def canon_spark(df: DataFrame, spec) -> DataFrame:
         c = F.col(name)
         if kind == "int":
             c = c.cast("bigint")
+        elif kind == "nint":
+            c = c.cast("bigint").cast("double")
         elif kind == "dbl":
             c = F.round(c.cast("double"), 6)
         elif kind == "str":
@@ -64,6 +68,8 @@ def canon_sql(body: str, spec) -> str:
         q = f'q."{name}"'
         if kind == "int":
             e = f"CAST({q} AS BIGINT)"
+        elif kind == "nint":
+            e = f"CAST(CAST({q} AS BIGINT) AS DOUBLE)"
         elif kind == "dbl":
             e = f"round(CAST({q} AS DOUBLE), 6)"
         elif kind == "str":
