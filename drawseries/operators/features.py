@@ -15,8 +15,9 @@ Two physical forms give identical values:
   inside one ``(lottery, block)`` partition.  Task size is bounded by
   ``B + halo + 1`` however long (or skewed) a series is.  The two features
   with unbounded look-back get a carry from earlier blocks through small
-  per-block tables: the start of the current up/down run (``racha``), and
-  the last date each number came (``dias_desde_ultimo``).
+  per-block tables: the start of the current up/down run (``racha``, from a
+  narrow 2-row-halo pass), and the last date each number came
+  (``dias_desde_ultimo``, injected as one virtual row per block and number).
 
 ``mode='recorded'`` returns the feature row of every draw (column parity with
 the reference: many of these columns contain the draw's own result).
@@ -179,6 +180,9 @@ def _plain(base: DataFrame, mode: str) -> DataFrame:
     return step2.withColumn("racha", (F.col("_s") * (F.col("seq") - start + 1)).cast("int"))
 
 
+VIRTUAL_SEQ = -(10 ** 15)       # sorts before every real row, outside every range frame
+
+
 def _blocked(base: DataFrame, mode: str, B: int, H: int) -> DataFrame:
     seq = F.col("seq")
     own = F.floor((seq - 1) / F.lit(B)).cast("bigint")
@@ -187,15 +191,40 @@ def _blocked(base: DataFrame, mode: str, B: int, H: int) -> DataFrame:
         F.array(own),
         F.when(pos >= B - H, F.array(own + 1)).otherwise(F.array().cast("array<bigint>")),
         F.when((pos == 0) & (own > 0), F.array(own - 1)).otherwise(F.array().cast("array<bigint>")))
-    exp = base.withColumn("_own", own).select("*", F.explode(targets).alias("_block"))
+    real = base.withColumn("_own", own).withColumn("_virtual", F.lit(False)) \
+        .select("*", F.explode(targets).alias("_block"))
+
+    # last-seen carry as data: for every (block, number) that occurs in the
+    # block, one virtual row holding the number's last date in earlier blocks.
+    # It sorts first among that number's rows, so lag picks it up when the
+    # block and halo hold no earlier occurrence; it is dropped before the
+    # row-frame windows, which therefore never see it.
+    last_in_block = base.groupBy("lottery", own.alias("_block"), "result") \
+        .agg(F.max_by("fecha", "seq").alias("_last"))
+    by_number = Window.partitionBy("lottery", "result").orderBy("_block")
+    virtual = last_in_block.select("lottery", "_block", "result",
+                                   F.lag("_last").over(by_number).alias("fecha")) \
+        .filter(F.col("fecha").isNotNull()) \
+        .select("lottery", F.lit(VIRTUAL_SEQ).cast("bigint").alias("seq"), "fecha", "result",
+                *[F.lit(None).cast(base.schema[c].dataType).alias(c)
+                  for c in base.columns if c not in ("lottery", "seq", "fecha", "result")],
+                F.lit(-1).cast("bigint").alias("_own"), F.lit(True).alias("_virtual"), "_block")
+    # one shuffle by (lottery, block) serves both window families: it clusters
+    # (lottery, block, number) too
+    exp = real.unionByName(virtual).repartition("lottery", "_block")
 
     w = Window.partitionBy("lottery", "_block").orderBy("seq")
     wr = Window.partitionBy("lottery", "_block", "result").orderBy("seq")
     bounded = _bounded_columns(w, wr)
+    per_number = {k: bounded.pop(k) for k in ("freq_10", "freq_30", "freq_90")}
+    # 1) per-number windows, virtual rows included (they sit outside every range frame)
+    step_a = exp.select("*", *[v.alias(k) for k, v in per_number.items()],
+                        F.lag("fecha").over(wr).alias("_prev_fecha")) \
+        .filter(~F.col("_virtual"))
+    # 2) row-frame windows over real rows only (same partitioning, no shuffle)
     s = F.coalesce(F.signum(F.col("result") - F.lag("result").over(w)), F.lit(0.0)).cast("int")
-    step1 = exp.select("*", *[v.alias(k) for k, v in bounded.items()], s.alias("_s"),
-                       F.lag("fecha").over(wr).alias("_prev_fecha"),
-                       *(_labels(w) if mode == "as_of" else []))
+    step1 = step_a.select("*", *[v.alias(k) for k, v in bounded.items()], s.alias("_s"),
+                          *(_labels(w) if mode == "as_of" else []))
     prev_s = F.lag("_s").over(w)
     is_own = F.col("_block") == F.col("_own")
     # change points only on the block's own rows: the first halo row has no lag
@@ -203,33 +232,31 @@ def _blocked(base: DataFrame, mode: str, B: int, H: int) -> DataFrame:
     step2 = step1.withColumn("_cp", cp) \
         .withColumn("_start", F.max("_cp").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
         .filter(is_own)
-
-    # carry 1: last run start in any earlier block (one row per block)
-    per_block = step2.groupBy("lottery", "_block").agg(F.max("_cp").alias("_bcp"))
-    earlier = Window.partitionBy("lottery").orderBy("_block") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    run_carry = per_block.select("lottery", "_block",
-                                 F.max("_bcp").over(earlier).alias("_carry_start"))
-
-    # carry 2: last date of each number before the block; computed from the
-    # base rows (no window), one row per (block, number) that occurs
-    last_in_block = base.groupBy("lottery", F.floor((seq - 1) / F.lit(B)).cast("bigint")
-                                 .alias("_block"), "result") \
-        .agg(F.max_by("fecha", "seq").alias("_last"))
-    by_number = Window.partitionBy("lottery", "result").orderBy("_block")
-    seen = last_in_block.select("lottery", "_block", "result",
-                                F.lag("_last").over(by_number).alias("_before")) \
-        .filter(F.col("_before").isNotNull())
-    # per block a map number -> last earlier date; bounded by the number domain
-    seen_map = seen.groupBy("lottery", "_block").agg(
-        F.map_from_entries(F.collect_list(F.struct("result", "_before"))).alias("_seen"))
-
-    carries = run_carry.join(seen_map, ["lottery", "_block"], "left")
-    joined = step2.join(carries, ["lottery", "_block"], "left")
+    joined = step2.join(_run_carry(base, B), ["lottery", "_block"], "left")
     start = F.coalesce(F.col("_start"), F.col("_carry_start"))
-    prev_fecha = F.coalesce(F.col("_prev_fecha"), F.element_at(F.col("_seen"), F.col("result")))
     return joined.withColumn("racha", (F.col("_s") * (seq - start + 1)).cast("int")) \
-        .withColumn("dias_desde_ultimo", F.datediff("fecha", prev_fecha))
+        .withColumn("dias_desde_ultimo", F.datediff("fecha", F.col("_prev_fecha")))
+
+
+def _run_carry(base: DataFrame, B: int) -> DataFrame:
+    """Per block, the start of the up/down run in progress when the block
+    begins: the last change point of any earlier block.  A narrow pass over
+    (lottery, seq, result) with a 2-row halo finds each block's last change
+    point; a prefix max over the (small) per-block table carries it forward."""
+    seq = F.col("seq")
+    own = F.floor((seq - 1) / F.lit(B)).cast("bigint")
+    pos = (seq - 1) % B
+    blocks = F.when(pos >= B - 2, F.array(own, own + 1)).otherwise(F.array(own))
+    nb = base.select("lottery", "seq", "result", own.alias("_own")).select("*", F.explode(blocks).alias("_block"))
+    w = Window.partitionBy("lottery", "_block").orderBy("seq")
+    sgn = F.coalesce(F.signum(F.col("result") - F.lag("result").over(w)), F.lit(0.0))
+    steps = nb.select("lottery", "seq", "_own", "_block", sgn.alias("_s"))
+    prev = F.lag("_s").over(w)
+    cps = steps.select("lottery", "_block", F.when(
+        (F.col("_block") == F.col("_own")) & (prev.isNull() | (F.col("_s") != prev)), F.col("seq")).alias("_cp"))
+    per_block = cps.groupBy("lottery", "_block").agg(F.max("_cp").alias("_bcp"))
+    earlier = Window.partitionBy("lottery").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return per_block.select("lottery", "_block", F.max("_bcp").over(earlier).alias("_carry_start"))
 
 
 def assembled_columns() -> list[str]:

@@ -101,6 +101,23 @@ def q_features_events_blocked(spark, sf_dir):
     return features(td.event_series(spark, sf_dir), block_rows=1024)
 
 
+def _line_features_sql():
+    extra, body = features_sql("line_series")
+    return td.with_ctes(["line_series"], body, extra)
+
+
+@register("features_single_series_blocked", f"{KEY_SPEC}, {FEATURE_SPEC}", _line_features_sql(),
+          note="all line items as ONE series: block form spreads it over many tasks")
+def q_features_single_series_blocked(spark, sf_dir):
+    return features(td.line_series(spark, sf_dir), block_rows=16384)
+
+
+@register("features_single_series_plain", f"{KEY_SPEC}, {FEATURE_SPEC}", _line_features_sql(),
+          note="same input, plain windows: one task for the whole series (comparison point)")
+def q_features_single_series_plain(spark, sf_dir):
+    return features(td.line_series(spark, sf_dir), block_rows=None)
+
+
 def _as_of_sql():
     extra, body = features_sql("draws")
     body = body.replace("FROM f3", """, lead(result) OVER (PARTITION BY lottery ORDER BY seq) AS target,

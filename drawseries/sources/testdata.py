@@ -123,6 +123,22 @@ def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_seq(base, "lottery", ["ts", "event_id"])
 
 
+# --------------------------------------------------------------------- F11 --
+
+LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def line_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """every line item as one single series (the fully skewed case: one
+    key holds all rows), in ship-date order with a unique tie-break."""
+    li = table(spark, sf_dir, "lineitem")
+    base = li.select(
+        F.lit("ALL").alias("lottery"), *LINE_ORDER,
+        F.col("l_shipdate").cast("date").alias("fecha"),
+        (F.floor("l_extendedprice").cast("bigint") % 10000).cast("int").alias("result"))
+    return add_seq(base, "lottery", LINE_ORDER)
+
+
 # ---------------------------------------------------------------------- F5 --
 
 def digit_long(df: DataFrame, value: str = "result") -> DataFrame:
@@ -269,6 +285,11 @@ SQL_CTES: dict[str, str] = {
          CAST(CAST(floor(value * 100) AS BIGINT) % 10000 AS INT) AS result,
          row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq
   FROM events)""",
+    "line_series": """line_series AS (
+  SELECT 'ALL' AS lottery, CAST(l_shipdate AS DATE) AS fecha,
+         CAST(CAST(floor(l_extendedprice) AS BIGINT) % 10000 AS INT) AS result,
+         row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq
+  FROM lineitem)""",
     "pairs": """pairs AS (
   SELECT * FROM (
     SELECT lottery, fecha, seq, result AS real, series AS real_series,
