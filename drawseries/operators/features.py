@@ -66,8 +66,38 @@ def digit(c: Column, place: int) -> Column:
     return (F.floor(c / F.lit(place)) % 10).cast("int")
 
 
+def _prefix_columns(w: WindowSpec) -> list[Column]:
+    """Running sums, row index and first value inside the window partition.
+
+    Rolling means and deviations are differences of these (O(1) per row);
+    sliding aggregate frames would re-aggregate every frame row for every row.
+    Sums are exact 64-bit integers (values < 10^4, frames ≤ 31 rows).
+    """
+    r = F.col("result").cast("bigint")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    return [F.sum(r).over(upto).alias("_s1"), F.sum(r * r).over(upto).alias("_s2"),
+            F.row_number().over(w).alias("_c"), F.first("result").over(upto).alias("_first")]
+
+
+def _frame_stats(w: WindowSpec, lo: int, hi: int) -> tuple[Column, Column]:
+    """Mean and sample standard deviation of ``result`` over rows i+lo .. i+hi
+    (hi = 0 or -1), from the running sums; null where the frame has too few rows."""
+    def frame_sum(c):
+        upper = F.col(c) if hi == 0 else F.lag(c, -hi).over(w)
+        lower = F.lag(c, -lo + 1).over(w)
+        return F.coalesce(upper, F.lit(0)) - F.coalesce(lower, F.lit(0))
+    n = F.least(F.lit(hi - lo + 1), F.col("_c") + hi).cast("bigint")
+    s1, s2 = frame_sum("_s1"), frame_sum("_s2")
+    mean = F.when(n > 0, s1 / n)
+    var = (n * s2 - s1 * s1).cast("double") / (n * (n - 1)).cast("double")
+    std = F.when(n >= 2, F.sqrt(var))
+    return mean, std
+
+
 def _bounded_columns(w: WindowSpec, wr: WindowSpec) -> dict[str, Column]:
-    """Every feature whose frame reaches at most ``MAX_LOOKBACK`` rows back."""
+    """Every feature whose frame reaches at most ``MAX_LOOKBACK`` rows back.
+
+    Expects the ``_prefix_columns`` of ``w`` on the input."""
     r = F.col("result")
     lag = {k: F.lag(r, k).over(w) for k in LAGS}
     c: dict[str, Column] = {}
@@ -83,23 +113,19 @@ def _bounded_columns(w: WindowSpec, wr: WindowSpec) -> dict[str, Column]:
     c["diff_abs_1"] = F.abs(d1)
     c["signo_diff_1"] = F.signum(d1).cast("int")
 
-    def frame(lo, hi):
-        return w.rowsBetween(lo, hi)
-
-    c["rolling_mean_7"] = F.avg(r).over(frame(-6, 0))
-    c["rolling_std_7"] = F.stddev_samp(r).over(frame(-6, 0))
-    c["rolling_mean_30"] = F.avg(r).over(frame(-29, 0))
-    c["rolling_std_30"] = F.stddev_samp(r).over(frame(-29, 0))
-    mx7 = F.max(r).over(frame(-6, 0))
-    mn7 = F.min(r).over(frame(-6, 0))
+    c["rolling_mean_7"], c["rolling_std_7"] = _frame_stats(w, -6, 0)
+    c["rolling_mean_30"], c["rolling_std_30"] = _frame_stats(w, -29, 0)
+    mx7 = F.max(r).over(w.rowsBetween(-6, 0))
+    mn7 = F.min(r).over(w.rowsBetween(-6, 0))
     c["rolling_max_7"] = mx7
     c["rolling_min_7"] = mn7
     c["rolling_range_7"] = mx7 - mn7
 
     lag1 = F.coalesce(lag[1], F.lit(0))
-    prev_mean7 = F.coalesce(F.avg(r).over(frame(-7, -1)), F.lit(0.0))
-    prev_mean30 = F.coalesce(F.avg(r).over(frame(-30, -1)), F.lit(0.0))
-    prev_std30 = F.stddev_samp(r).over(frame(-30, -1))
+    prev_mean7, _ = _frame_stats(w, -7, -1)
+    prev_mean30, prev_std30 = _frame_stats(w, -30, -1)
+    prev_mean7 = F.coalesce(prev_mean7, F.lit(0.0))
+    prev_mean30 = F.coalesce(prev_mean30, F.lit(0.0))
     c["lag1_sobre_media_7"] = (lag1 > prev_mean7).cast("int")
     c["lag1_sobre_media_30"] = (lag1 > prev_mean30).cast("int")
     c["lag1_z_score_30"] = (lag1 - prev_mean30) / F.when(
@@ -107,7 +133,8 @@ def _bounded_columns(w: WindowSpec, wr: WindowSpec) -> dict[str, Column]:
 
     has_two = lag[1].isNotNull()
     for n in (7, 30):
-        first = F.first(r).over(frame(1 - n, 0))
+        # first row of the n-row frame: n-1 rows back, or the partition's first row
+        first = F.coalesce(F.lag(r, n - 1).over(w), F.col("_first"))
         c[f"tendencia_{n}"] = F.when(has_two & (r > first), 1).otherwise(0)
 
     suma = sum(digit(lag1, p) for p in DIGIT_PLACES)
@@ -170,7 +197,8 @@ def _plain(base: DataFrame, mode: str) -> DataFrame:
     wr = Window.partitionBy("lottery", "result").orderBy("seq")
     bounded = _bounded_columns(w, wr)
     s = F.coalesce(F.signum(F.col("result") - F.lag("result").over(w)), F.lit(0.0)).cast("int")
-    step1 = base.select("*", *[v.alias(k) for k, v in bounded.items()], s.alias("_s"),
+    step1 = base.select("*", *_prefix_columns(w)) \
+        .select("*", *[v.alias(k) for k, v in bounded.items()], s.alias("_s"),
                         F.datediff("fecha", F.lag("fecha").over(wr)).alias("dias_desde_ultimo"),
                         *(_labels(w) if mode == "as_of" else []))
     prev_s = F.lag("_s").over(w)
@@ -210,8 +238,13 @@ def _blocked(base: DataFrame, mode: str, B: int, H: int) -> DataFrame:
                   for c in base.columns if c not in ("lottery", "seq", "fecha", "result")],
                 F.lit(-1).cast("bigint").alias("_own"), F.lit(True).alias("_virtual"), "_block")
     # one shuffle by (lottery, block) serves both window families: it clusters
-    # (lottery, block, number) too
-    exp = real.unionByName(virtual).repartition("lottery", "_block")
+    # (lottery, block, number) too.  The partition count is explicit: the stage
+    # is CPU-bound (≈40 window functions per row), and a byte-based coalesce
+    # would pack many blocks into few tasks.
+    spark = base.sparkSession
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
+                  2 * spark.sparkContext.defaultParallelism)
+    exp = real.unionByName(virtual).repartition(n_parts, "lottery", "_block")
 
     w = Window.partitionBy("lottery", "_block").orderBy("seq")
     wr = Window.partitionBy("lottery", "_block", "result").orderBy("seq")
@@ -223,8 +256,9 @@ def _blocked(base: DataFrame, mode: str, B: int, H: int) -> DataFrame:
         .filter(~F.col("_virtual"))
     # 2) row-frame windows over real rows only (same partitioning, no shuffle)
     s = F.coalesce(F.signum(F.col("result") - F.lag("result").over(w)), F.lit(0.0)).cast("int")
-    step1 = step_a.select("*", *[v.alias(k) for k, v in bounded.items()], s.alias("_s"),
-                          *(_labels(w) if mode == "as_of" else []))
+    step1 = step_a.select("*", *_prefix_columns(w)) \
+        .select("*", *[v.alias(k) for k, v in bounded.items()], s.alias("_s"),
+                *(_labels(w) if mode == "as_of" else []))
     prev_s = F.lag("_s").over(w)
     is_own = F.col("_block") == F.col("_own")
     # change points only on the block's own rows: the first halo row has no lag
