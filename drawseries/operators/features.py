@@ -291,7 +291,3 @@ def _run_carry(base: DataFrame, B: int) -> DataFrame:
     per_block = cps.groupBy("lottery", "_block").agg(F.max("_cp").alias("_bcp"))
     earlier = Window.partitionBy("lottery").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     return per_block.select("lottery", "_block", F.max("_bcp").over(earlier).alias("_carry_start"))
-
-
-def assembled_columns() -> list[str]:
-    return list(FEATURE_COLUMNS)

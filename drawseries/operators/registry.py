@@ -27,15 +27,11 @@ REGISTRY_SCHEMA = T.StructType([
 
 def read_registry(spark: SparkSession, root: str) -> DataFrame:
     """Newest registry version, or an empty table."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
+    from ..sources.tabular import latest_version
+    v = latest_version(spark, root)
+    if v is None:
         return spark.createDataFrame([], REGISTRY_SCHEMA)
-    versions = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(jvm_path)
-                      if s.getPath().getName().startswith("v="))
-    if not versions:
-        return spark.createDataFrame([], REGISTRY_SCHEMA)
-    return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{root}/v={versions[-1]}")
+    return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{root}/v={v}")
 
 
 def entries(spark: SparkSession, rows: list[dict]) -> DataFrame:
