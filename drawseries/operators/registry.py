@@ -56,9 +56,11 @@ def register_if_better(spark: SparkSession, root: str, new: DataFrame, models: d
     new = new.withColumn("k", F.col("k") + F.lit(start))
     merged = keep_two_slots(current.unionByName(new), slots=slots).drop("slot")
     kept_ids = {r[0] for r in merged.select("model_id").collect()}
-    for (lottery, target, model_id), model in (models or {}).items():
-        if model_id in kept_ids:
-            model.write().overwrite().save(f"{root}/models/{model_id}")
+    to_save = [(mid, m) for (_lot, _t, mid), m in (models or {}).items() if mid in kept_ids]
+    # each save is a small Spark job; run them side by side
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        list(pool.map(lambda x: x[1].write().overwrite().save(f"{root}/models/{x[0]}"), to_save))
     merged = merged.withColumn("model_path", F.when(
         F.col("model_path").isNull(), F.concat(F.lit(f"{root}/models/"), F.col("model_id")))
         .otherwise(F.col("model_path")))
