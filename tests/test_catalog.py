@@ -93,3 +93,11 @@ def test_extend_dimension_keeps_ids(spark):
     names = spark.createDataFrame([("C",), ("A",), ("B",), (None,)], "nombre string")
     out = {r.nombre: r.id for r in CT.extend_dimension(dim, names).collect()}
     assert out == {"B": 1, "D": 2, "A": 3, "C": 4}
+
+
+def test_digits_roundtrip(spark):
+    df = spark.range(0, 10000).select(F.col("id").cast("int").alias("n"))
+    back = df.select("n", *C.digits("n")).select(
+        "n", C.from_digits("miles", "centenas", "decenas", "unidades").alias("m"))
+    assert back.filter(F.col("n") != F.col("m")).count() == 0
+    assert df.select(C.zfill4("n").alias("z")).filter(~C.is_four_digits("z")).count() == 0
