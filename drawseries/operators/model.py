@@ -99,6 +99,18 @@ class Candidate:
         raise ValueError(self.algorithm)
 
 
+ROWS_PER_TASK = 200_000
+
+
+def sized(df: DataFrame, n_rows: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Partition a per-series subset by its known size: one task for a short
+    series (MLlib runs several jobs per fit; empty tasks are pure overhead),
+    ``n_rows / rows_per_task`` tasks for a long one."""
+    import math
+    k = max(1, math.ceil(n_rows / rows_per_task))
+    return df.coalesce(k) if k <= df.rdd.getNumPartitions() else df.repartition(k)
+
+
 # -- H2 / H13 ---------------------------------------------------------------
 
 def fit_digit_models(train: DataFrame, cand: Candidate, targets=TARGETS) -> dict:
@@ -116,7 +128,8 @@ def warm_start_fit(train: DataFrame, cand: Candidate, extra_trees: int = 50) ->
     return fit_digit_models(train, bigger)
 
 
-def fit_per_lottery(train: DataFrame, cand: Candidate, lotteries: list[str], parallelism: int = 8) -> dict:
+def fit_per_lottery(train: DataFrame, cand: Candidate, lotteries: list[str], parallelism: int = 8,
+                    sizes: dict | None = None) -> dict:
     """H2 per series: every lottery is trained on its own draws.
 
     Each fit is a distributed MLlib job; fits of different (series, target)
@@ -124,12 +137,15 @@ def fit_per_lottery(train: DataFrame, cand: Candidate, lotteries: list[str], par
     do not leave the cluster idle between jobs.
     """
     from concurrent.futures import ThreadPoolExecutor
+    if sizes is None:
+        sizes = {r[0]: r[1] for r in train.filter(F.col("lottery").isin(*lotteries))
+                 .groupBy("lottery").count().collect()}
     jobs = [(lot, t) for lot in lotteries for t in TARGETS]
 
     def fit(job):
         lot, t = job
         weight = f"w_{t}" if cand.algorithm == "rf" else None
-        part = train.filter((F.col("lottery") == lot) & F.col(t).isNotNull())
+        part = sized(train.filter((F.col("lottery") == lot) & F.col(t).isNotNull()), sizes.get(lot, 0))
         return job, cand.estimator(t, weight).fit(part)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:

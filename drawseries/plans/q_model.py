@@ -28,6 +28,7 @@ def _frame(spark, sf_dir):
     as_of = features(td.draws(spark, sf_dir), mode="as_of", block_rows=4096)
     labelled, labels = M.training_frame(as_of)
     assembled = checkpoint(labelled)
+    assembled = M.sized(assembled, assembled.count())
     latest = as_of.filter(F.col("target").isNull())
     from pyspark.ml.feature import VectorAssembler
     latest = VectorAssembler(inputCols=M.FEATURE_COLUMNS, outputCol="features").transform(latest)
