@@ -32,3 +32,24 @@ def q_ingest_stream(spark, sf_dir):
     start_table(old, f"{root}/table")
     out = ingest_stream(spark, f"{root}/source", new.schema, f"{root}/table", f"{root}/_checkpoint")
     return out.select("lottery", "fecha", "result", "series", F.col("k"))
+
+
+@register("ingest_stream_events", "lottery str, fecha date, result int, ts str, event_id int", td.with_ctes(
+    ["event_series"], """
+SELECT lottery, fecha, result, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY fecha, lottery ORDER BY ts DESC, event_id DESC) AS rn
+  FROM event_series) r WHERE rn = 1"""),
+          note="the events table arrives as 4 files; one row per (day, event type), newest arrival wins")
+def q_ingest_stream_events(spark, sf_dir):
+    root = f"{ensure_checkpoint_dir(spark)}/stream_events_{uuid.uuid4().hex}"
+    e = td.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("lottery"), F.col("ts").cast("date").alias("fecha"),
+        (F.floor(F.col("value") * 100).cast("bigint") % 10000).cast("int").alias("result"),
+        "ts", "event_id")
+    # files hold arbitrary id ranges: a later file may carry earlier events (late data)
+    e.repartition(4, F.xxhash64("event_id")).write.parquet(f"{root}/source")
+    start_table(spark.createDataFrame([], e.schema), f"{root}/table")
+    out = ingest_stream(spark, f"{root}/source", e.schema, f"{root}/table", f"{root}/_checkpoint",
+                        order="ts")
+    return out.select("lottery", "fecha", "result",
+                      F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "event_id")
