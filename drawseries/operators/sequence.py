@@ -37,12 +37,25 @@ def default_bucket(df: DataFrame, col: str) -> Column:
     return c          # dates, strings: the value itself
 
 
+MAX_BUCKET_ROWS = 5_000_000
+
+
 def add_seq(df: DataFrame, key: str | list[str], order: list[str], name: str = "seq",
-            bucket: Column | None = None) -> DataFrame:
+            bucket: Column | None = None, max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
+    """Row position per series (see module doc).
+
+    The bucket count table is written once and its largest bucket checked: if
+    one bucket holds more than ``max_bucket_rows`` rows (a hot hour of a hot
+    series) the numbering switches to :func:`add_seq_range`, which splits it.
+    """
+    from ..session import checkpoint
     keys = [key] if isinstance(key, str) else list(key)
     b = bucket if bucket is not None else default_bucket(df, order[0])
     tagged = df.withColumn("_bucket", b)
-    counts = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = checkpoint(tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
+    hottest = counts.agg(F.max("_n")).first()[0] or 0
+    if hottest > max_bucket_rows:
+        return add_seq_range(df, key, order, name)
     before = Window.partitionBy(*keys).orderBy("_bucket") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bucket",
