@@ -241,9 +241,13 @@ def _blocked(base: DataFrame, mode: str, B: int, H: int) -> DataFrame:
     # (lottery, block, number) too.  The partition count is explicit: the stage
     # is CPU-bound (≈40 window functions per row), and a byte-based coalesce
     # would pack many blocks into few tasks.
+    # More partitions than blocks would only add empty tasks, so the count is
+    # capped by the number of blocks (one small aggregate over the input).
     spark = base.sparkSession
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
-                  2 * spark.sparkContext.defaultParallelism)
+    n_blocks = base.groupBy("lottery").agg(F.ceil(F.max("seq") / F.lit(B)).alias("_nb")) \
+        .agg(F.sum("_nb")).first()[0] or 1
+    n_parts = max(1, min(max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
+                             2 * spark.sparkContext.defaultParallelism), int(n_blocks)))
     exp = real.unionByName(virtual).repartition(n_parts, "lottery", "_block")
 
     w = Window.partitionBy("lottery", "_block").orderBy("seq")

@@ -32,6 +32,7 @@ def _frame(spark, sf_dir):
     latest = as_of.filter(F.col("target").isNull())
     from pyspark.ml.feature import VectorAssembler
     latest = VectorAssembler(inputCols=M.FEATURE_COLUMNS, outputCol="features").transform(latest)
+    latest = M.sized(latest, 0)          # one row per series: one task
     return assembled, latest, labels
 
 
