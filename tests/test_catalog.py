@@ -101,3 +101,18 @@ def test_digits_roundtrip(spark):
         "n", C.from_digits("miles", "centenas", "decenas", "unidades").alias("m"))
     assert back.filter(F.col("n") != F.col("m")).count() == 0
     assert df.select(C.zfill4("n").alias("z")).filter(~C.is_four_digits("z")).count() == 0
+
+
+def test_new_rows_watermark_rules(spark):
+    from drawseries.sources.tabular import new_rows
+    schema = "fecha date, lottery string, result int"
+    d = lambda s: __import__("datetime").date.fromisoformat(s)
+    target = spark.createDataFrame([(d("2024-01-09"), "UP", 1), (d("2024-01-05"), "OLD", 2)], schema)
+    feed = spark.createDataFrame(
+        [(d("2024-01-10"), "UP", 3),                      # UP is current (max >= yesterday): nothing
+         (d("2024-01-05"), "OLD", 4), (d("2024-01-06"), "OLD", 5), (d("2024-01-12"), "OLD", 6),
+         (d("2024-01-01"), "NEW", 7), (d("2024-01-11"), "NEW", 8)], schema)   # NEW has no history: all
+    got = {(r.lottery, r.result) for r in new_rows(feed, target, "2024-01-10").collect()}
+    assert got == {("OLD", 5), ("OLD", 6), ("NEW", 7), ("NEW", 8)}
+    closed = {(r.lottery, r.result) for r in new_rows(feed, target, "2024-01-10", upper_bound=True).collect()}
+    assert closed == {("OLD", 5), ("NEW", 7)}            # closed at yesterday
