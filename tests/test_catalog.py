@@ -116,3 +116,13 @@ def test_new_rows_watermark_rules(spark):
     assert got == {("OLD", 5), ("OLD", 6), ("NEW", 7), ("NEW", 8)}
     closed = {(r.lottery, r.result) for r in new_rows(feed, target, "2024-01-10", upper_bound=True).collect()}
     assert closed == {("OLD", 5), ("NEW", 7)}            # closed at yesterday
+
+
+def test_lookup_case_rules(spark):
+    d = spark.createDataFrame([("2020-01-01", " 1-urgent ", 1, "ari")],
+                              "fecha string, lottery string, result int, series string")
+    lot, sig = td.loterias(spark, SF_SMALL), td.signos(spark)
+    ok, bad = CT.lookup_keys(d, lot, sig, case_insensitive=True)
+    assert ok.count() == 1 and bad.count() == 0
+    ok, bad = CT.lookup_keys(d, lot, sig, case_insensitive=False)      # bulk-load rule: exact
+    assert ok.count() == 0 and bad.count() == 1
