@@ -138,6 +138,22 @@ def with_balanced_weights(df: DataFrame, labels: list[str], key: str = "lottery"
 
 # -- A9 / A11 ---------------------------------------------------------------
 
+def safe_corr(df: DataFrame, key: str, pairs: list[tuple[str, str, str]]) -> DataFrame:
+    """Pearson correlation per key for each (x, y, alias); null where x or y is
+    constant within the key (Spark's ``corr`` would divide by zero under ANSI).
+
+    Constant groups are found from per-key min/max (one small aggregate,
+    joined back on the key); their inputs are masked to null, so ``corr`` sees
+    no pairs there and is unchanged everywhere else.
+    """
+    cols = sorted({c for x, y, _ in pairs for c in (x, y)})
+    spread_ = df.groupBy(key).agg(*[(F.max(c) != F.min(c)).alias(f"_v_{c}") for c in cols])
+    j = df.join(spread_, key, "left")
+    masked = [F.when(F.col(f"_v_{x}") & F.col(f"_v_{y}"), F.col(x)).alias(f"_mx{i}") for i, (x, y, _) in enumerate(pairs)]
+    j = j.select(key, *[F.col(c) for c in cols], *masked)
+    return j.groupBy(key).agg(*[F.corr(f"_mx{i}", y).alias(a) for i, (_x, y, a) in enumerate(pairs)])
+
+
 def lag_corr(draws: DataFrame, k: int = 1) -> DataFrame:
     """Pearson correlation of a series with its lag-k: result, first
     difference, units digit, digit sum."""
@@ -149,15 +165,14 @@ def lag_corr(draws: DataFrame, k: int = 1) -> DataFrame:
         sum(F.floor(F.col("result") / p) % 10 for p in (1000, 100, 10, 1)).alias("dsum"))
     cols = ["result", "diff", "units", "dsum"]
     pairs = shifted_pairs(x, k, cols)
-    return pairs.groupBy("lottery").agg(
-        *[F.corr(c, f"prev_{c}").alias(f"corr_{c}") for c in cols])
+    return safe_corr(pairs, "lottery", [(c, f"prev_{c}", f"corr_{c}") for c in cols])
 
 
 def digit_corr(draws: DataFrame) -> DataFrame:
     """The six pairwise correlations of the four digits, per lottery."""
     d = draws.select("lottery", *digits("result"))
     pairs = [(a, b) for i, a in enumerate(POSITIONS) for b in POSITIONS[i + 1:]]
-    return d.groupBy("lottery").agg(*[F.corr(a, b).alias(f"corr_{a}_{b}") for a, b in pairs])
+    return safe_corr(d, "lottery", [(a, b, f"corr_{a}_{b}") for a, b in pairs])
 
 
 # -- A10 --------------------------------------------------------------------
@@ -194,9 +209,11 @@ def acf(draws: DataFrame, nlags: int = 60, threshold: float = 0.15, value: str =
     stacked = sums.select("lottery", F.col("c_0").alias("c0"), F.explode(F.array(*[
         F.struct(F.lit(k).alias("lag"), F.coalesce(F.col(f"c_{k}"), F.lit(0.0)).alias("ck"))
         for k in range(0, nlags + 1)])).alias("e"))
+    # a constant series has c0 = 0: its autocorrelation is undefined (null)
     out = stacked.select("lottery", F.col("e.lag").alias("lag"),
-                         (F.col("e.ck") / F.col("c0")).alias("acf"))
-    return out.withColumn("is_peak", (F.col("lag") >= 1) & (F.abs("acf") > threshold))
+                         F.when(F.col("c0") != 0, F.col("e.ck") / F.col("c0")).alias("acf"))
+    return out.withColumn("is_peak", F.coalesce((F.col("lag") >= 1) & (F.abs("acf") > threshold),
+                                                F.lit(False)))
 
 
 # -- A13 --------------------------------------------------------------------

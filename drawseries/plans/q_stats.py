@@ -178,7 +178,8 @@ def q_lag_corr(spark, sf_dir):
 
 
 @register("acf", "lottery str, lag int, acf dbl, is_peak bool", td.with_ctes(["draws"], """
-SELECT c.lottery, c.lag, c.ck / z.c0 AS acf, c.lag >= 1 AND abs(c.ck / z.c0) > 0.15 AS is_peak
+SELECT c.lottery, c.lag, CASE WHEN z.c0 <> 0 THEN c.ck / z.c0 END AS acf,
+       coalesce(c.lag >= 1 AND z.c0 <> 0 AND abs(c.ck / z.c0) > 0.15, false) AS is_peak
 FROM (
   SELECT a.lottery, l.k AS lag, coalesce(sum(a.xc * b.xc), 0.0) AS ck
   FROM x a CROSS JOIN range(0, 61) l(k)

@@ -126,3 +126,15 @@ def test_lookup_case_rules(spark):
     assert ok.count() == 1 and bad.count() == 0
     ok, bad = CT.lookup_keys(d, lot, sig, case_insensitive=False)      # bulk-load rule: exact
     assert ok.count() == 0 and bad.count() == 1
+
+
+def test_statistics_survive_constant_series(spark):
+    from drawseries.operators.stats import acf, digit_corr, lag_corr
+    df = spark.createDataFrame([("C", i, 4242) for i in range(1, 80)]
+                               + [("V", i, (i * 7919) % 10000) for i in range(1, 80)],
+                               "lottery string, seq bigint, result int")
+    lc = {r.lottery: r for r in lag_corr(df).collect()}
+    assert lc["C"].corr_result is None and lc["V"].corr_result is not None
+    assert digit_corr(df).filter("lottery = 'C'").first().corr_miles_centenas is None
+    a = acf(df, nlags=3, block_rows=100).filter("lottery = 'C'").collect()
+    assert all(r.acf is None and r.is_peak is False for r in a)
