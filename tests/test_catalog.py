@@ -138,3 +138,17 @@ def test_statistics_survive_constant_series(spark):
     assert digit_corr(df).filter("lottery = 'C'").first().corr_miles_centenas is None
     a = acf(df, nlags=3, block_rows=100).filter("lottery = 'C'").collect()
     assert all(r.acf is None and r.is_peak is False for r in a)
+
+
+def test_read_draws_tabular_parquet(spark):
+    import uuid
+    from drawseries.session import ensure_checkpoint_dir
+    from drawseries.sources.tabular import read_draws_tabular
+    path = f"{ensure_checkpoint_dir(spark)}/tab_{uuid.uuid4().hex}"
+    spark.createDataFrame([("05/01/2024", " sol ", " 123 ", "ari", "x"), ("bad", "sol", "1", "ari", "y"),
+                           ("2024-01-06", None, "7", "leo", "z"), ("2024-01-07", "sol", "n/a", "leo", "w")],
+                          "fecha string, lottery string, result string, series string, extra string") \
+        .write.parquet(path)
+    rows = [tuple(r) for r in read_draws_tabular(spark, path, fmt="parquet").collect()]
+    import datetime as dt
+    assert rows == [(dt.date(2024, 1, 5), "SOL", 123, "ARI")]
