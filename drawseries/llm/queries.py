@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding
+from . import bpe, chat, mixing, sharding, simple8b
 from .common import documents, short_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,28 @@ def op2_poisson_mix(spark, sf_dir):
 @query(chat.ORACLE)
 def op9_perspectives(spark, sf_dir):
     return chat.perspectives(documents(spark, sf_dir, "conversations"))
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file; a parameter of the operators."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query()
+def op7_simple8b_tokens(spark, sf_dir):
+    encode = simple8b.library_encoder(tokenizer_path("word_bpe_49k.json"))
+    path = simple8b.write_tokens(documents(spark, sf_dir), encode, end_id=2)
+    back = simple8b.decode_tokens(simple8b.read_blocks(spark, path), as_u32=True)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op8_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
