@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, mixing, sharding, simple8b
-from .common import documents, short_batches
+from . import bpe, chat, fingerprint, langid, mixing, sharding, simple8b, toxicity
+from .common import documents, remainder, short_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,22 @@ def op6_lz_fingerprint(spark, sf_dir):
     out = fingerprint.edited_fingerprints(documents(spark, sf_dir))
     return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                       "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query()
+def op4_centroid_language(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs, remainder(F.col("doc_id")) != 0)
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
+                      "lang_pred", "score", "rejected")
+
+
+@query()
+def op5_noisy_or_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    marks = documents(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.learnable(docs, marks, remainder(F.col("doc_id")) != 0))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
+                      "score", "predicted", "worst_sentence", F.size("offending").alias("n_offending"))
