@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, langid, mixing, sharding, simple8b, toxicity
+from . import bpe, chat, embed_join, fingerprint, langid, mixing, sharding, simple8b, toxicity
 from .common import documents, remainder, short_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op5_noisy_or_toxicity(spark, sf_dir):
     out = toxicity.score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
                       "score", "predicted", "worst_sentence", F.size("offending").alias("n_offending"))
+
+
+@query()
+def op10_pivot_range_join(spark, sf_dir):
+    return embed_join.near_vectors(documents(spark, sf_dir, "embeddings"))
