@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_join, fingerprint, langid, mixing, sharding, simple8b, toxicity
+from . import bpe, chat, embed_join, fingerprint, langid, mixing, ngram_join, sharding, simple8b, toxicity
 from .common import documents, remainder, short_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ def op5_noisy_or_toxicity(spark, sf_dir):
 @query()
 def op10_pivot_range_join(spark, sf_dir):
     return embed_join.near_vectors(documents(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op3_prefix_tree_join(spark, sf_dir):
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
