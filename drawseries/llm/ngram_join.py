@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, short_batches, staged
+from .common import id_filter, parts, short_batches, staged
 from .graph import components
 
 WORDS, PERCENT = 3, 90
@@ -384,38 +384,28 @@ def _blocks(n_words: int, percent: int):
                                                pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
         for b in batches:
-            for g, i, j, doc, probe, part, raw in zip(*[b.column(c).to_pylist() for c in range(7)]):
+            for g, i, j, doc, probe, part, text in zip(*[b.column(c).to_pylist() for c in range(7)]):
                 if (g, i, j) != block:
                     if len(sets) > 1:
                         yield close()
                     block, ids, sets, probes, known = (g, i, j), {}, [], [], []
-                if (doc, raw) in ids:                   # a repeated row
+                if (doc, text) in ids:                  # a repeated row
                     continue
-                ids[doc, raw] = len(sets)
+                ids[doc, text] = len(sets)
                 if probe:
                     probes.append(len(sets))
-                sets.append(np.frombuffer(raw, "<u8"))
+                sets.append(shingles(text, n_words))
                 known.append(part)
         if len(sets) > 1:
             yield close()
     return run
 
 
-def _sets(n_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.get_field_index("text")
-            col = pa.array([shingles(t, n_words).astype("<u8").tobytes() for t in b.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([c if i != at else col for i, c in enumerate(b.columns)],
-                                             names=["s" if n == "text" else n for n in b.schema.names])
-    return run
-
-
-_BLOCK_ROW = "g long, i int, j int, id long, probe boolean, part long, s binary"
+_BLOCK_ROW = "g long, i int, j int, id long, probe boolean, part long, text string"
 
 
 def _compare(tasks: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """Edges (a, b) of the blocks ``tasks``: (g, i, j, id, probe, part, s)."""
+    """Edges (a, b) of the blocks ``tasks``: (g, i, j, id, probe, part, text)."""
     cols = [f.split()[0] for f in _BLOCK_ROW.split(", ")]
     dealt = (tasks.select(*cols).repartition(parts(tasks.sparkSession), "g", "i", "j")
              .sortWithinPartitions("g", "i", "j", "id", F.desc("probe")))
@@ -454,16 +444,17 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
     size = groups.groupBy("g").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("nb"))
     placed = (groups.join(size, "g")
               .withColumn("i", F.pmod(F.xxhash64("id"), "nb").cast("int")))
-    texts = placed.join(rows, "id")
-    placed = staged(texts.select("id", "g", "nb", "i", "text")
-                    .mapInArrow(_sets(n_words), "id long, g long, nb int, i int, s binary"), "placed")
+    # only texts that may be in a group enter the join
+    placed = staged(placed, "places")
+    texts = rows.where(id_filter(placed, "id")(F.col("id")))
+    placed = staged(placed.join(texts, "id").select("id", "g", "nb", "i", "text"), "placed")
     none = F.lit(None).cast("long").alias("part")
     # block i with itself, and as probes against block 0
-    own = placed.select("g", "i", F.col("i").alias("j"), "id", F.lit(True).alias("probe"), none, "s")
+    own = placed.select("g", "i", F.col("i").alias("j"), "id", F.lit(True).alias("probe"), none, "text")
     many = placed.where("nb > 1")
-    against = many.where("i > 0").select("g", F.lit(0).alias("i"), F.col("i").alias("j"), "id", F.lit(True).alias("probe"), none, "s")
+    against = many.where("i > 0").select("g", F.lit(0).alias("i"), F.col("i").alias("j"), "id", F.lit(True).alias("probe"), none, "text")
     zero = many.where("i = 0").select("g", F.lit(0).alias("i"), F.explode(F.sequence(F.lit(1), F.col("nb") - 1)).alias("j"),
-                                      "id", F.lit(False).alias("probe"), none, "s")
+                                      "id", F.lit(False).alias("probe"), none, "text")
     edges = staged(_compare(own.unionByName(against).unionByName(zero), n_words, percent), "links")
     found = staged(components(edges).toDF("id", "part"), "parts")
 
@@ -478,9 +469,9 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
         rest = (many.join(open_groups, "g").join(large.select("id", "part"), "id"))
         probes = rest.where("part <> top").select(
             "g", F.pmod(F.xxhash64("id", F.lit(3)), "np").cast("int").alias("i"),
-            F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), "id", F.lit(True).alias("probe"), "part", "s")
+            F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), "id", F.lit(True).alias("probe"), "part", "text")
         others = rest.select("g", F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("i"), F.col("i").alias("j"), "id",
-                             F.lit(False).alias("probe"), "part", "s")
+                             F.lit(False).alias("probe"), "part", "text")
         more = _compare(probes.unionByName(others), n_words, percent)
         edges = staged(edges.unionByName(more), "links")
         found = staged(components(edges).toDF("id", "part"), "parts")
