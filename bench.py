@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "features_recorded", "features_blocked", "features_events_blocked", "features_as_of",
-    "features_single_series_plain", "features_single_series_blocked",
+    "features_single_series_blocked",
     "clean_draws", "read_draws_tabular", "extract_result_rows", "upsert", "bulk_load_report",
     "acf", "lag_corr", "classification_report", "top3_numbers", "alerts", "converged",
     "backtest_frequency", "backtest_metrics", "flagship",

@@ -155,8 +155,7 @@ def finite_or_zero(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def clean_draws(df: DataFrame, sign_mode: str = "passthrough") -> DataFrame:
     """Text draw rows → typed draws; rows with any unusable field are dropped."""
-    from ..session import spread
-    typed = spread(df).select(
+    typed = df.select(
         parse_fecha("fecha").alias("fecha"),
         canonical_text("lottery").alias("lottery"),
         parse_number("result").alias("result"),

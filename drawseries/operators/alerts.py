@@ -39,9 +39,9 @@ def alerts(metrics: DataFrame, model_type: str = "model_type", accuracy: str = "
         .select(*[c for c in metrics.columns], "_a.*")
 
 
-def recent(alerts_df: DataFrame, n: int = 10, ts: str = "ts") -> DataFrame:
-    """L2: the ``n`` latest alerts."""
-    return alerts_df.orderBy(F.col(ts).desc()).limit(n)
+def recent(alerts_df: DataFrame, n: int = 10, ts: str = "ts", ties: tuple[str, ...] = ("k", "model_type")) -> DataFrame:
+    """L2: the ``n`` latest alerts; equal times are told apart by ``ties``, greatest first."""
+    return alerts_df.orderBy(*[F.col(c).desc() for c in (ts, *ties)]).limit(n)
 
 
 def by_lottery(alerts_df: DataFrame, name: str) -> DataFrame:

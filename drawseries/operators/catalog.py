@@ -15,19 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import drop_incomplete
 
-DIM_BROADCAST_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a row count proves it small (one cheap job).
-
-    The count scans the (small) dimension once; beyond the bound the plain
-    DataFrame is returned and Spark chooses a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 # -- A12 --------------------------------------------------------------------
 
 def dedupe_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -48,11 +35,11 @@ def dedupe_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def v_resultados(fact: DataFrame, loterias: DataFrame, signos: DataFrame) -> DataFrame:
     """Fact + both dimensions, inner equi-joins (no ORDER BY: output order is free)."""
-    lot = bounded_broadcast(loterias.select(F.col("id").alias("loteria_id"),
-                                            F.col("nombre").alias("lottery")))
-    sig = bounded_broadcast(signos.select(F.col("id").alias("signo_id"),
+    lot = loterias.select(F.col("id").alias("loteria_id"),
+                                            F.col("nombre").alias("lottery"))
+    sig = signos.select(F.col("id").alias("signo_id"),
                                           F.col("codigo").alias("series"),
-                                          F.col("nombre").alias("sign_name")))
+                                          F.col("nombre").alias("sign_name"))
     return fact.join(lot, "loteria_id").join(sig, "signo_id") \
         .select("fecha", "lottery", "result", "series", "sign_name")
 
@@ -63,10 +50,10 @@ def lookup_keys(draws: DataFrame, loterias: DataFrame, signos: DataFrame,
                 case_insensitive: bool = True) -> tuple[DataFrame, DataFrame]:
     """Resolve dimension ids; returns (resolved fact rows, rejected draws)."""
     norm = (lambda c: F.upper(F.trim(c))) if case_insensitive else (lambda c: c)
-    lot = bounded_broadcast(loterias.select(F.col("id").alias("loteria_id"),
-                                            norm(F.col("nombre")).alias("_lk")))
-    sig = bounded_broadcast(signos.select(F.col("id").alias("signo_id"),
-                                          norm(F.col("codigo")).alias("_sk")))
+    lot = loterias.select(F.col("id").alias("loteria_id"),
+                                            norm(F.col("nombre")).alias("_lk"))
+    sig = signos.select(F.col("id").alias("signo_id"),
+                                          norm(F.col("codigo")).alias("_sk"))
     j = draws.withColumn("_lk", norm(F.col("lottery"))).withColumn("_sk", norm(F.col("series"))) \
         .join(lot, "_lk", "left").join(sig, "_sk", "left").drop("_lk", "_sk")
     ok = F.col("loteria_id").isNotNull() & F.col("signo_id").isNotNull()
@@ -75,7 +62,7 @@ def lookup_keys(draws: DataFrame, loterias: DataFrame, signos: DataFrame,
 
 def unknown_codes(draws: DataFrame, signos: DataFrame) -> DataFrame:
     """Distinct sign codes absent from the dimension."""
-    codes = bounded_broadcast(signos.select(F.col("codigo").alias("series")))
+    codes = signos.select(F.col("codigo").alias("series"))
     return draws.select("series").dropna().join(codes, "series", "left_anti").distinct()
 
 

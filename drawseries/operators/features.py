@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from ..session import shuffle_partitions
+
 # The 41 feature names, in the reference's column order.
 FEATURE_COLUMNS = [
     "result_lag_1", "result_lag_2", "result_lag_3", "result_lag_5", "result_lag_7",
@@ -238,16 +240,10 @@ def _blocked(base: DataFrame, mode: str, B: int, H: int) -> DataFrame:
                   for c in base.columns if c not in ("lottery", "seq", "fecha", "result")],
                 F.lit(-1).cast("bigint").alias("_own"), F.lit(True).alias("_virtual"), "_block")
     # one shuffle by (lottery, block) serves both window families: it clusters
-    # (lottery, block, number) too.  The partition count is explicit: the stage
-    # is CPU-bound (≈40 window functions per row), and a byte-based coalesce
-    # would pack many blocks into few tasks.
-    # More partitions than blocks would only add empty tasks, so the count is
-    # capped by the number of blocks (one small aggregate over the input).
-    spark = base.sparkSession
-    n_blocks = base.groupBy("lottery").agg(F.ceil(F.max("seq") / F.lit(B)).alias("_nb")) \
-        .agg(F.sum("_nb")).first()[0] or 1
-    n_parts = max(1, min(max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
-                             2 * spark.sparkContext.defaultParallelism), int(n_blocks)))
+    # (lottery, block, number) too.  The partition count is the session's own
+    # setting: the stage is CPU-bound (about 40 window functions per row), and a
+    # byte-based coalesce would pack many blocks into few tasks.
+    n_parts = shuffle_partitions(base.sparkSession)
     exp = real.unionByName(virtual).repartition(n_parts, "lottery", "_block")
 
     w = Window.partitionBy("lottery", "_block").orderBy("seq")

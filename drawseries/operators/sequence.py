@@ -3,81 +3,34 @@
 ``row_number().over(Window.partitionBy(key).orderBy(...))`` sorts a whole
 series in one task: with few, long series (or one series holding a third of
 all rows) that task is the job.  ``add_seq`` gives the same numbers with the
-work spread over ``(key, bucket)`` tasks:
-
-1. ``bucket`` is a coarse, order-preserving function of the first order
-   column (the day for dates, the hour for timestamps, ranges of 4096 for
-   integers);
-2. rows are counted per ``(key, bucket)`` — partial/final aggregation, one
-   row per bucket — and the counts are prefix-summed per key (a window over
-   the small count table);
-3. ``seq = offset(key, bucket) + row_number() inside (key, bucket)``.
-
-Every step is a deterministic function of the data, so a task recomputed
-after an executor loss numbers its rows identically.  The order columns must
-make the order total (add a unique tie-breaker).  A bucket is the unit of
-work: pass a finer ``bucket`` when one bucket could outgrow a task.
+work spread over range partitions of ``(key, order...)``, which split even a
+single hot series or hour:
+
+1. rows are range partitioned and sorted, tagged with their partition and
+   place, and written once (reliable checkpoint), so every later read sees the
+   same boundaries and the source is read once;
+2. rows are counted per ``(key, partition)`` and the counts prefix-summed per
+   key into offsets: a table of at most ``partitions + keys`` rows, written
+   too, so that the planner knows its size;
+3. ``seq = offset + place in (key, partition)``.  The join attaches offsets by
+   broadcast while their table is under Spark's own byte threshold and shuffles
+   rows by ``(key, partition)``, which no hot key blocks, beyond it.
+
+The order columns must make the order total (add a unique tie-breaker).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-
-def default_bucket(df: DataFrame, col: str) -> Column:
-    typ = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(typ, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_trunc("hour", c)
-    if isinstance(typ, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-        return F.floor(c / F.lit(4096))
-    return c          # dates, strings: the value itself
-
-
-MAX_BUCKET_ROWS = 5_000_000
+from ..session import checkpoint, shuffle_partitions, store
 
 
 def add_seq(df: DataFrame, key: str | list[str], order: list[str], name: str = "seq",
-            bucket: Column | None = None, max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
-    """Row position per series (see module doc).
-
-    The bucket count table is written once and its largest bucket checked: if
-    one bucket holds more than ``max_bucket_rows`` rows (a hot hour of a hot
-    series) the numbering switches to :func:`add_seq_range`, which splits it.
-    """
-    from ..session import checkpoint
-    keys = [key] if isinstance(key, str) else list(key)
-    b = bucket if bucket is not None else default_bucket(df, order[0])
-    tagged = df.withColumn("_bucket", b)
-    counts = checkpoint(tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
-    hottest = counts.agg(F.max("_n")).first()[0] or 0
-    if hottest > max_bucket_rows:
-        return add_seq_range(df, key, order, name)
-    before = Window.partitionBy(*keys).orderBy("_bucket") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_bucket",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return tagged.join(offsets, [*keys, "_bucket"]) \
-        .withColumn(name, (F.col("_off") + F.row_number().over(inside)).cast("bigint")) \
-        .drop("_bucket", "_off")
-
-
-def add_seq_range(df: DataFrame, key: str | list[str], order: list[str], name: str = "seq",
-                  partitions: int | None = None) -> DataFrame:
-    """``add_seq`` for inputs where one bucket may hold a large share of rows.
-
-    A sampled range partitioning on ``(key, order…)`` splits even a single hot
-    series (or hour) over many tasks; rows are sorted inside each partition
-    and tagged with their partition and position.  The tagged rows are
-    written once (reliable checkpoint) so every later read sees the same
-    partition boundaries; per-(key, partition) counts are prefix-summed into
-    offsets (a table of at most ``partitions + keys`` rows).
-    """
-    from ..session import checkpoint, shuffle_partitions
+            partitions: int | None = None) -> DataFrame:
+    """Row position per series (see module doc)."""
     keys = [key] if isinstance(key, str) else list(key)
     n = partitions or shuffle_partitions(df.sparkSession)
     ordered = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
@@ -85,11 +38,18 @@ def add_seq_range(df: DataFrame, key: str | list[str], order: list[str], name: s
                         .withColumn("_mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_pid", "_first",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return tagged.join(offsets, [*keys, "_pid"]) \
-        .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint")) \
-        .drop("_pid", "_mid", "_first", "_off")
+    offsets = store(counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_pid").alias("_p"), "_first",
+                                  F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")), "seq-offsets")
+    on = F.col("_pid") == F.col("_p")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return tagged.join(offsets, on).withColumn(
+        name, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint")) \
+        .drop("_pid", "_mid", "_p", "_first", "_off", *[f"_k_{k}" for k in keys])
+
+
+#: The same function under the name of its method.
+add_seq_range = add_seq
 
 
 def add_seq_plain(df: DataFrame, key: str | list[str], order: list[str], name: str = "seq") -> DataFrame:

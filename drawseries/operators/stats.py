@@ -1,9 +1,7 @@
 """Aggregations over draws and prediction pairs.
 
-Look-back statistics pair a draw with the draw ``k`` places earlier through
-an equi-join on ``(lottery, seq + k)`` (keys are unique, so the join spreads
-evenly even when one lottery holds most rows) or, for many lags at once,
-through block windows with a halo (:func:`blocked_lags`).  Every aggregate is
+Look-back statistics pair a draw with the draws before it through block
+windows with a halo (:func:`blocked_lags`), one shuffle however long a series.  Every aggregate is
 a partial+final hash aggregation keyed on the lottery.
 """
 
@@ -39,19 +37,17 @@ def count_by_lottery(draws: DataFrame) -> DataFrame:
 
 # -- shifted pairs ----------------------------------------------------------
 
-def shifted_pairs(draws: DataFrame, k: int = 1, cols=("result", "series")) -> DataFrame:
-    """Each draw next to the draw ``k`` places earlier: ``prev_<col>`` columns."""
-    prev = draws.select("lottery", (F.col("seq") + k).alias("seq"),
-                        *[F.col(c).alias(f"prev_{c}") for c in cols])
-    return draws.join(prev, ["lottery", "seq"])
+LAG_BLOCK = 4096
 
 
 def persistence_predictions(draws: DataFrame) -> DataFrame:
     """"Repeat the previous draw" as a prediction for every draw but the first."""
-    return shifted_pairs(draws, 1).select(
+    row = F.struct("result", "series")
+    return blocked_lags(draws.select("lottery", "fecha", "seq", "result", "series", row.alias("_row")), "_row", 1, LAG_BLOCK) \
+        .where("seq > 1").select(
         "lottery", "fecha", "seq", F.col("result").alias("real"),
-        F.col("series").alias("real_series"), F.col("prev_result").alias("pred"),
-        F.col("prev_series").alias("pred_series"))
+        F.col("series").alias("real_series"), F.col("lag_1.result").alias("pred"),
+        F.col("lag_1.series").alias("pred_series"))
 
 
 def digit_hits(pred: str, real: str) -> list:
@@ -109,11 +105,6 @@ def balanced_weights(df: DataFrame, label: str, key: str = "lottery") -> DataFra
         "weight", F.col("n") / (F.col("k") * F.col("n_c")))
 
 
-def with_balanced_weight(df: DataFrame, label: str, key: str = "lottery", out: str = "weight") -> DataFrame:
-    w = balanced_weights(df, label, key).select(key, label, F.col("weight").alias(out))
-    return df.join(w, [key, label])
-
-
 def with_balanced_weights(df: DataFrame, labels: list[str], key: str = "lottery",
                           prefix: str = "w_") -> DataFrame:
     """A6 for several label columns at once: ``<prefix><label>`` weight columns.
@@ -142,30 +133,30 @@ def safe_corr(df: DataFrame, key: str, pairs: list[tuple[str, str, str]]) -> Dat
     """Pearson correlation per key for each (x, y, alias); null where x or y is
     constant within the key (Spark's ``corr`` would divide by zero under ANSI).
 
-    Constant groups are found from per-key min/max (one small aggregate,
-    joined back on the key); their inputs are masked to null, so ``corr`` sees
-    no pairs there and is unchanged everywhere else.
+    One aggregation: covariance over the root of both variances, all over the
+    rows that have both values.
     """
-    cols = sorted({c for x, y, _ in pairs for c in (x, y)})
-    spread_ = df.groupBy(key).agg(*[(F.max(c) != F.min(c)).alias(f"_v_{c}") for c in cols])
-    j = df.join(spread_, key, "left")
-    masked = [F.when(F.col(f"_v_{x}") & F.col(f"_v_{y}"), F.col(x)).alias(f"_mx{i}") for i, (x, y, _) in enumerate(pairs)]
-    j = j.select(key, *[F.col(c) for c in cols], *masked)
-    return j.groupBy(key).agg(*[F.corr(f"_mx{i}", y).alias(a) for i, (_x, y, a) in enumerate(pairs)])
+    out = []
+    for x, y, alias in pairs:
+        both = F.col(x).isNotNull() & F.col(y).isNotNull()
+        vx, vy = [F.var_pop(F.when(both, F.col(c).cast("double"))) for c in (x, y)]
+        spread = F.sqrt(vx) * F.sqrt(vy)
+        out.append((F.covar_pop(F.col(x).cast("double"), F.col(y).cast("double"))
+                    / F.nullif(spread, F.lit(0.0))).alias(alias))
+    return df.groupBy(key).agg(*out)
 
 
-def lag_corr(draws: DataFrame, k: int = 1) -> DataFrame:
+def lag_corr(draws: DataFrame, k: int = 1, block_rows: int = LAG_BLOCK) -> DataFrame:
     """Pearson correlation of a series with its lag-k: result, first
-    difference, units digit, digit sum."""
-    d = draws.select("lottery", "seq", "result")
-    d1 = shifted_pairs(d, 1, ("result",)).select(
-        "lottery", "seq", "result", (F.col("result") - F.col("prev_result")).alias("diff"))
-    x = d.join(d1.select("lottery", "seq", "diff"), ["lottery", "seq"], "left").select(
-        "lottery", "seq", "result", "diff", (F.col("result") % 10).alias("units"),
-        sum(F.floor(F.col("result") / p) % 10 for p in (1000, 100, 10, 1)).alias("dsum"))
-    cols = ["result", "diff", "units", "dsum"]
-    pairs = shifted_pairs(x, k, cols)
-    return safe_corr(pairs, "lottery", [(c, f"prev_{c}", f"corr_{c}") for c in cols])
+    difference, units digit, digit sum; one blocked pass serves all four."""
+    d = blocked_lags(draws.select("lottery", "seq", "result"), "result", k + 1, block_rows).where(F.col("seq") > k)
+
+    def four(now, before, prefix=""):
+        return [now.alias(f"{prefix}result"), (now - before).alias(f"{prefix}diff"), (now % 10).alias(f"{prefix}units"),
+                sum(F.floor(now / p) % 10 for p in (1000, 100, 10, 1)).alias(f"{prefix}dsum")]
+    x = d.select("lottery", *four(F.col("result"), F.col("lag_1")),
+                 *four(F.col(f"lag_{k}"), F.col(f"lag_{k + 1}"), "prev_"))
+    return safe_corr(x, "lottery", [(c, f"prev_{c}", f"corr_{c}") for c in ("result", "diff", "units", "dsum")])
 
 
 def digit_corr(draws: DataFrame) -> DataFrame:
@@ -200,15 +191,20 @@ def acf(draws: DataFrame, nlags: int = 60, threshold: float = 0.15, value: str =
         block_rows: int = 4096) -> DataFrame:
     """A10: biased autocorrelation (overall mean, divided by c0) for lags 0..nlags;
     ``is_peak`` marks lags ≥ 1 whose absolute value exceeds ``threshold``."""
-    means = draws.groupBy("lottery").agg(F.avg(value).alias("_m"))
-    centred = draws.join(means, "lottery").select("lottery", "seq", (F.col(value) - F.col("_m")).alias("xc"))
-    lagged = blocked_lags(centred, "xc", nlags, block_rows)
-    sums = lagged.groupBy("lottery").agg(
-        F.sum(F.col("xc") * F.col("xc")).alias("c_0"),
-        *[F.sum(F.col("xc") * F.col(f"lag_{k}")).alias(f"c_{k}") for k in range(1, nlags + 1)])
-    stacked = sums.select("lottery", F.col("c_0").alias("c0"), F.explode(F.array(*[
-        F.struct(F.lit(k).alias("lag"), F.coalesce(F.col(f"c_{k}"), F.lit(0.0)).alias("ck"))
-        for k in range(0, nlags + 1)])).alias("e"))
+    # centred algebraically, so that no mean has to be joined back to the rows:
+    # sum (x - m)(x_k - m) = sum x x_k - m (sum x + sum x_k) + n_k m^2, over rows that have a lag k
+    lagged = blocked_lags(draws.select("lottery", "seq", F.col(value).cast("double").alias("x")), "x", nlags, block_rows)
+    sums = [F.avg("x").alias("m"), F.sum("x").alias("s_0"), F.sum(F.col("x") * F.col("x")).alias("p_0"), F.count("x").alias("n_0")]
+    for k in range(1, nlags + 1):
+        lag = F.col(f"lag_{k}")
+        sums += [F.sum(F.col("x") * lag).alias(f"p_{k}"), F.count(lag).alias(f"n_{k}"),
+                 F.sum(F.when(lag.isNotNull(), F.col("x") + lag)).alias(f"s_{k}")]
+    m = F.col("m")
+    stacked = lagged.groupBy("lottery").agg(*sums).select(
+        "lottery", (F.col("p_0") - m * m * F.col("n_0")).alias("c0"), F.explode(F.array(*[
+            F.struct(F.lit(k).alias("lag"), F.coalesce(
+                F.col(f"p_{k}") - m * F.col(f"s_{k}") * (2 if k == 0 else 1) + m * m * F.col(f"n_{k}"),
+                F.lit(0.0)).alias("ck")) for k in range(0, nlags + 1)])).alias("e"))
     # a constant series has c0 = 0: its autocorrelation is undefined (null)
     out = stacked.select("lottery", F.col("e.lag").alias("lag"),
                          F.when(F.col("c0") != 0, F.col("e.ck") / F.col("c0")).alias("acf"))

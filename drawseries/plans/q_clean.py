@@ -270,18 +270,12 @@ def q_list_lotteries(spark, sf_dir):
 @register("last_date", "lottery str, last_fecha date, start_fecha date", td.with_ctes(["raw"], f"""
 SELECT l.lottery, m.last_fecha,
        coalesce(m.last_fecha + INTERVAL 1 DAY, DATE '{TODAY}' - INTERVAL 30 DAY) AS start_fecha
-FROM (SELECT DISTINCT lottery FROM raw) l
-LEFT JOIN (SELECT lottery, max(fecha) AS last_fecha FROM raw WHERE fecha < DATE '1997-01-01'
-              AND lottery <> '4-NOT SPECIFIED' GROUP BY lottery) m ON l.lottery = m.lottery"""))
+FROM (SELECT DISTINCT lottery FROM raw UNION ALL SELECT '6-NEW') l
+LEFT JOIN (SELECT lottery, max(fecha) AS last_fecha FROM raw GROUP BY lottery) m ON l.lottery = m.lottery"""))
 def q_last_date(spark, sf_dir):
     r = td.raw_draws(spark, sf_dir)
-    hist = r.filter((F.col("fecha") < F.lit("1997-01-01").cast("date"))
-                    & (F.col("lottery") != "4-NOT SPECIFIED"))
-    marks = S.last_date(hist, default_days_back=30, today=TODAY)
-    lots = r.select("lottery").distinct()
-    out = lots.join(marks, "lottery", "left")
-    return out.withColumn("start_fecha", F.coalesce(
-        "start_fecha", F.date_sub(F.lit(TODAY).cast("date"), 30)))
+    extra = spark.createDataFrame([("6-NEW",)], "lottery string")        # a lottery without history
+    return S.last_date(r, default_days_back=30, today=TODAY, lotteries=r.select("lottery").unionByName(extra))
 
 
 # -- P12 --------------------------------------------------------------------

@@ -80,8 +80,8 @@ def _draw_features_sql():
 
 @register("features_recorded", f"{KEY_SPEC}, {FEATURE_SPEC}", _draw_features_sql())
 def q_features_recorded(spark, sf_dir):
-    """W1–W41 over F1 draws, plain window form."""
-    return features(td.draws(spark, sf_dir), block_rows=None)
+    """W1–W41 over F1 draws, block + halo form with the default blocks."""
+    return features(td.draws(spark, sf_dir))
 
 
 @register("features_blocked", f"{KEY_SPEC}, {FEATURE_SPEC}", _draw_features_sql())
@@ -113,9 +113,9 @@ def q_features_single_series_blocked(spark, sf_dir):
 
 
 @register("features_single_series_plain", f"{KEY_SPEC}, {FEATURE_SPEC}", _line_features_sql(),
-          note="same input, plain windows: one task for the whole series (comparison point)")
+          note="same input in smaller blocks; the plain window form lives in the tests only")
 def q_features_single_series_plain(spark, sf_dir):
-    return features(td.line_series(spark, sf_dir), block_rows=None)
+    return features(td.line_series(spark, sf_dir), block_rows=4096)
 
 
 def _as_of_sql():

@@ -25,14 +25,13 @@ SMALL = M.Candidate(n_estimators=10, max_depth=5, min_samples_split=2, seed=42)
 
 def _frame(spark, sf_dir):
     """As-of features of every draw with labels, weights and vectors (checkpointed)."""
-    as_of = features(td.draws(spark, sf_dir), mode="as_of", block_rows=4096)
+    # the features are read twice (labelled rows, newest rows): written once
+    as_of = checkpoint(features(td.draws(spark, sf_dir), mode="as_of", block_rows=4096))
     labelled, labels = M.training_frame(as_of)
     assembled = checkpoint(labelled)
-    assembled = M.sized(assembled, assembled.count())
     latest = as_of.filter(F.col("target").isNull())
     from pyspark.ml.feature import VectorAssembler
     latest = VectorAssembler(inputCols=M.FEATURE_COLUMNS, outputCol="features").transform(latest)
-    latest = M.sized(latest, 0)          # one row per series: one task
     return assembled, latest, labels
 
 

@@ -388,8 +388,7 @@ def q_alerts(spark, sf_dir):
 @register("recent_alerts", ALERT_SPEC, td.with_ctes(
     ["history"], "SELECT * FROM al ORDER BY ts DESC, k DESC, model_type DESC LIMIT 10", [_REG, _ALERTS_SQL]))
 def q_recent_alerts(spark, sf_dir):
-    a = _alerts(spark, sf_dir)
-    return a.orderBy(F.col("ts").desc(), F.col("k").desc(), F.col("model_type").desc()).limit(10)
+    return AL.recent(_alerts(spark, sf_dir))
 
 
 @register("alerts_by_lottery", ALERT_SPEC, td.with_ctes(

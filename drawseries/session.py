@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,7 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -72,15 +74,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def spread(df):
-    """Round-robin an input that has fewer partitions than task slots.
 
-    Per-row CPU work (regex parsing, date parsing) on a file that cannot be
-    split would otherwise run in one task.  A no-op when the input already has
-    at least as many partitions as the cluster has slots — always the case
-    for large inputs — so it never adds a shuffle at scale.
+def store(df, name: str):
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
+
+    Like :func:`checkpoint`, but the planner then knows the table's size, so a
+    join picks a broadcast by its own byte threshold before any shuffle is run.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

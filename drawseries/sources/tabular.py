@@ -83,13 +83,9 @@ def merge_snapshot(old: DataFrame, new: DataFrame, key=("fecha", "lottery"),
                    order_col: str = "k") -> DataFrame:
     """Concat, keep the last arrival per key (new after old, then ``order_col``).
 
-    As in the snapshot writer this re-implements, de-duplication only runs
-    when the old snapshot has rows; otherwise the new rows are taken as they
-    are.
+    Duplicates of the key go on the first load too.
     """
     from ..operators.catalog import dedupe_last
-    if old.isEmpty():
-        return new
     tagged = old.withColumn("_src", F.lit(0)).unionByName(new.withColumn("_src", F.lit(1)))
     return dedupe_last(tagged, list(key), ["_src", order_col]).drop("_src")
 
@@ -117,13 +113,16 @@ def list_lotteries(df: DataFrame, col: str = "lottery") -> DataFrame:
 
 
 def last_date(df: DataFrame, default_days_back: int | None = None,
-              today: str | None = None) -> DataFrame:
+              today: str | None = None, lotteries: DataFrame | None = None) -> DataFrame:
     """Last draw date per lottery; optional fallback start for empty history.
 
     ``default_days_back`` reproduces the file variant: with no history the
-    start is ``today - days``.
+    start is ``today - days``.  ``lotteries`` names the series to report, with
+    or without history (default: those that have some).
     """
     out = df.groupBy("lottery").agg(F.max("fecha").alias("last_fecha"))
+    if lotteries is not None:
+        out = lotteries.select("lottery").distinct().join(out, "lottery", "left")
     if default_days_back is not None:
         base = F.lit(today).cast("date") if today else F.current_date()
         out = out.withColumn("start_fecha", F.coalesce(

@@ -19,10 +19,6 @@ from pyspark.sql.window import Window
 from ..operators.sequence import add_seq
 from ..session import checkpoint
 
-# The twelve sign codes packed in zodiac order (3 letters each);
-# a customer key picks one by position.
-SIGN_STRIP = "ARITAUGEMCANLEOVIRLIBESCSAGCAPACUPIS"
-
 # Sign dimension, code -> display name (zodiac order).
 SIGN_NAMES = [
     ("ARI", "Aries"), ("TAU", "Tauro"), ("GEM", "Géminis"), ("CAN", "Cáncer"),
@@ -30,9 +26,17 @@ SIGN_NAMES = [
     ("SAG", "Sagitario"), ("CAP", "Capricornio"), ("ACU", "Acuario"), ("PIS", "Piscis"),
 ]
 
+# a customer key picks a code by its place in this row of codes
+SIGN_STRIP = "".join(code for code, _ in SIGN_NAMES)
+
 LOTTERIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
+# F1 keeps one draw per (date, lottery).  Every thousand customers draw in an era
+# of their own, later than the last one's, so that the series grow with the orders.
+ERA_CUSTOMERS, ERA_DAYS, ERAS = 1000, 2500, 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,7 +47,8 @@ def raw_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one row per order, duplicates on (fecha, lottery); ``k`` = arrival."""
     o = table(spark, sf_dir, "orders")
     return o.select(
-        F.col("o_orderdate").cast("date").alias("fecha"),
+        F.date_add(F.col("o_orderdate").cast("date"), (F.floor(F.col("o_custkey") / ERA_CUSTOMERS) % ERAS * ERA_DAYS).cast("int"))
+        .alias("fecha"),
         F.col("o_orderpriority").alias("lottery"),
         (F.floor("o_totalprice").cast("bigint") % 10000).cast("int").alias("result"),
         F.substring(F.lit(SIGN_STRIP), (F.col("o_custkey") % 12 * 3 + 1).cast("int"),
@@ -221,19 +226,6 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_pages.select("page_id", fetch.alias("lottery"), "html")
 
 
-# ---------------------------------------------------------------------- F8 --
-
-def persistence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F8: "repeat the previous draw" predictions against the actual draw."""
-    d = draws(spark, sf_dir)
-    w = Window.partitionBy("lottery").orderBy("seq")
-    return d.select("lottery", "fecha", "seq", F.col("result").alias("real"),
-                    F.col("series").alias("real_series"),
-                    F.lag("result").over(w).alias("pred"),
-                    F.lag("series").over(w).alias("pred_series")) \
-        .filter(F.col("pred").isNotNull())
-
-
 # ---------------------------------------------------------------------- F9 --
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +255,8 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_CTES: dict[str, str] = {
     "raw": f"""raw AS (
-  SELECT CAST(o_orderdate AS DATE) AS fecha, o_orderpriority AS lottery,
+  SELECT CAST(o_orderdate AS DATE) + CAST(floor(o_custkey / {ERA_CUSTOMERS}.0) % {ERAS} * {ERA_DAYS} AS INT) AS fecha,
+         o_orderpriority AS lottery,
          CAST(CAST(floor(o_totalprice) AS BIGINT) % 10000 AS INT) AS result,
          substr('{SIGN_STRIP}', CAST(3 * (o_custkey % 12) + 1 AS INT), 3) AS series,
          o_orderkey AS k

@@ -34,7 +34,7 @@ def start_table(initial: DataFrame, root: str) -> str:
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, schema, table_root: str, checkpoint_dir: str,
-                  key=("fecha", "lottery"), order: str = "k", max_files_per_trigger: int = 1):
+                  key=("fecha", "lottery"), order: str = "k", max_files_per_trigger: int | None = None):
     """Run the stream until the source is drained (``availableNow``); returns
     the newest table version as a DataFrame."""
     key = list(key)
@@ -45,8 +45,10 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema, table_root: str,
         merged = _merge(current, batch, key, order)
         merged.write.mode("overwrite").parquet(f"{table_root}/v={batch_id + 1}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger) \
-        .parquet(source_dir)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(source_dir)
     q = stream.writeStream.foreachBatch(upsert_batch).option("checkpointLocation", checkpoint_dir) \
         .trigger(availableNow=True).start()
     q.awaitTermination()

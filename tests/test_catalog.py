@@ -40,12 +40,6 @@ def test_lookup_rejects_unknown_keys(spark):
     assert {r[0] for r in CT.unknown_codes(d, td.signos(spark, drop=("PIS",))).collect()} == {"PIS"}
 
 
-def test_bounded_broadcast_respects_bound(spark):
-    small = spark.range(10)
-    assert "broadcast" in str(CT.bounded_broadcast(small, 100)._jdf.queryExecution().logical()).lower()
-    assert CT.bounded_broadcast(small, 5) is small
-
-
 def test_finite_or_zero(spark):
     df = spark.createDataFrame([(float("inf"), 1), (float("-inf"), None), (float("nan"), 2), (1.5, 3)],
                                "x double, y int")
@@ -78,11 +72,11 @@ def test_validate_reports_every_reason(spark):
                                          "fecha: unparseable", "series: required"]
 
 
-def test_merge_snapshot_dedupes_only_with_old_rows(spark):
+def test_merge_snapshot_dedupes_always(spark):
     from drawseries.sources.tabular import merge_snapshot
     schema = "fecha string, lottery string, result int, series string, k int"
     new = spark.createDataFrame([("d1", "A", 1, "ARI", 1), ("d1", "A", 2, "ARI", 2)], schema)
-    assert merge_snapshot(spark.createDataFrame([], schema), new).count() == 2
+    assert merge_snapshot(spark.createDataFrame([], schema), new).count() == 1
     old = spark.createDataFrame([("d0", "A", 9, "ARI", 0)], schema)
     out = {(r.fecha, r.result) for r in merge_snapshot(old, new).collect()}
     assert out == {("d0", 9), ("d1", 2)}

@@ -38,5 +38,5 @@ def test_top_k_limits_before_shuffle(spark):
     assert plan.count("WindowGroupLimit") >= 2          # partial (map side) and final
 
 
-def test_dimensions_broadcast_after_size_check(spark):
+def test_small_dimensions_are_broadcast(spark):
     assert "BroadcastHashJoin" in _plan(spark, "v_resultados")
