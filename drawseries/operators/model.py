@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 from .features import FEATURE_COLUMNS
 from .rank import top3_classes, top3_numbers
-from .stats import with_balanced_weights
+from .stats import classification_report, with_balanced_weights
 
 DIGITS = ["miles", "centenas", "decenas", "unidades"]
 PLACES = [1000, 100, 10, 1]
@@ -36,18 +36,21 @@ MLLIB_MAX_DEPTH = 30
 
 def random_split(df: DataFrame, test_size: float, seed: int, key=("lottery", "seq")) -> DataFrame:
     """H1: ``is_test`` from a hash of the row key and the seed — the same rows
-    for every target, independent of partitioning; the share is approximate."""
-    h = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(1000))
+    for every target, independent of partitioning and computed alike by any SQL
+    engine (MD5); the share is approximate."""
+    text = F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
+    h = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") % 1000
     return df.withColumn("is_test", h < int(round(1000 * test_size)))
 
 
 # -- training frame ---------------------------------------------------------
 
 def training_frame(as_of: DataFrame, sign_labels: list[str] | None = None,
-                   weights: bool = True) -> tuple[DataFrame, list[str]]:
-    """Labels (4 digits + sign index), class weights and the feature vector.
+                   weights: bool = False) -> tuple[DataFrame, list[str]]:
+    """Labels (4 digits + sign index) and the feature vector.
 
-    The sign index is alphabetical over every sign present (P13); returned
+    Class weights are left to the fit, which sees the training rows only
+    (``weights`` adds them over all rows).  The sign index is alphabetical over every sign present (P13); returned
     with the frame so predictions can be decoded.
     """
     df = as_of
@@ -101,9 +104,18 @@ class Candidate:
 
 # -- H2 / H13 ---------------------------------------------------------------
 
+def weighted(train: DataFrame) -> DataFrame:
+    """Balanced class weights of the rows that are trained on, unless present."""
+    if f"w_{TARGETS[0]}" in train.columns:
+        return train
+    return checkpoint(with_balanced_weights(train, TARGETS, key="lottery"))
+
+
 def fit_digit_models(train: DataFrame, cand: Candidate, targets=TARGETS) -> dict:
     """H2: one classifier per target on ``train`` (all rows given)."""
     models = {}
+    if cand.algorithm == "rf":
+        train = weighted(train)
     for t in targets:
         weight = f"w_{t}" if cand.algorithm == "rf" else None
         models[t] = cand.estimator(t, weight).fit(train.filter(F.col(t).isNotNull()))
@@ -125,6 +137,8 @@ def fit_per_lottery(train: DataFrame, cand: Candidate, lotteries: list[str], par
     """
     from concurrent.futures import ThreadPoolExecutor
     jobs = [(lot, t) for lot in lotteries for t in TARGETS]
+    if cand.algorithm == "rf":
+        train = weighted(train)
 
     def fit(job):
         lot, t = job
@@ -178,6 +192,19 @@ def accuracy_table(scored: DataFrame) -> DataFrame:
     return out.withColumn("result_acc", sum(F.col(f"{d}_acc") for d in DIGITS) / 4)
 
 
+def macro_f1(scored: DataFrame) -> DataFrame:
+    """A5 over model predictions: per lottery macro F1 of the sign, and the mean
+    over the four digits' macro F1 as that of the result."""
+    rows = scored.select("lottery", F.explode(F.array(*[
+        F.struct(F.lit("series" if t == "series" else "result").alias("target"), F.lit(t).alias("part"),
+                 F.col(f"y_{t}").cast("int").alias("y"), F.col(f"pred_{t}").cast("int").alias("p"))
+        for t in [*DIGITS, "series"]])).alias("_e")).select("lottery", "_e.*")
+    keyed = rows.withColumn("key", F.concat_ws("\u0001", "lottery", "target", "part"))
+    per = classification_report(keyed, "y", "p", key="key").groupBy("key").agg(F.first("macro_f1").alias("f1"))
+    names = F.split("key", "\u0001")
+    return per.groupBy(names[0].alias("lottery"), names[1].alias("target")).agg(F.avg("f1").alias("f1"))
+
+
 # -- H4 ---------------------------------------------------------------------
 
 # Hyper-parameter grids (test profile, production profile).
@@ -199,7 +226,6 @@ def search(frame: DataFrame, candidates: list[Candidate], test_size: float = 0.2
     """H4: evaluate every candidate on one shared holdout; returns a results
     table ``(candidate, lottery, params…, *_acc)``.  The best per target is
     chosen independently from this table (T6/T9)."""
-    spark = frame.sparkSession
     split = checkpoint(random_split(frame, test_size, split_seed))
     train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
     lotteries = lotteries or [r[0] for r in split.select("lottery").distinct().collect()]
@@ -211,7 +237,6 @@ def search(frame: DataFrame, candidates: list[Candidate], test_size: float = 0.2
             F.lit(cand.max_depth).cast("int").alias("max_depth"),
             F.lit(cand.min_samples_split).alias("min_samples_split"), F.lit(cand.seed).alias("seed"))
         results = acc if results is None else results.unionByName(acc)
-    del spark
     return results
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.clean import DIGIT_COLUMNS, digits
+from ..session import store
 
 POSITIONS = DIGIT_COLUMNS
 
@@ -120,7 +121,8 @@ def with_balanced_weights(df: DataFrame, labels: list[str], key: str = "lottery"
     w = counts.join(tot, [key, "_t"]).select(
         key, F.concat_ws("\u0001", "_t", "_v").alias("_kv"), (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("_w"))
     per_key = w.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_kv", "_w"))).alias("_wm"))
-    out = df.join(per_key, key, "left")
+    # written, so that the planner knows the (small) size and need not shuffle the rows
+    out = df.join(store(per_key, "class-weights"), key, "left")
     for c in labels:
         out = out.withColumn(prefix + c, F.try_element_at(
             F.col("_wm"), F.concat_ws("\u0001", F.lit(c), F.col(c).cast("string"))))

@@ -1,7 +1,7 @@
 """Model, registry and prediction-sink queries.
 
-MLlib fits are randomised by design, so these queries have no SQL oracle
-(the driver records a rows-only check); pytest covers their invariants.
+MLlib fits are randomised by design, so these queries return what must hold of
+any right fit, per lottery and target, and their SQL states it.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import model as M
 from ..operators import registry as RG
@@ -40,29 +41,63 @@ def _lotteries(df, train=None):
     return M.eligible_lotteries(train if train is not None else df, min_rows=50)
 
 
-@register("ml_random_split", "lottery str, seq int, is_test bool")
+# Random forests differ from run to run of another engine, so these queries return
+# what holds for any right result; their SQL states it per lottery and target.
+_TEST = "(('0x' || substr(md5(lottery || ':' || seq || ':42'), 1, 13))::BIGINT % 1000) < 200"
+_LOTS = "lots AS (SELECT lottery, count(*) - 1 AS n_train FROM draws GROUP BY lottery HAVING count(*) - 1 >= 50)"
+_SPLIT = f"""split AS (SELECT lottery, count(*) AS n FROM (
+  SELECT lottery, seq, max(seq) OVER (PARTITION BY lottery) AS last FROM draws) s
+  WHERE seq < last AND {_TEST} GROUP BY lottery)"""
+_RANKS = "ranks AS (SELECT unnest([1, 2, 3]) AS rank)"
+_TARGET = "targets AS (SELECT unnest(['result', 'series']) AS target)"
+CANDIDATES = M.draw_candidates(M.GRID_TEST, 4, rng_seed=1)
+_CANDS = "cands AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {c.n_estimators}, {c.max_depth})" for i, c in enumerate(CANDIDATES)) + ") c(candidate, n_estimators, max_depth))"
+UNREGISTERED = "5-LOW"            # left out of the registry, to show what prediction does without a model
+
+
+def _ml_sql(body, *extra):
+    return td.with_ctes(["draws"], body, [_LOTS, *extra])
+
+
+def _falling(prob, group="lottery"):
+    """Whether a row's probability is in [0, 1] and at most that of the rank before."""
+    before = F.lag(prob).over(Window.partitionBy(group).orderBy("rank"))
+    return F.coalesce(F.col(prob).between(0, 1) & (before.isNull() | (F.col(prob) <= before)), F.lit(False))
+
+
+def _share(c):
+    return F.coalesce(F.col(c).between(0, 1), F.lit(False))
+
+
+@register("ml_random_split", "lottery str, seq int, is_test bool", td.with_ctes(
+    ["draws"], f"SELECT lottery, seq, {_TEST} AS is_test FROM draws"))
 def q_ml_random_split(spark, sf_dir):
     as_of = features(td.draws(spark, sf_dir), mode="as_of", block_rows=4096)
     return M.random_split(as_of, 0.2, 42).select("lottery", "seq", "is_test")
 
 
-@register("ml_predict_latest", "lottery str, rank int, number int, prob dbl")
+@register("ml_predict_latest", "lottery str, rank int, number_ok bool, prob_ok bool", _ml_sql(
+    "SELECT lottery, rank, true AS number_ok, true AS prob_ok FROM lots, ranks", _RANKS))
 def q_ml_predict_latest(spark, sf_dir):
     train, latest, labels = _frame(spark, sf_dir)
     models = M.fit_per_lottery(train, SMALL, _lotteries(latest, train))
     numbers, _signs = M.predict_latest(latest.withColumn("target", F.lit(None).cast("int")), models, labels)
-    return numbers
+    return numbers.select("lottery", "rank", F.col("number").between(0, 9999).alias("number_ok"), _falling("prob").alias("prob_ok"))
 
 
-@register("ml_top3_signs", "lottery str, rank int, cls int, sign str, prob dbl")
+@register("ml_top3_signs", "lottery str, rank int, sign_ok bool, prob_ok bool", _ml_sql(
+    "SELECT lottery, rank, true AS sign_ok, true AS prob_ok FROM lots, ranks", _RANKS))
 def q_ml_top3_signs(spark, sf_dir):
     train, latest, labels = _frame(spark, sf_dir)
     models = M.fit_per_lottery(train, SMALL, _lotteries(latest, train))
     _numbers, signs = M.predict_latest(latest.withColumn("target", F.lit(None).cast("int")), models, labels)
-    return signs
+    return signs.select("lottery", "rank", F.col("sign").isin(*[c for c, _ in td.SIGN_NAMES]).alias("sign_ok"),
+                        _falling("prob").alias("prob_ok"))
 
 
-@register("ml_prediction_log", "lottery str, numero str, serie str, n_numbers int, n_signs int, modelo str")
+@register("ml_prediction_log", "lottery str, numero_ok bool, serie_ok bool, n_numbers int, n_signs int, modelo str", _ml_sql(
+    "SELECT lottery, true AS numero_ok, true AS serie_ok, 3 AS n_numbers, 3 AS n_signs, 'rf' AS modelo FROM lots"))
 def q_ml_prediction_log(spark, sf_dir):
     """H6 → S4: nested prediction records appended to a JSON log and read back."""
     train, latest, labels = _frame(spark, sf_dir)
@@ -71,95 +106,143 @@ def q_ml_prediction_log(spark, sf_dir):
     path = f"{ensure_checkpoint_dir(spark)}/prediction_log_{uuid.uuid4().hex}"
     S.append_predictions(M.prediction_records(numbers, signs).drop("timestamp"), path)
     log = spark.read.json(path)
-    return log.select("lottery", "numero", "serie", F.size("top3_numeros").alias("n_numbers"),
-                      F.size("top3_signos").alias("n_signs"), "modelo")
+    return log.select("lottery", F.col("numero").rlike("^[0-9]{4}$").alias("numero_ok"),
+                      F.col("serie").isin(*[c for c, _ in td.SIGN_NAMES]).alias("serie_ok"),
+                      F.size("top3_numeros").alias("n_numbers"), F.size("top3_signos").alias("n_signs"), "modelo")
 
 
-@register("ml_search", "candidate int, lottery str, n int, result_acc dbl, series_acc dbl, n_estimators int, "
-                       "max_depth int, rank int, is_elite bool")
-def q_ml_search(spark, sf_dir):
+def _search(spark, sf_dir):
     train, _latest, _labels = _frame(spark, sf_dir)
-    cands = M.draw_candidates(M.GRID_TEST, 2, rng_seed=1)
-    res = M.search(train, cands, test_size=0.2, split_seed=42)
-    board = TR.leaderboard(res.withColumnRenamed("candidate", "attempt"), group="lottery",
+    return M.search(train, CANDIDATES, test_size=0.2, split_seed=42)
+
+
+@register("ml_search", "candidate int, lottery str, n int, n_estimators int, max_depth int, acc_ok bool, rank_ok bool", _ml_sql(
+    "SELECT candidate, s.lottery, s.n, n_estimators, max_depth, true AS acc_ok, true AS rank_ok FROM split s, cands",
+    _SPLIT, _CANDS))
+def q_ml_search(spark, sf_dir):
+    board = TR.leaderboard(_search(spark, sf_dir).withColumnRenamed("candidate", "attempt"), group="lottery",
                            fitness="result_acc").withColumnRenamed("attempt", "candidate")
-    return board
+    return board.select("candidate", "lottery", "n", "n_estimators", "max_depth",
+                        (_share("result_acc") & _share("series_acc")).alias("acc_ok"),
+                        F.col("rank").between(1, len(CANDIDATES)).alias("rank_ok"))
 
 
-@register("ml_select_best", "lottery str, target str, candidate int, accuracy dbl")
+@register("ml_select_best", "lottery str, target str, candidate_ok bool, acc_ok bool", _ml_sql(
+    "SELECT lottery, target, true AS candidate_ok, true AS acc_ok FROM lots, targets", _TARGET))
 def q_ml_select_best(spark, sf_dir):
     """H4: best candidate per (lottery, target) against a registered baseline."""
-    train, _latest, _labels = _frame(spark, sf_dir)
-    cands = M.draw_candidates(M.GRID_TEST, 2, rng_seed=1)
-    res = M.search(train, cands, test_size=0.2, split_seed=42)
     registered = TR.registry_long(td.history(spark, sf_dir)).withColumn(
         "accuracy", F.col("accuracy") / 10)          # a weak registered baseline
-    return M.select_best(res, registered)
+    return M.select_best(_search(spark, sf_dir), registered).select(
+        "lottery", "target", F.col("candidate").between(-1, len(CANDIDATES) - 1).alias("candidate_ok"), _share("accuracy").alias("acc_ok"))
 
 
-@register("ml_feature_importance", "target str, feature str, importance dbl, rank int")
+@register("ml_feature_importance", "lottery str, target str, rank int, known bool, importance_ok bool", _ml_sql(
+    "SELECT lottery, target, rank, true AS known, true AS importance_ok FROM lots, "
+    f"(SELECT unnest({M.TARGETS}) AS target) t, (SELECT unnest(range(1, 11)) AS rank) r"))
 def q_ml_feature_importance(spark, sf_dir):
-    train, _latest, _labels = _frame(spark, sf_dir)
-    models = M.fit_digit_models(train, SMALL)
-    rows = [(t, name, imp, i + 1) for t, m in models.items()
+    """The ten most important features of every lottery's models."""
+    train, latest, _labels = _frame(spark, sf_dir)
+    models = M.fit_per_lottery(train, SMALL, _lotteries(latest, train))
+    rows = [(lot, t, name in M.FEATURE_COLUMNS, 0 <= imp <= 1, i + 1) for lot, by in models.items() for t, m in by.items()
             for i, (name, imp) in enumerate(M.feature_importance(m))]
-    return spark.createDataFrame(rows, "target string, feature string, importance double, rank int")
+    return spark.createDataFrame(rows, "lottery string, target string, known boolean, importance_ok boolean, rank int")
 
 
-@register("ml_score_dates", "fecha date, lottery str, numero str")
+@register("ml_score_dates", "fecha date, lottery str, numero_ok bool", td.with_ctes(["draws"], """
+SELECT CAST(m.last + d.k AS DATE) AS fecha, lottery, true AS numero_ok
+FROM (SELECT lottery, max(fecha) AS last FROM draws GROUP BY lottery HAVING count(*) - 1 >= 50) m,
+     (SELECT CAST(unnest(range(1, 8)) AS INT) AS k) d"""))
 def q_ml_score_dates(spark, sf_dir):
     train, latest, _labels = _frame(spark, sf_dir)
     models = M.fit_per_lottery(train, SMALL, _lotteries(latest, train))
-    return M.score_dates(latest.withColumn("target", F.lit(None).cast("int")), models, next_n=7)
+    got = M.score_dates(latest.withColumn("target", F.lit(None).cast("int")), models, next_n=7)
+    return got.select("fecha", "lottery", F.col("numero").rlike("^[0-9]{4}$").alias("numero_ok"))
 
 
-@register("ml_boosted_candidate", "lottery str, n int, unidades_acc dbl")
+@register("ml_boosted_candidate", "lottery str, n int, acc_ok bool", _ml_sql(
+    "SELECT s.lottery, s.n, true AS acc_ok FROM split s JOIN lots USING (lottery)", _SPLIT))
 def q_ml_boosted(spark, sf_dir):
-    train, _latest, _labels = _frame(spark, sf_dir)
+    """A boosted candidate, fitted per lottery on the units digit."""
+    train, latest, _labels = _frame(spark, sf_dir)
     split = M.random_split(train, 0.2, 42)
     cand = M.Candidate(n_estimators=3, max_depth=3, algorithm="gbt", learning_rate=0.1, subsample=0.8)
     models = M.fit_digit_models(split.filter(~F.col("is_test")), cand, targets=["y_unidades"])
     scored = M.apply_models(split.filter(F.col("is_test")), models)
     return scored.groupBy("lottery").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg((F.col("pred_unidades") == F.col("y_unidades")).cast("double")).alias("unidades_acc"))
+        F.avg((F.col("pred_unidades") == F.col("y_unidades")).cast("double")).alias("acc")).select(
+        "lottery", "n", _share("acc").alias("acc_ok"))
 
 
-@register("ml_warm_start", "lottery str, n int, miles_acc dbl, n_trees int")
+@register("ml_warm_start", "lottery str, n int, n_trees int, result_ok bool, series_ok bool", _ml_sql(
+    "SELECT s.lottery, s.n, 55 AS n_trees, true AS result_ok, true AS series_ok FROM split s JOIN lots USING (lottery)", _SPLIT))
 def q_ml_warm_start(spark, sf_dir):
+    """Five trees more fifty; all five forests are scored."""
     train, _latest, _labels = _frame(spark, sf_dir)
     split = M.random_split(train, 0.2, 42)
-    cand = M.Candidate(n_estimators=5, max_depth=4)
-    fit = split.filter(~F.col("is_test"))
-    models = M.warm_start_fit(fit, cand, extra_trees=50)
-    m = models["y_miles"]
-    scored = M.apply_models(split.filter(F.col("is_test")), {"y_miles": m})
-    return scored.groupBy("lottery").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg((F.col("pred_miles") == F.col("y_miles")).cast("double")).alias("miles_acc"),
-        F.lit(m.getNumTrees).alias("n_trees"))
+    models = M.warm_start_fit(split.filter(~F.col("is_test")), M.Candidate(n_estimators=5, max_depth=4), extra_trees=50)
+    acc = M.accuracy_table(M.apply_models(split.filter(F.col("is_test")), models))
+    return acc.select("lottery", "n", F.lit(min(m.getNumTrees for m in models.values())).alias("n_trees"),
+                      _share("result_acc").alias("result_ok"), _share("series_acc").alias("series_ok"))
 
 
-@register("ml_register_models", "lottery str, target str, accuracy dbl, n_features int, model_path str")
-def q_ml_register_models(spark, sf_dir):
-    train, latest, _labels = _frame(spark, sf_dir)
-    split = M.random_split(train, 0.2, 42)
-    lots = _lotteries(latest, train)
+def _registered(spark, sf_dir, skip=()):
+    """Fits every lottery on its training rows and registers ``result`` and ``series`` with accuracy and macro F1."""
+    train, latest, labels = _frame(spark, sf_dir)
+    split = checkpoint(M.random_split(train, 0.2, 42))
+    lots = [x for x in _lotteries(latest, train) if x not in skip]
     models = M.fit_per_lottery(split.filter(~F.col("is_test")), SMALL, lots)
-    acc = {(r["lottery"]): r for r in M.accuracy_table(M.score(split.filter(F.col("is_test")), models)).collect()}
+    scored = checkpoint(M.score(split.filter(F.col("is_test")), models).select(
+        "lottery", *[f"{p}_{t}" for t in [*M.DIGITS, "series"] for p in ("y", "pred")]))
+    acc = {r["lottery"]: r for r in M.accuracy_table(scored).collect()}
+    f1 = {(r["lottery"], r["target"]): r["f1"] for r in M.macro_f1(scored).collect()}
+    n_rec = {r[0]: r[1] for r in train.groupBy("lottery").count().collect()}
     rows, saved = [], {}
-    n_rec = train.groupBy("lottery").count().collect()
-    n_rec = {r[0]: r[1] for r in n_rec}
     for lot in lots:
-        for t in M.TARGETS:
+        for target in ("result", "series"):
             mid = uuid.uuid4().hex
-            a = acc[lot]["series_acc" if t == "y_series" else "result_acc"]
-            rows.append({"model_id": mid, "lottery": lot, "target": "series" if t == "y_series" else t[2:],
-                         "accuracy": a, "n_records": n_rec[lot], "params": SMALL.__dict__})
-            saved[(lot, t, mid)] = models[lot][t]
+            rows.append({"model_id": mid, "lottery": lot, "target": target, "accuracy": acc[lot][f"{target}_acc"],
+                         "f1": f1[lot, target], "n_records": n_rec[lot], "params": SMALL.__dict__})
+            saved[lot, target, mid] = {t: m for t, m in models[lot].items() if (t == "y_series") == (target == "series")}
     root = f"{ensure_checkpoint_dir(spark)}/registry_{uuid.uuid4().hex}"
     kept, _path = RG.register_if_better(spark, root, RG.entries(spark, rows), saved)
-    return kept.select("lottery", "target", "accuracy", "n_features", "model_path")
+    return kept, root, latest, labels
+
+
+@register("ml_register_models", "lottery str, target str, n_features int, acc_ok bool, f1_ok bool, has_path bool", _ml_sql(
+    "SELECT lottery, target, 41 AS n_features, true AS acc_ok, true AS f1_ok, true AS has_path FROM lots, targets", _TARGET))
+def q_ml_register_models(spark, sf_dir):
+    kept, _root, _latest, _labels = _registered(spark, sf_dir)
+    return kept.select("lottery", "target", "n_features", _share("accuracy").alias("acc_ok"), _share("f1").alias("f1_ok"),
+                       F.col("model_path").endswith(F.col("model_id")).alias("has_path"))
+
+
+@register("predict_from_registry", "lottery str, status str, n_numbers int, n_signs int", _ml_sql(
+    f"SELECT lottery, CASE WHEN lottery = '{UNREGISTERED}' THEN 'no_model' ELSE 'ok' END AS status, "
+    f"CASE WHEN lottery = '{UNREGISTERED}' THEN 0 ELSE 3 END AS n_numbers, "
+    f"CASE WHEN lottery = '{UNREGISTERED}' THEN 0 ELSE 3 END AS n_signs FROM lots"))
+def q_predict_from_registry(spark, sf_dir):
+    """T6 → load → H6 → S4: the best stored models predict; a lottery without one gets a status row."""
+    _kept, root, latest, labels = _registered(spark, sf_dir, skip=(UNREGISTERED,))
+    names = [r[0] for r in latest.select("lottery").orderBy("lottery").collect()]
+    models, status = RG.best_models(spark, root, names)
+    numbers, signs = M.predict_latest(latest.withColumn("target", F.lit(None).cast("int")), models, labels)
+    path = f"{root}/predictions"
+    S.append_predictions(M.prediction_records(numbers, signs).drop("timestamp"), path)
+    log = spark.read.json(path).select("lottery", F.size("top3_numeros").alias("n_numbers"), F.size("top3_signos").alias("n_signs"))
+    states = spark.createDataFrame(sorted(status.items()), "lottery string, status string")
+    return states.join(log, "lottery", "left").select(
+        "lottery", "status", F.coalesce("n_numbers", F.lit(0)).alias("n_numbers"), F.coalesce("n_signs", F.lit(0)).alias("n_signs"))
+
+
+@register("model_alerts", "lottery str, target str, level str, metric_name str", _ml_sql(
+    "SELECT lottery, target, 'CRITICAL' AS level, 'f1_' || target AS metric_name FROM lots, targets", _TARGET))
+def q_model_alerts(spark, sf_dir):
+    """L1 fed from the registry: draws are random, so every model's macro F1 is far under the critical line."""
+    from ..operators import alerts as AL
+    kept, _root, _latest, _labels = _registered(spark, sf_dir)
+    return AL.alerts(kept.select("lottery", "target", "accuracy", "f1"), model_type="target")
 
 
 def _persistence_predictions(spark, sf_dir):
