@@ -222,14 +222,16 @@ def sign_codes(df: DataFrame, col: str = "series") -> DataFrame:
 
 def encode_sign(df: DataFrame, col: str = "series", codes: DataFrame | None = None) -> DataFrame:
     """Add ``<col>_code``."""
-    codes = codes if codes is not None else sign_codes(df, col)
+    from ..session import store
+    codes = store(codes if codes is not None else sign_codes(df, col), "sign-codes")    # the planner then knows its size
     return df.join(codes.withColumnRenamed("code", f"{col}_code"),
                    F.upper(df[col]) == codes["sign"], "left").drop("sign")
 
 
 def decode_sign(df: DataFrame, code_col: str, codes: DataFrame, out: str = "decoded") -> DataFrame:
     """Code → sign through the same code table; unknown code → its text."""
-    c = codes.select(F.col("code").alias("_code"), F.col("sign").alias("_sign"))
+    from ..session import store
+    c = store(codes.select(F.col("code").alias("_code"), F.col("sign").alias("_sign")), "sign-codes")
     return df.join(c, df[code_col] == c["_code"], "left") \
         .withColumn(out, F.coalesce(F.col("_sign"), F.col(code_col).cast("string"))) \
         .drop("_code", "_sign")

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import store
+
 from ..functions.clean import (ESSENTIAL, canonical_text, essential_columns, lottery_eq,
                                parse_fecha)
 
@@ -141,7 +143,8 @@ def new_rows(feed: DataFrame, target: DataFrame, today: str, upper_bound: bool =
     variant).  The watermark table holds one row per lottery.
     """
     yesterday = F.date_sub(F.lit(today).cast("date"), 1)
-    marks = last_date(target).withColumnRenamed("lottery", "_lot")
+    # written, so that the join need not shuffle the feed by its few lotteries
+    marks = store(last_date(target).withColumnRenamed("lottery", "_lot"), "watermarks")
     j = feed.join(marks, feed["lottery"] == marks["_lot"], "left")
     keep = F.col("last_fecha").isNull() | (
         (F.col("last_fecha") < yesterday) & (F.col("fecha") >= F.date_add("last_fecha", 1)))
