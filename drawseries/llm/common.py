@@ -22,6 +22,29 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+class Memo(dict):
+    """What ``make`` gives for a key, remembered for up to twice ``limit`` keys.
+
+    Full, it becomes the older half and a new one begins, so that keys in use are
+    kept.  Long keys are not remembered.
+    """
+
+    def __init__(self, make, limit: int, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest, self.older = make, limit, longest, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 def short_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session (see ``ARROW_ROWS``)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -25,16 +25,19 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import short_batches
+from .common import Memo, short_batches
 from .ordered import block_bounds, deal, sorted_blocks
 
 #: (ids in a word, bits of each), by selector 1 to 14.
@@ -42,6 +45,8 @@ WIDTHS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
           (2, 30), (1, 60)]
 ESCAPE = 0
 FRAME = 1024
+#: Narrower widths than one that starts at fewer places than this share are not tried.
+RARE = 0.005
 IDS = 1 << 16
 
 FILE = ("deal int, block long, first long, doc_ids array<long>, counts array<int>, words binary, "
@@ -52,16 +57,23 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, frame offsets, escaped values) of an array of unsigned 64-bit ids."""
     ids = np.asarray(ids, dtype=np.uint64)
     n = len(ids)
-    # for each place the selector that packs most ids from there on in its frame
-    choice = np.zeros(n, dtype=np.int8)
-    taken = np.ones(n, dtype=np.int64)
-    left = np.minimum(n - np.arange(n), FRAME - np.arange(n) % FRAME)
+    # for each place of a frame the selector that packs most ids from there on
+    rows = -(-n // FRAME)
+    grid = np.zeros((rows, FRAME), dtype=np.uint64)
+    grid.reshape(-1)[:n] = ids
+    choice = np.full((rows, FRAME), ESCAPE, dtype=np.int8)
+    taken = np.ones((rows, FRAME), dtype=np.int64)
+    left = np.minimum(FRAME - np.arange(FRAME), n - np.arange(rows)[:, None] * FRAME - np.arange(FRAME))
+    wide = np.zeros((rows, FRAME + 1), dtype=np.int16)
     for s in range(len(WIDTHS), 0, -1):
         count, bits = WIDTHS[s - 1]
-        wide = np.concatenate([[0], np.cumsum((ids >> np.uint64(bits)) != 0)])
-        reach = np.minimum(count, left)
-        ok = wide[np.arange(n) + reach] == wide[:-1]
-        choice[ok], taken[ok] = s, reach[ok]
+        np.cumsum((grid >> np.uint64(bits)) != 0, axis=1, out=wide[:, 1:])
+        ok = wide[:, np.minimum(np.arange(FRAME) + count, FRAME)] == wide[:, :-1]
+        if ok.mean() < RARE:
+            break
+        choice[ok] = s
+        taken[ok] = np.minimum(count, left)[ok]
+    choice, taken = choice.reshape(-1), taken.reshape(-1)
     steps = taken.tolist()
     starts, at = [], 0
     while at < n:
@@ -114,7 +126,7 @@ def unpack(words: np.ndarray, frames: np.ndarray, escapes: np.ndarray, n: int) -
     return out
 
 
-def _blocks(encode: Callable[[], Callable[[list[str]], list[list[int]]]], end_id: int | None):
+def _blocks(encode: Callable[[], Callable[[list[str]], list[np.ndarray]]], end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encode()
         names = [f.split()[0] for f in FILE.split(", ")]
@@ -142,7 +154,7 @@ def _blocks(encode: Callable[[], Callable[[list[str]], list[list[int]]]], end_id
                     if doc_ids:
                         yield close()
                     deal_no, made, before = block, 0, 0
-                got = np.array(ids if end_id is None else [*ids, end_id], dtype=np.uint64)
+                got = ids.astype(np.uint64) if end_id is None else np.append(ids.astype(np.uint64), np.uint64(end_id))
                 doc_ids.append(doc)
                 counts.append(len(got))
                 held.append(got)
@@ -154,11 +166,11 @@ def _blocks(encode: Callable[[], Callable[[list[str]], list[list[int]]]], end_id
     return run
 
 
-def write_tokens(docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[list[int]]]],
+def write_tokens(docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[np.ndarray]]],
                  path: str | None = None, end_id: int | None = None, key: str = "doc_id", text: str = "text") -> str:
     """Encode every whole text, write the file and return its path.
 
-    ``encode()`` is called once in a task and returns a function from texts to ids.
+    ``encode()`` is called once in a task and returns a function from texts to arrays of ids.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -211,36 +223,71 @@ def decode_tokens(blocks: DataFrame, as_u32: bool = False) -> DataFrame:
         run, f"doc_id long, start long, n_tokens long, ids {'binary' if as_u32 else 'array<long>'}")
 
 
-def library_encoder(tokenizer_path: str, memo_limit: int = 300_000) -> Callable[[], Callable[[list[str]], list[list[int]]]]:
+def library_encoder(tokenizer_path: str, memo: int = 200_000) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
     """Encoding with a file of the ``tokenizers`` library, words memoised.
 
-    A text is cut at ASCII white space, which that file's pre-tokenizer drops and
-    no token crosses; each distinct part is encoded once by the library.  Only for
-    files whose pre-tokenizer splits at white space.
+    A text is cut at ASCII white space, which no token of these files crosses, and
+    each distinct part is encoded once.  Where the file's pre-tokenizer keeps the
+    matches of one pattern as byte-level pieces, the library's normalizer and model
+    are called on each distinct piece; else its whole encoding on each part.  Only
+    for files whose pre-tokenizer drops white space.
     """
     def make():
-        key = ("tokenizers", tokenizer_path)
-        if key not in _CODERS:
-            import os
-
-            from tokenizers import Tokenizer
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            tok = Tokenizer.from_file(tokenizer_path)
-            tok.encode_special_tokens = True         # their strings in a text are ordinary text
-            _CODERS[key] = (tok, {})
-        tok, memo = _CODERS[key]
-
-        def encode(texts: list[str]) -> list[list[int]]:
-            if len(memo) >= memo_limit:
-                memo.clear()
-            cut = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-            new = {w for words in cut for w in words}.difference(memo)
-            new = list(new)
-            coded = tok.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-            memo.update(zip(new, [tuple(c.ids) for c in coded]))
-            return [[i for w in words for i in memo[w]] for words in cut]
+        if tokenizer_path not in _CODERS:
+            _CODERS[tokenizer_path] = Memo(_part_encoder(tokenizer_path, memo), memo)
+        parts = _CODERS[tokenizer_path]
+
+        def encode(texts: list[str]) -> list[np.ndarray]:
+            return [np.frombuffer(b"".join([parts[w] for w in t.encode("utf-8", "surrogatepass").split()]), "<u4")
+                    for t in texts]
         return encode
     return make
 
 
-_CODERS: dict = {}
+def _part_encoder(path: str, memo: int) -> Callable[[bytes], bytes]:
+    """A function from a part of a text without white space to its ids as 32-bit integers."""
+    import os
+
+    from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True                 # their strings in a text are ordinary text
+    steps = (json.loads(tok.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
+    plain = ([s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed"
+             and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"])
+    # of ASCII parts the normalizer changes nothing but the case
+    kinds = {k["type"] for k in (json.loads(tok.to_str())["normalizer"] or {}).get("normalizers", [])}
+    plain = plain and kinds == {"NFC", "Replace", "Lowercase"}
+    if not plain:
+        return lambda w: np.array(tok.encode(w.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
+    pattern = regex.compile(steps[0]["pattern"]["Regex"])
+    normalize, model = tok.normalizer.normalize_str, tok.model
+    letters = _byte_letters()
+
+    def piece(p: str) -> bytes:
+        mapped = p if p.isascii() else "".join([letters[b] for b in p.encode("utf-8", "surrogatepass")])
+        return array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
+
+    pieces = Memo(piece, memo)
+
+    def part(w: bytes) -> bytes:
+        if w.isascii():                              # a run of letters, or one with a mark behind it, is its own pieces
+            s = w.lower().decode()
+            if s.isalpha():
+                return pieces[s]
+            if s[-1] in ".,;:!?" and s[:-1].isalpha():
+                return pieces[s[:-1]] + pieces[s[-1]]
+            return b"".join([pieces[p] for p in pattern.findall(s)])
+        s = normalize(w.decode("utf-8", "surrogatepass"))
+        return b"".join([pieces[p] for p in pattern.findall(s)])
+    return part
+
+
+def _byte_letters() -> list[str]:
+    """The printable character that byte-level tokenizers write for each byte: itself, or the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+_CODERS: dict[str, Memo] = {}
