@@ -32,7 +32,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +45,7 @@ WIDTHS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
 ESCAPE = 0
 FRAME = 1024
 #: Narrower widths than one that starts at fewer places than this share are not tried.
-RARE = 0.005
+RARE = 0.02
 IDS = 1 << 16
 
 FILE = ("deal int, block long, first long, doc_ids array<long>, counts array<int>, words binary, "
@@ -223,7 +222,7 @@ def decode_tokens(blocks: DataFrame, as_u32: bool = False) -> DataFrame:
         run, f"doc_id long, start long, n_tokens long, ids {'binary' if as_u32 else 'array<long>'}")
 
 
-def library_encoder(tokenizer_path: str, memo: int = 200_000) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
+def library_encoder(tokenizer_path: str, memo: int = 350_000) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
     """Encoding with a file of the ``tokenizers`` library, words memoised.
 
     A text is cut at ASCII white space, which no token of these files crosses, and
@@ -260,26 +259,27 @@ def _part_encoder(path: str, memo: int) -> Callable[[bytes], bytes]:
     plain = plain and kinds == {"NFC", "Replace", "Lowercase"}
     if not plain:
         return lambda w: np.array(tok.encode(w.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
-    pattern = regex.compile(steps[0]["pattern"]["Regex"])
-    normalize, model = tok.normalizer.normalize_str, tok.model
+    normalize, cut, model = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str, tok.model
     letters = _byte_letters()
 
-    def piece(p: str) -> bytes:
-        mapped = p if p.isascii() else "".join([letters[b] for b in p.encode("utf-8", "surrogatepass")])
+    def piece(mapped: str) -> bytes:
         return array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
 
-    pieces = Memo(piece, memo)
+    def word(p: str) -> bytes:
+        return piece(p if p.isascii() else "".join([letters[b] for b in p.encode()]))
+
+    words, pieces = Memo(word, memo), Memo(piece, memo)
 
     def part(w: bytes) -> bytes:
-        if w.isascii():                              # a run of letters, or one with a mark behind it, is its own pieces
-            s = w.lower().decode()
-            if s.isalpha():
-                return pieces[s]
-            if s[-1] in ".,;:!?" and s[:-1].isalpha():
-                return pieces[s[:-1]] + pieces[s[-1]]
-            return b"".join([pieces[p] for p in pattern.findall(s)])
-        s = normalize(w.decode("utf-8", "surrogatepass"))
-        return b"".join([pieces[p] for p in pattern.findall(s)])
+        s = w.decode("utf-8", "surrogatepass")
+        # up to here no letter has a mark that normalizing could join to it, and all have the one lower case
+        if max(s) < "\u0250":
+            low = s.lower()
+            if low.isalpha():                        # a run of letters, or one with a mark behind it, is its own pieces
+                return words[low]
+            if low[-1] in ".,;:!?" and low[:-1].isalpha():
+                return words[low[:-1]] + words[low[-1]]
+        return b"".join([pieces[p] for p, _ in cut(normalize(s))])
     return part
 
 

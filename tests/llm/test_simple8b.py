@@ -81,3 +81,12 @@ def test_query_over_the_table(spark, tok):
 def test_empty(spark, docs_of):
     path = simple8b.write_tokens(docs_of([]), simple8b.library_encoder(PATH), end_id=2)
     assert simple8b.decode_tokens(simple8b.read_blocks(spark, path)).count() == 0
+
+
+def test_shortcuts_equal_the_library_for_every_character(tok):
+    encode = simple8b.library_encoder(PATH)()
+    for i in [*range(0x21, 0x600), *range(0x600, 0x30000, 7)]:
+        if not 0xD800 <= i < 0xE000:
+            c = chr(i)
+            for t in (f"Ab{c}cd", f"{c}", f"x{c}.", f"{c}'s{c}{c}"):
+                assert encode([t])[0].tolist() == tok.encode(t, add_special_tokens=False).ids, hex(i)
