@@ -4,14 +4,17 @@ A document's set holds the 64-bit hashes of its distinct n-word shingles.  All
 sets are ordered alike: by how common a shingle is in the whole corpus (classes
 of a fixed-size count table over all documents, rare first), then by hash.
 
-Finding who may link.  The order's range is cut into 2**b equal intervals in each
-class, b by the set's size.  Two sets of similarity t differ in at most
-``slack(n)`` = n (1 - t) / t shingles and each differing shingle spoils one
-interval, so among the first slack + 1 filled intervals of either set at least
-one is filled alike in both.  A set therefore emits one key for each of these:
-the hash of an interval's shingles.  A set also emits the keys of the next lower
-b if a smaller partner may use it, and of the next higher b while it fills too few
-intervals; the smaller set of a pair decides b, so both share a level at which
+Finding who may link.  The order's range is cut into equal intervals in each
+class, their number by the set's size (a level).  Two sets of similarity t differ
+in at most ``slack(n)`` = n (1 - t) / t shingles and each differing shingle spoils
+one interval.  Rank a set's filled intervals by anything that depends on their
+content alone; then of the intervals that both sets fill alike, the first is among
+the first slack + 1 of either, as only spoilt ones come before it.  So a set emits
+one key, the hash of an interval's shingles, for each of its first slack + 1:
+those of rare shingles first, then those of most shingles, which chance or a
+shared passage seldom fills alike.  A set also emits the keys of the next lower
+level if a smaller partner may use it, and of higher ones while it fills too few
+intervals; the smaller set of a pair decides the level, so both share one at which
 the argument holds.  Nothing is missed, whatever the data.
 
 Documents with equal keys are joined into candidate groups: stars around the
@@ -37,7 +40,9 @@ id is a document of its own name and comes before all; other columns are ignored
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,17 +50,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_filter, parts, short_batches, staged
+from .common import Memo, id_filter, parts, short_batches, staged
 from .graph import components
 
 WORDS, PERCENT = 3, 90
 BLOCK = 512
 CELLS, SLICES = 1 << 20, 1024
-WORD_MEMO = 300_000
+WORD_MEMO = 50_000
+#: Keys that a task puts together before it passes them on.
+KEYS_HELD = 500_000
 LEAST = -(2 ** 63)
 
 _P1, _P2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
-_memo: dict[bytes, int] = {}
+_word_hash = Memo(xxhash.xxh3_64_intdigest, WORD_MEMO)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,15 +77,7 @@ def shingles(text: str | None, n_words: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(_memo) > WORD_MEMO:
-        _memo.clear()
-    hashes = []
-    for w in words:
-        h = _memo.get(w)
-        if h is None:
-            h = _memo[w] = xxhash.xxh3_64_intdigest(w)
-        hashes.append(h)
-    w = np.array(hashes, dtype=np.uint64)
+    w = np.array([_word_hash[x] for x in words], dtype=np.uint64)
     n = min(n_words, len(w))
     out = np.full(len(w) - n + 1, n, dtype=np.uint64)
     for i in range(n):
@@ -97,13 +96,28 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+#: Levels of interval counts grow by this factor.
+STEP = 1.5
+
+
+@lru_cache
+def _density(percent: int) -> float:
+    """Most shingles to an interval, on average, at which intervals of two or more still outnumber the slack."""
+    want = 1.07 * (100 - percent) / percent
+    dense = [x / 20 for x in range(20, 2000) if (1 - math.exp(-x / 20) * (1 + x / 20)) / (x / 20) >= want]
+    return max(dense, default=1.0)
+
+
+@lru_cache(maxsize=1 << 16)
 def _level(n: int, percent: int) -> int:
-    """Number of bits b so that 2**b intervals hold on average under 0.9 t / (1 - t) shingles each."""
-    most = 0.9 * percent / (100 - percent)
-    b = 0
-    while n / (1 << b) > most:
-        b += 1
-    return b
+    level, most = 0, _density(percent)
+    while n / intervals(level) > most:
+        level += 1
+    return level
+
+
+def intervals(level: int) -> int:
+    return int(STEP ** level)
 
 
 def keys(s: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
@@ -114,21 +128,22 @@ def keys(s: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
     kind = classes[(s >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)]
     order = np.argsort(kind, kind="stable")            # s is sorted, so this orders by (class, hash)
     kind, s = kind[order].astype(np.uint64), s[order]
+    mixed = _mix(s)
     most, out = slack(n, percent), []
-    own = _level(n, percent)
-    b = _level(max(1, n * percent // 100), percent)
+    own, level = _level(n, percent), _level(max(1, n * percent // 100), percent)
     while True:
-        place = (kind << np.uint64(b)) | (s >> np.uint64(64 - b) if b else np.uint64(0))
+        place = (kind << np.uint64(40)) | ((s >> np.uint64(32)) * np.uint64(intervals(level)) >> np.uint64(32))
         first = np.nonzero(np.concatenate([[True], place[1:] != place[:-1]]))[0]
-        keep = first[:most + 1]
-        end = first[most + 1] if len(first) > most + 1 else n
+        count = np.diff(np.concatenate([first, [n]]))
         with np.errstate(over="ignore"):
-            total = np.add.reduceat(_mix(s[:end] + np.uint64(b)), keep)
-            count = np.diff(np.concatenate([keep, [end]])).astype(np.uint64)
-            out.append(_mix(total * _P1 + (place[keep] << np.uint64(6)) + np.uint64(b)) ^ _mix(count))
-        if b >= own and len(first) > most:
+            total = np.add.reduceat(mixed, first)
+            key = _mix(total * _P1 + (place[first] << np.uint64(8)) + np.uint64(level)) ^ _mix(count.astype(np.uint64))
+        if len(first) > most + 1:                      # rare shingles first, then full intervals
+            key = key[np.lexsort((key, -count, kind[first]))[:most + 1]]
+        out.append(key)
+        if level >= own and len(first) > most:
             return np.unique(np.concatenate(out))
-        b += 1
+        level += 1
 
 
 class Trie:
@@ -338,7 +353,7 @@ def _emit_keys(n_words: int, percent: int, classes: np.ndarray, n_buckets: int):
                     ks.append(k)
                     ids.append(i)
                     held += len(k)
-                if held > 2_000_000:
+                if held > KEYS_HELD:
                     yield from packed(ks, ids)
                     ks, ids, held = [], [], 0
         if ids:
