@@ -22,17 +22,19 @@ replaced.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StructField, StructType
 
-from .common import short_batches
+from .common import Memo, short_batches
 
-#: Entries a worker's memo may hold before it is cleared.
-MEMO = 400_000
+#: Entries that either half of a worker's memo may hold.
+MEMO = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,12 +63,17 @@ class Encoder:
         self.finder.make_automaton()
         self.shorter = {rank: self._prefix(token) for token, rank in self.ids.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.fits_memo: dict[tuple[int, int], bool] = {}
-        self.piece_memo: dict[str, tuple[int, ...]] = {}
-        self.chunk_memo: dict[str, tuple[int, ...]] = {}
+        self.fits_memo = Memo(self._fits, MEMO)
+        self.piece_memo = Memo(lambda p: self._raw(self.piece(p)), MEMO)
+        self.chunk_memo = Memo(self._by_pattern, MEMO)
+        self.line_feed = self._raw([self.ids["\n"]]) if "\n" in self.ids else b""
         #: white space besides the two characters that texts are cut at
         self.odd_space = regex.compile(r"[^\S \n]")
 
+    @staticmethod
+    def _raw(ids) -> bytes:
+        return array("i", ids).tobytes()
+
     def _prefix(self, token: str) -> int | None:
         """The longest token that is a proper prefix."""
         for n in range(len(token) - 1, 0, -1):
@@ -85,24 +92,19 @@ class Encoder:
             self.halves[token] = (self.ids[part[0]], self.ids[part[1]]) if len(part) == 2 else None
         return self.halves[token]
 
-    def fits(self, left: int, right: int) -> bool:
+    def _fits(self, seam: tuple[int, int]) -> bool:
         """Whether the two tokens stay two when their bytes meet.
 
         Undoes merges on either side of the seam, latest first, and looks at each
         step for a merge over the seam that would have come before the merge just
         undone.
         """
-        key = (left, right)
-        got = self.fits_memo.get(key)
-        if got is not None:
-            return got
+        left, right = seam
         undone = 1 << 62
-        answer = True
         while True:
             over = self.ids.get(self.text[left] + self.text[right])
             if over is not None and over < undone:
-                answer = False
-                break
+                return False
             a, b = self.halves_of(left), self.halves_of(right)
             if a and (left > right or not b):
                 # merges left of the seam come first among equals
@@ -110,11 +112,7 @@ class Encoder:
             elif b:
                 undone, right = right + 1, b[0]
             else:
-                break
-        if len(self.fits_memo) >= MEMO:
-            self.fits_memo.clear()
-        self.fits_memo[key] = answer
-        return answer
+                return True
 
     def piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one match of the pattern."""
@@ -125,7 +123,7 @@ class Encoder:
         n = len(raw)
         longest = [0] * n
         match = [0] * n
-        size = self.text
+        size, fits = self.text, self.fits_memo
         for end, token in self.finder.iter(raw):
             width = len(size[token])
             at = end - width + 1
@@ -139,7 +137,7 @@ class Encoder:
             last = out[-1] if out else None
             while token is not None:
                 end = pos + len(size[token])
-                if alive[end] and (last is None or self.fits(last, token)):
+                if alive[end] and (last is None or fits[last, token]):
                     break
                 token = self.shorter[token]
             if token is None:
@@ -154,21 +152,12 @@ class Encoder:
                 token = match[pos]
         return tuple(out)
 
-    def _by_pattern(self, text: str) -> list[int]:
-        memo, out = self.piece_memo, []
-        for p in self.pieces.findall(text):
-            got = memo.get(p)
-            if got is None:
-                got = self.piece(p)
-                if len(p) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[p] = got
-            out.extend(got)
-        return out
-
-    def encode(self, text: str, cut_spaces: bool = True) -> list[int]:
-        """Ids of a text, each match of the pattern encoded separately.
+    def _by_pattern(self, text: str) -> bytes:
+        memo = self.piece_memo
+        return b"".join([memo[p] for p in self.pieces.findall(text)])
+
+    def encode(self, text: str, cut_spaces: bool = True) -> bytes:
+        """Ids of a text as 32-bit integers, each match of the pattern encoded separately.
 
         With ``cut_spaces`` the text is first cut before single spaces and around
         single line feeds that stand between other characters.  The public byte-level
@@ -183,24 +172,13 @@ class Encoder:
                 if len(lines) > 1:                      # runs of white space across lines
                     return self._by_pattern(text)
             if i:
-                out.append(self.ids["\n"])
-            words = line.split(" ")
-            if "" in words:
-                out.extend(self._by_pattern(line))
+                out.append(self.line_feed)
+            words = line.replace(" ", "\0 ").split("\0") if "\0" not in line else ["  "]
+            if "  " in line or "  " in words:           # runs of spaces
+                out.append(self._by_pattern(line))
                 continue
-            first = True
-            for w in words:
-                key = w if first else " " + w
-                first = False
-                got = memo.get(key)
-                if got is None:
-                    got = tuple(self._by_pattern(key))
-                    if len(key) <= 64:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        memo[key] = got
-                out.extend(got)
-        return out
+            out += [memo[w] for w in words]
+        return b"".join(out)
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -212,9 +190,9 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
-def _mapped(df: DataFrame, source: str, out: str, kind: pa.DataType, sql: DataType,
-            make: Callable[[], Callable[[object], object]]) -> DataFrame:
-    """All columns of ``df`` and a new one made of column ``source`` value by value."""
+def _mapped(df: DataFrame, source: str, out: str, sql: DataType,
+            make: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
+    """All columns of ``df`` and a new one made of column ``source``."""
     kept = [c for c in df.columns if c != out or c == source]
     base = df.select(*[df[c] for c in kept])
     names = base.columns
@@ -222,8 +200,7 @@ def _mapped(df: DataFrame, source: str, out: str, kind: pa.DataType, sql: DataTy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for b in batches:
-            col = pa.array([one(v) for v in b.column(names.index(source)).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, one(b.column(names.index(source)))], names=[*names, out])
 
     schema = StructType([*base.schema.fields, StructField(out, sql)])
     return base.mapInArrow(run, schema)
@@ -236,8 +213,14 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     def make():
         enc = encoder(path, pattern)
-        return lambda t: enc.encode(t, cut_spaces) if t else []
-    return _mapped(df, text, out, pa.list_(pa.int32()), ArrayType(IntegerType()), make)
+
+        def one(texts: pa.Array) -> pa.Array:
+            raw = [enc.encode(t, cut_spaces) if t else b"" for t in texts.to_pylist()]
+            ends = np.cumsum([0, *map(len, raw)]) // 4
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                            pa.array(np.frombuffer(b"".join(raw), dtype=np.int32)))
+        return one
+    return _mapped(df, text, out, ArrayType(IntegerType()), make)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -246,5 +229,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
     def make():
         token = {rank: raw for raw, rank in read_ranks(path).items()}
-        return lambda v: b"".join([token[i] for i in v]) if v else b""
-    return _mapped(df, ids, out, pa.binary(), BinaryType(), make)
+
+        def one(rows: pa.Array) -> pa.Array:
+            return pa.array([b"".join(map(token.__getitem__, v)) if v else b"" for v in
+                             (r.values.to_numpy().tolist() if r.is_valid else None for r in rows)], pa.binary())
+        return one
+    return _mapped(df, ids, out, BinaryType(), make)
