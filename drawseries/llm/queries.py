@@ -89,7 +89,7 @@ def op4_centroid_language(spark, sf_dir):
 def op5_noisy_or_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
     marks = documents(spark, sf_dir, "labels")
-    model = toxicity.fit(toxicity.learnable(docs, marks, remainder(F.col("doc_id")) != 0))
+    model = toxicity.fit(docs, marks, lambda i: remainder(i) != 0)
     out = toxicity.score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
                       "score", "predicted", "worst_sentence", F.size("offending").alias("n_offending"))

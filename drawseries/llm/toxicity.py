@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import short_batches
+from .common import short_batches, staged
 
 SAMPLE = 3000
 CLEAN = 4
@@ -159,18 +159,28 @@ def train(y: np.ndarray, plain: np.ndarray, found: list[list[list[int]]], n: int
     return w[:n], float(w[n])
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Learn from a table of texts with 0/1 labels (other and null labels are left out)."""
-    spark = labelled.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column] | None = None, text: str = "text",
+        label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> Model:
+    """Learn from the texts whose id has a 0/1 label (other labels are left out) and satisfies ``learn``.
+
+    Rows are sampled among the labels, which are light; the sample's ids are bounded,
+    so they are broadcast to the texts and no text is shuffled.
+    """
+    spark = docs.sparkSession
     short_batches(spark)
-    rows = (labelled.select(F.coalesce(labelled[text], F.lit("")).alias("text"), labelled[label].cast("int").alias("y"),
-                            labelled[key].alias("k")).where("y in (0, 1)"))
-    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    marks = (labels.select(labels[key].alias("k"), labels[label].cast("int").alias("y")).where("y in (0, 1)")
+             .groupBy("k").agg(F.max("y").alias("y")))
+    if learn is not None:
+        marks = marks.where(learn(F.col("k")))
+    sizes = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model({}, 0.0)
     u = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("y") == 1, F.lit(sample / sizes[1])).otherwise(F.lit(CLEAN * sample / sizes[0]))
-    chosen = rows.where(u < share).groupBy("text").agg(F.max("y").alias("y"))
+    ids = staged(marks.where(u < share), "toxic-sample")
+    rows = docs.select(docs[key].alias("d"), F.coalesce(docs[text], F.lit("")).alias("text")).join(
+        F.broadcast(ids), F.col("d") == F.col("k"))
+    chosen = staged(rows.groupBy("text").agg(F.max("y").alias("y")), "toxic-texts")
     n = {r.y: r.n for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     stats = (chosen.mapInArrow(_doc_features, "f string, y int").groupBy("f")
              .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
@@ -184,14 +194,6 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
     return Model({f: float(x) for f, x in zip(vocabulary, w) if abs(x) > 1e-4}, bias)
 
 
-def learnable(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The labelled texts that may be learnt from: (doc_id, text, toxic)."""
-    # labels are light: they are folded first, one row for each document
-    marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(learn).select(docs[key].alias("doc_id"), docs[text].alias("text"))
-    return rows.join(marks, "doc_id")
-
-
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with score, predicted, worst_sentence and offending ((start, end, score) of sentences, code points)."""
     short_batches(docs.sparkSession)

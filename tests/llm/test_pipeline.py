@@ -101,7 +101,7 @@ def test_stages_take_empty_tables_and_odd_rows(spark, docs_of):
 
 def test_fit_without_labels(docs_of):
     docs = docs_of([(1, "abc")]).withColumn("toxic", F.lit(None).cast("int"))
-    assert toxicity.fit(docs).weights == {}
+    assert toxicity.fit(docs, docs).weights == {}
 
 
 def test_id_filter_never_drops_members(spark):

@@ -56,12 +56,12 @@ def test_learns_from_documents_and_finds_sentences(spark, docs_of):
         rows.append((i, ". ".join(sents)))
         marks.append((i, "x", int(i % 4 == 0)))
     texts = docs_of(rows).join(spark.createDataFrame(marks, "doc_id long, source string, toxic int").select("doc_id", "toxic"), "doc_id")
-    model = fit(texts)
+    model = fit(texts, texts)
     got = score(texts, model).collect()
     assert all(r.predicted == r.toxic for r in got)
     placed = [r.worst_sentence == r.doc_id % 6 for r in got if r.toxic]
     assert sum(placed) >= 0.85 * len(placed)
-    assert fit(texts.where("toxic = 1")).weights == {}
+    assert fit(texts, texts.where("toxic = 1")).weights == {}
     assert softplus(0) == math.log(2)
 
 
