@@ -49,7 +49,7 @@ def test_learns_from_documents_and_finds_sentences(spark, docs_of):
     rng = np.random.default_rng(5)
     words = [f"w{''.join(rng.choice(list('abcdefgh'), 5))}" for _ in range(200)]
     rows, marks = [], []
-    for i in range(400):
+    for i in range(1600):
         sents = [" ".join(rng.choice(words, 8)) for _ in range(6)]
         if i % 4 == 0:
             sents[i % 6] += " scum"
@@ -60,7 +60,7 @@ def test_learns_from_documents_and_finds_sentences(spark, docs_of):
     got = score(texts, model).collect()
     assert all(r.predicted == r.toxic for r in got)
     placed = [r.worst_sentence == r.doc_id % 6 for r in got if r.toxic]
-    assert sum(placed) >= 0.85 * len(placed)
+    assert sum(placed) >= 0.95 * len(placed)
     assert fit(texts, texts.where("toxic = 1")).weights == {}
     assert softplus(0) == math.log(2)
 
