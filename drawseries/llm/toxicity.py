@@ -5,6 +5,12 @@ letters and the first 4 and 5 letters of words); a document's is the noisy-or of
 its sentences, 1 - prod(1 - p).  Weights are trained from document labels alone,
 so the sentences that make a document toxic are found without being labelled.
 
+A noisy-or rises with length, so weights are trained on long clean bags too: for
+each sampled clean text one bag of ``LONG`` sentences, joined from sampled clean
+texts, and one of as many sentences without features.  A clean bag's loss is the
+sum of its sentences' losses, so the bags are counted as weights of the texts in
+them and no sentence is copied.
+
 Learning: from at most about ``SAMPLE`` rows of label 1 and ``CLEAN`` times as many
 of label 0, chosen by a hash of the document's id, one of each text; the ``FEATURES`` features that differ most
 between labels are kept.  Only their places in the sampled texts reach the driver.
@@ -35,6 +41,7 @@ SAMPLE = 3000
 CLEAN = 4
 FEATURES = 2000
 LEAST_DOCS = 5
+LONG = 1000
 THRESHOLD = 0.5
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -136,15 +143,19 @@ def _placed(vocabulary: list[str]):
 
 
 def train(y: np.ndarray, plain: np.ndarray, found: list[list[list[int]]], n: int, rounds: int = 400,
-          rate: float = 0.1, l2: float = 3e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias by gradient steps (Adam) on the noisy-or likelihood of the documents."""
+          rate: float = 0.1, l2: float = 3e-5, long: int = LONG) -> tuple[np.ndarray, float]:
+    """Weights and bias by gradient steps (Adam, falling rate) on the noisy-or likelihood of the documents
+    and of clean bags of ``long`` sentences (for each clean document one joined and one without features)."""
     doc = np.array([d for d, ss in enumerate(found) for _ in ss], dtype=np.int64)
     sent = np.array([i for i, s in enumerate([s for ss in found for s in ss]) for _ in s], dtype=np.int64)
     feat = np.array([f for ss in found for s in ss for f in s], dtype=np.int64)
+    size = plain + np.array([len(ss) for ss in found])
+    bags = long / max(1.0, float(size[y == 0].mean())) if (y == 0).any() else 0.0   # bags that a clean document is in
     w = np.zeros(n + 1)
-    w[n] = -4.0
+    w[n] = -math.log(max(long, 55))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
-    weight = np.where(y == 1, 2.0, 1.0) / max(1, len(y))
+    weight = np.where(y == 1, 2.0, 1.0 + bags) / max(1, len(y))
+    bare = long * float((y == 0).sum()) / max(1, len(y))       # sentences of the bags without features, a document
     for t in range(1, rounds + 1):
         z = w[n] + np.bincount(sent, w[feat], minlength=len(doc))
         s = np.bincount(doc, np.logaddexp(0, z), minlength=len(y)) + plain * np.logaddexp(0, w[n])
@@ -152,10 +163,10 @@ def train(y: np.ndarray, plain: np.ndarray, found: list[list[list[int]]], n: int
         per = slope[doc] / (1 + np.exp(-z))
         grad = np.zeros(n + 1)
         grad[:n] = np.bincount(feat, per[sent], minlength=n) + l2 * w[:n]
-        grad[n] = per.sum() + (slope * plain).sum() / (1 + np.exp(-w[n]))
+        grad[n] = per.sum() + ((slope * plain).sum() + bare) / (1 + np.exp(-w[n]))
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
-        w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        w -= rate * min(1.0, 2 * (1 - t / rounds) + 0.02) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     return w[:n], float(w[n])
 
 

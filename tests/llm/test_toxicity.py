@@ -65,6 +65,32 @@ def test_learns_from_documents_and_finds_sentences(spark, docs_of):
     assert softplus(0) == math.log(2)
 
 
+def test_long_clean_texts_stay_clean(spark, docs_of):
+    rng = np.random.default_rng(6)
+    words = [f"w{''.join(rng.choice(list('abcdefgh'), 5))}" for _ in range(200)]
+
+    def sentences(n):
+        return [" ".join(s) for s in rng.choice(words, (n, 8))]
+    rows, marks = [], []
+    for i in range(1600):
+        sents = sentences(6)
+        if i % 8 == 0:
+            sents[i % 6] += " scum"
+        rows.append((i, ". ".join(sents)))
+        marks.append((i, int(i % 8 == 0)))
+    model = fit(docs_of(rows), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    for n in (2000, 6000, 10000):
+        for k in range(3):
+            sents = sentences(n)
+            got, bad, _ = model.score(". ".join(sents))
+            assert got < 0.5 and not bad, (n, got)
+            sents[n // 2] += " scum"
+            got, bad, worst = model.score(". ".join(sents))
+            assert got >= 0.5 and len(bad) == 1 and worst == n // 2
+    plain = model.score(". ".join(["zzz zzz"] * 10000))
+    assert plain[0] < 0.5
+
+
 def test_query_held_out(spark):
     got = QUERIES["op5_noisy_or_toxicity"](spark, SF_MID)
     assert got.count() == 1000
