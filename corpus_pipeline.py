@@ -28,6 +28,7 @@ def unwrapped(df: DataFrame, columns: list[str], *own: str) -> DataFrame:
 
 
 KEY = ("doc_id", "text")
+ROW = "row_of_stage"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,24 +45,32 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each group, and one row of each id.
+    """Keeps of each group of alike texts the row of the least id (no id before all).
 
-    Documents without words are in no group and all stay.
+    A row is known by a 64-bit hash of its id and text, so rows that share an id or
+    have none are compared as rows of their own: unlike ones all stay.  Documents
+    without words are in no group and all stay.
     """
-    found = staged(ngram_join.near_duplicates(docs, SHINGLE, SIMILAR), "near")
-    # ids to leave out, and ids with several rows: few, so the others need no shuffle
-    by_id = found.where("n_shingles > 0").groupBy("doc_id").agg(
-        F.count("*").alias("rows"), F.max((~F.col("component_id").eqNullSafe(F.col("doc_id"))).cast("int")).alias("gone"))
-    touched = staged(by_id.where("gone = 1 or rows > 1"), "touched")
-    least = F.lit(ngram_join.LEAST)
-    maybe = id_filter(touched.select(F.coalesce("doc_id", least).alias("doc_id")), "doc_id")
-    flagged = wrapped(docs, *KEY).withColumn("maybe", maybe(F.coalesce(F.col("doc_id"), least)))
-    t = touched.select(F.col("doc_id").alias("t_id"), "gone")
-    asked = flagged.where("maybe").join(t, F.col("doc_id").eqNullSafe(F.col("t_id")), "left")
-    kept = flagged.where("not maybe").drop("maybe").unionByName(asked.where("gone is null").select(*KEY, "rest_of_row"))
-    # of repeated ids one row, the same one whenever the stage is run again
-    repeated = asked.where("gone = 0").groupBy("doc_id").agg(F.min(F.struct("text", "rest_of_row")).alias("one"))
-    kept = kept.unionByName(repeated.select("doc_id", "one.text", "one.rest_of_row"))
+    known = docs.withColumn(ROW, F.xxhash64("doc_id", "text"))
+    found = ngram_join.near_duplicates(known.select(ROW, "text"), SHINGLE, SIMILAR, key=ROW)
+    found = staged(found.where("n_shingles > 0"), "near")
+    # rows in groups of several: few, so the others need no shuffle
+    by_row = found.groupBy(F.col(ROW).alias("t_row")).agg(F.count("*").alias("rows"), F.min("component_id").alias("c"))
+    groups = by_row.groupBy("c").agg(F.sum("rows").alias("n")).where("n > 1").select("c")
+    touched = staged(by_row.join(groups, "c"), "touched")
+    maybe = id_filter(touched, "t_row")
+    least = (known.select("doc_id", ROW).where(maybe(F.col(ROW))).join(touched, F.col(ROW) == F.col("t_row"))
+             .groupBy("c").agg(F.min(F.struct("doc_id", ROW)).alias("least")))
+    t = staged(touched.join(least, "c").select("t_row", "rows", (F.col("t_row") == F.col("least")[ROW]).alias("stays")), "stays")
+    flagged = wrapped(docs, *KEY).withColumn(ROW, F.xxhash64("doc_id", "text"))
+    flagged = flagged.withColumn("maybe", maybe(F.col(ROW)))
+    asked = flagged.where("maybe").join(t, F.col(ROW) == F.col("t_row"), "left")
+    own = [*KEY, "rest_of_row"]
+    kept = flagged.where("not maybe").select(*own).unionByName(
+        asked.where("t_row is null or (stays and rows = 1)").select(*own))
+    # of repeated rows one, the same one whenever the stage is run again
+    repeated = asked.where("stays and rows > 1").groupBy(ROW).agg(F.min(F.struct(*own)).alias("one"))
+    kept = kept.unionByName(repeated.select("one.*"))
     return unwrapped(kept, docs.columns, *KEY)
 
 

@@ -88,6 +88,17 @@ def test_near_copies_with_odd_and_repeated_rows(spark, docs_of):
     assert all(got.count(d) == 1 for d in got if d in worded)
 
 
+def test_unlike_rows_that_share_an_id_or_have_none_stay(spark, docs_of):
+    base = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(12)]
+    near = base[9] + " tail"
+    rows = [(None, base[0]), (None, base[1]), (None, base[1]), (None, base[2]), (7, base[3]), (7, base[4]), (7, base[4]),
+            (8, base[4]), (9, base[2]), (None, ""), (None, None), (5, base[9]), (5, base[10]), (6, near), (3, base[10]), (4, base[11])]
+    got = sorted([(r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs_of(rows), "").collect()], key=str)
+    want = [(None, base[0]), (None, base[1]), (None, base[2]), (None, ""), (None, None), (7, base[3]), (7, base[4]),
+            (5, base[9]), (3, base[10]), (4, base[11])]
+    assert got == sorted(want, key=str)
+
+
 def test_stages_take_empty_tables_and_odd_rows(spark, docs_of):
     clash = {c: F.lit("own") for c in ("score", "predicted", "rejected", "gone", "maybe", "mix_copy", "rest_of_row", "rows")}
     for docs in (docs_of([]), docs_of(ODD).withColumns(clash)):
