@@ -194,6 +194,31 @@ def q_update_from_pages(spark, sf_dir):
     return merged.drop("_arrival")
 
 
+# -- the same over all lotteries ----------------------------------------------
+
+_ALL_PAGES_SQL = td.with_ctes(["draws"], """
+SELECT CASE WHEN lottery IN (SECOND) THEN lottery || ' LUNA' ELSE lottery END AS lottery, fecha, result, series
+FROM draws""".replace("SECOND", ", ".join(f"'{x}'" for x, name in td.FETCH_NAMES.items() if x != name)))
+
+
+@register("extract_result_rows_all", DRAW_SPEC, _ALL_PAGES_SQL, note="pages of all five lotteries, two on a page")
+def q_extract_result_rows_all(spark, sf_dir):
+    return PG.extract_result_rows(td.all_result_pages(spark, sf_dir))
+
+
+@register("update_from_pages_all", DRAW_SPEC, _ALL_PAGES_SQL,
+          note="stored table holds draws before 1998; stored pages of all five lotteries bring the rest")
+def q_update_from_pages_all(spark, sf_dir):
+    from ..sources.tabular import new_rows
+    names = F.create_map(*[F.lit(x) for pair in td.FETCH_NAMES.items() for x in pair])
+    stored = td.draws(spark, sf_dir).filter(F.col("fecha") < F.lit("1998-01-01").cast("date")) \
+        .select(names[F.col("lottery")].alias("lottery"), "fecha", "result", "series")
+    scraped = PG.extract_result_rows(td.all_result_pages(spark, sf_dir)).drop("page_id")
+    fresh = new_rows(scraped, stored, UPDATE_TODAY).withColumn("_arrival", F.lit(1))
+    merged = CT.upsert(stored.withColumn("_arrival", F.lit(0)), fresh, ["fecha", "lottery"], ["_arrival"])
+    return merged.drop("_arrival")
+
+
 # -- J4 on a dimension --------------------------------------------------------
 
 @register("extend_loterias", "id int, nombre str", td.with_ctes(["raw_old", "raw_new"], """

@@ -190,7 +190,8 @@ PAGE_LOTTERIES = ("1-URGENT", "2-HIGH")      # table 0, table 1 of every page
 SECOND_TABLE_NAME = "2-HIGH LUNA"            # fetch name that selects table 1
 
 
-def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def result_pages(spark: SparkSession, sf_dir: str, pair: tuple[str, ...] = PAGE_LOTTERIES,
+                 second_name: str = SECOND_TABLE_NAME) -> DataFrame:
     """HTML pages rendered from F1, one per month, two tables per page.
 
     Returns ``(page_id, lottery, html)``: every page is listed once per
@@ -198,7 +199,7 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads table 1).  Each table has a header row and one short row; one
     extra page carries a single table and must yield nothing.
     """
-    d = draws(spark, sf_dir).filter(F.col("lottery").isin(*PAGE_LOTTERIES))
+    d = draws(spark, sf_dir).filter(F.col("lottery").isin(*pair))
     names = F.create_map(*[x for c, n in SIGN_NAMES for x in (F.lit(c), F.lit(n))])
     rows = d.select(
         F.date_format("fecha", "yyyy-MM").alias("month"), "lottery",
@@ -209,23 +210,38 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = rows.groupBy("month").agg(*[
         F.concat_ws("", F.sort_array(F.collect_list(
             F.when(F.col("lottery") == name, F.col("tr"))))).alias(f"t{i}")
-        for i, name in enumerate(PAGE_LOTTERIES)])
+        for i, name in enumerate(pair)])
     head = "<table class=\"r\"><tr><th>Fecha</th><th>Numero</th><th>Signo</th></tr>"
     short = "<tr><td>01/01/1990</td><td>0000</td></tr></table>"
     pages = tables.select(
         F.unix_date(F.to_date(F.concat(F.col("month"), F.lit("-01")))).cast("bigint").alias("page_id"),
         F.concat(F.lit("<html><body><h1>Resultados "), F.col("month"), F.lit("</h1>"),
                  F.lit(head), F.col("t0"), F.lit(short),
-                 F.lit(head), F.col("t1"), F.lit(short),
+                 F.lit(head), F.col("t1") if len(pair) > 1 else F.lit(""), F.lit(short),
                  F.lit("</body></html>")).alias("html"))
     single = spark.createDataFrame(
         [(0, "<html><body>" + head + "<tr><td>02/02/1990</td><td>4321</td><td>Leo</td></tr>"
           "</table></body></html>")], "page_id bigint, html string")
     all_pages = pages.unionByName(single)
-    fetch = F.explode(F.array(F.lit(PAGE_LOTTERIES[0]), F.lit(SECOND_TABLE_NAME)))
+    fetch = F.explode(F.array(F.lit(pair[0]), *[F.lit(second_name)][:len(pair) - 1]))
     return all_pages.select("page_id", fetch.alias("lottery"), "html")
 
 
+#: Lotteries of the pages of each kind: table 0, table 1; the last kind's second table is empty.
+PAGE_PAIRS = [tuple(LOTTERIES[i:i + 2]) for i in range(0, len(LOTTERIES), 2)]
+#: Fetch names of all lotteries: those of a second table carry the marker.
+FETCH_NAMES = {name: name if i == 0 else f"{name} LUNA" for pair in PAGE_PAIRS for i, name in enumerate(pair)}
+
+
+def all_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7 for all lotteries: pages of two lotteries each, as ``result_pages`` renders them."""
+    pages = [result_pages(spark, sf_dir, pair, FETCH_NAMES[pair[-1]]) for pair in PAGE_PAIRS]
+    out = pages[0]
+    for more in pages[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 # ---------------------------------------------------------------------- F9 --
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

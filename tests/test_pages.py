@@ -1,7 +1,11 @@
 """S1 page rules on hand-made pages."""
 
+from drawseries.plans.registry import spark_query
+from drawseries.sources import testdata as td
 from drawseries.sources.pages import extract_result_rows
 
+from .conftest import SF_SMALL
+
 T0 = ("<table><tr><th>Fecha</th><th>N</th><th>S</th></tr>"
       "<tr><td>05/01/2024</td><td><b>0123</b></td><td> Géminis </td></tr>"
       "<tr><td>06/01/2024</td><td>12-34</td></tr>"                       # short row: skipped
@@ -19,3 +23,12 @@ def test_page_rules(spark):
             for r in extract_result_rows(pages).collect()}
     assert rows == {(1, "SOL", "2024-01-05", 123, "GEM"),
                     (1, "noche luna", "2024-01-08", 9876, "OFIUCO")}
+
+
+def test_all_lotteries_pass_the_pages(spark):
+    name = {v: k for k, v in td.FETCH_NAMES.items()}
+    want = sorted((r.lottery, str(r.fecha), r.result, r.series) for r in td.draws(spark, SF_SMALL).collect())
+    assert {x[0] for x in want} == set(td.LOTTERIES)
+    for query in ("extract_result_rows_all", "update_from_pages_all"):
+        got = spark_query(query)(spark, SF_SMALL).collect()
+        assert sorted((name[r.lottery], str(r.fecha), r.result, r.series) for r in got) == want
