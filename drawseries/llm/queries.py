@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_join, fingerprint, langid, mixing, ngram_join, sharding, simple8b, toxicity
+from . import (bpe, chat, embed_join, fingerprint, langid, mixing, ngram_join, quality, repeats, sharding, simple8b, toxicity,
+               whitening)
 from .common import documents, remainder, short_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +104,20 @@ def op10_pivot_range_join(spark, sf_dir):
 @query()
 def op3_prefix_tree_join(spark, sf_dir):
     return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
+@query()
+def op11_recompression_runs(spark, sf_dir):
+    found = repeats.find_runs(documents(spark, sf_dir).select("doc_id", "text"), key="doc_id", edited=True)
+    return repeats.digests(found)
+
+
+@query()
+def op12_spectrum_whitening(spark, sf_dir):
+    return whitening.whiten(documents(spark, sf_dir, "embeddings"))
+
+
+@query(quality.oracle())
+def op13_adaptive_quality(spark, sf_dir):
+    out = quality.judged(documents(spark, sf_dir), "text", "lang", "source", "doc_id")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
