@@ -2,9 +2,15 @@
 (A7, A8, W43, W44, T6–T9).
 
 History rows: ``(run_id, lottery, attempt, result_acc, series_acc,
-result_f1, series_f1, ts)``.  Windows are partitioned by run (a run has a
-bounded number of attempts); registry ranking is ``row_number`` per group,
-which Spark plans with a partial group limit before the shuffle.
+result_f1, series_f1, ts)``; the attempts of a run are numbered 1, 2, ...
+
+A run may hold any share of the rows, so no window runs over a whole run.  Running
+values are two-level segmented scans: attempts are cut into blocks of ``BLOCK``;
+each block's totals are aggregated, prefixed over the blocks of a run (a table
+``BLOCK`` times smaller), and carried into the windows inside the blocks.  The
+frames of W43 are bounded, so blocks get the last rows of the block before as a
+halo.  T9 ranks by range partitions.  Registry ranking is ``row_number`` per
+group, which Spark plans with a partial group limit before the shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import store
+from .sequence import add_seq
+
 # Default thresholds of the reference's production profile.
 MIN_ACCURACY = 0.05
 CONVERGENCE_WINDOW = 50
@@ -20,10 +29,35 @@ CONVERGENCE_RANGE = 0.002
 MIN_ATTEMPT = 5
 PATIENCE = 5
 ELITE = 2
+#: Attempts in a block of the segmented scans.
+BLOCK = 4096
+
+
+def _blocked(history: DataFrame, rows: int) -> DataFrame:
+    return history.withColumn("_b", F.floor((F.col("attempt") - 1) / rows).cast("long"))
+
+
+def _carried(rows: DataFrame, run: str, totals: dict) -> DataFrame:
+    """``rows`` with, for each name of ``totals``, what the earlier blocks of the run amount to.
+
+    ``totals``: name -> (aggregate of a block's rows, aggregate of the blocks' values).
+    """
+    blocks = rows.groupBy(run, "_b").agg(*[agg.alias(n) for n, (agg, _) in totals.items()])
+    before = Window.partitionBy(run).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = store(blocks.select(F.col(run).alias("_run"), F.col("_b").alias("_block"),
+                                *[over(n).over(before).alias(n) for n, (_, over) in totals.items()]), "carry")
+    return rows.join(carry, rows[run].eqNullSafe(carry["_run"]) & (rows["_b"] == carry["_block"])).drop("_run", "_block")
+
+
+def _inside(run: str) -> Window:
+    return Window.partitionBy(run, "_b").orderBy("attempt")
 
 
-def _w(run: str = "run_id") -> Window:
-    return Window.partitionBy(run).orderBy("attempt")
+def _first_stop(flagged: DataFrame, flag: str, run: str) -> DataFrame:
+    """``flagged`` with stop_attempt: the first attempt of the run where ``flag`` holds, or null."""
+    flagged = store(flagged, "flagged")
+    first = store(flagged.where(flag).groupBy(F.col(run).alias("_run")).agg(F.min("attempt").alias("stop_attempt")), "stops")
+    return flagged.join(first, flagged[run].eqNullSafe(first["_run"]), "left").drop("_run")
 
 
 # -- A7 ---------------------------------------------------------------------
@@ -49,52 +83,57 @@ def training_summary(history: DataFrame, run: str = "run_id") -> DataFrame:
 
 # -- A8 ---------------------------------------------------------------------
 
-def running_best(history: DataFrame, run: str = "run_id") -> DataFrame:
+def _improvements(history: DataFrame, run: str, rows: int) -> DataFrame:
+    """The columns of A8 and ``_last``, the attempt of the latest improvement so far (0: none)."""
+    best = {f"_c_{t}": (F.max(f"{t}_acc"), F.max) for t in ("result", "series")}
+    j = _carried(_blocked(history, rows), run, best)
+    before = _inside(run).rowsBetween(Window.unboundedPreceding, -1)
+    upto = _inside(run).rowsBetween(Window.unboundedPreceding, 0)
+    prev = {t: F.coalesce(F.greatest(f"_c_{t}", F.max(f"{t}_acc").over(before), F.lit(0.0)), F.lit(0.0)) for t in ("result", "series")}
+    step = store(j.select(*history.columns, "_b", *[(F.col(f"{t}_acc") > prev[t]).alias(f"improved_{t}") for t in prev],
+                          *[F.greatest(prev[t], f"{t}_acc").alias(f"best_{t}") for t in prev]), "improved")
+    either = F.col("improved_result") | F.col("improved_series")
+    at = F.when(either, F.col("attempt"))
+    got = _carried(step, run, {"_c_n": (F.sum(either.cast("int")), F.sum), "_c_at": (F.max(at), F.max)})
+    return got.withColumn("improvements", F.coalesce("_c_n", F.lit(0)) + F.coalesce(F.sum(either.cast("int")).over(upto), F.lit(0))) \
+        .withColumn("_last", F.coalesce(F.greatest("_c_at", F.max(at).over(upto)), F.lit(0))).drop("_c_n", "_c_at", "_b")
+
+
+def running_best(history: DataFrame, run: str = "run_id", block_rows: int = BLOCK) -> DataFrame:
     """Best so far per target (starting at 0), strict-improvement flags and
     the running count of attempts where either target improved."""
-    before = _w(run).rowsBetween(Window.unboundedPreceding, -1)
-    upto = _w(run).rowsBetween(Window.unboundedPreceding, 0)
-    prev_r = F.coalesce(F.max("result_acc").over(before), F.lit(0.0))
-    prev_s = F.coalesce(F.max("series_acc").over(before), F.lit(0.0))
-    step = history.select("*", (F.col("result_acc") > prev_r).alias("improved_result"),
-                          (F.col("series_acc") > prev_s).alias("improved_series"),
-                          F.greatest(prev_r, F.col("result_acc")).alias("best_result"),
-                          F.greatest(prev_s, F.col("series_acc")).alias("best_series"))
-    either = (F.col("improved_result") | F.col("improved_series")).cast("int")
-    return step.withColumn("improvements", F.sum(either).over(upto))
+    return _improvements(history, run, block_rows).drop("_last")
 
 
 # -- W43 --------------------------------------------------------------------
 
 def converged(history: DataFrame, min_acc: float = MIN_ACCURACY, window: int = CONVERGENCE_WINDOW,
-              tol: float = CONVERGENCE_RANGE, run: str = "run_id") -> DataFrame:
+              tol: float = CONVERGENCE_RANGE, run: str = "run_id", block_rows: int = BLOCK) -> DataFrame:
     """Flag attempts where training would stop for convergence, and the
     first such attempt per run (``stop_attempt``)."""
-    last = _w(run).rowsBetween(1 - window, 0)
-    flags = history.select(
+    size = max(block_rows, window)
+    rows = _blocked(history, size)
+    # a block's last rows are also the halo of the next
+    late = F.col("attempt") - F.col("_b") * size > size - (window - 1)
+    rows = rows.withColumn("_t", F.explode(F.when(late, F.array("_b", F.col("_b") + 1)).otherwise(F.array("_b"))))
+    last = Window.partitionBy(run, "_t").orderBy("attempt").rowsBetween(1 - window, 0)
+    flags = rows.select(
         "*", F.count(F.lit(1)).over(last).alias("_n"),
         (F.max("result_acc").over(last) - F.min("result_acc").over(last)).alias("range_result"),
-        (F.max("series_acc").over(last) - F.min("series_acc").over(last)).alias("range_series"))
+        (F.max("series_acc").over(last) - F.min("series_acc").over(last)).alias("range_series")).where("_t = _b")
     cond = ((F.col("attempt") >= MIN_ATTEMPT) & (F.col("result_acc") >= min_acc)
             & (F.col("series_acc") >= min_acc) & (F.col("_n") == window)
             & (F.col("range_result") < tol) & (F.col("range_series") < tol))
-    out = flags.withColumn("converged", cond).drop("_n")
-    first = Window.partitionBy(run)
-    return out.withColumn("stop_attempt", F.min(F.when(F.col("converged"), F.col("attempt"))).over(first))
+    return _first_stop(flags.withColumn("converged", cond).drop("_n", "_b", "_t"), "converged", run)
 
 
 # -- W44 --------------------------------------------------------------------
 
-def plateau(history: DataFrame, patience: int = PATIENCE, run: str = "run_id") -> DataFrame:
+def plateau(history: DataFrame, patience: int = PATIENCE, run: str = "run_id", block_rows: int = BLOCK) -> DataFrame:
     """Generations since either global best last rose; ``stop`` when that
     count reaches ``patience``; ``stop_attempt`` = first stop per run."""
-    rb = running_best(history, run)
-    upto = _w(run).rowsBetween(Window.unboundedPreceding, 0)
-    last_imp = F.max(F.when(F.col("improved_result") | F.col("improved_series"), F.col("attempt"))).over(upto)
-    out = rb.withColumn("since_improvement", F.col("attempt") - F.coalesce(last_imp, F.lit(0)))
-    out = out.withColumn("stop", F.col("since_improvement") >= patience)
-    return out.withColumn("stop_attempt", F.min(F.when(F.col("stop"), F.col("attempt")))
-                          .over(Window.partitionBy(run)))
+    out = _improvements(history, run, block_rows).withColumn("since_improvement", F.col("attempt") - F.col("_last")).drop("_last")
+    return _first_stop(out.withColumn("stop", F.col("since_improvement") >= patience), "stop", run)
 
 
 # -- registry views ---------------------------------------------------------
@@ -143,8 +182,10 @@ def leaderboard(candidates: DataFrame, group: str = "run_id", fitness: str = "re
                 elite: int = ELITE) -> DataFrame:
     """Rank candidates of a generation by fitness; the first ``elite`` pass
     unchanged, the top half (at least 2) forms the mating pool."""
-    w = Window.partitionBy(group).orderBy(F.col(fitness).desc(), F.col("attempt").asc())
-    size = F.count(F.lit(1)).over(Window.partitionBy(group))
-    return candidates.select("*", F.row_number().over(w).alias("rank"), size.alias("population")) \
+    # ranks come from range partitions of (group, fitness): a group of any size is spread over tasks
+    falling = candidates.withColumn("_less", F.coalesce(-F.col(fitness), F.lit(float("inf"))))
+    ranked = add_seq(falling, group, ["_less", "attempt"], "rank").drop("_less")
+    sizes = store(candidates.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("population")), "sizes")
+    return ranked.join(sizes, ranked[group].eqNullSafe(sizes["_group"])).drop("_group") \
         .withColumn("is_elite", F.col("rank") <= elite) \
         .withColumn("in_pool", F.col("rank") <= F.greatest(F.lit(2), F.floor(F.col("population") / 2)))

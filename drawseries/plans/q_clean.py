@@ -293,3 +293,9 @@ def q_finite_or_zero(spark, sf_dir):
                       F.pow((F.col("result") % 10).cast("double"), F.lit(-1.0)).alias("inv_units"),
                       F.pow((F.floor(F.col("result") / 10) % 10).cast("double"), F.lit(-1.0)).alias("inv_tens"))
     return C.finite_or_zero(ratios, ["inv_units", "inv_tens"])
+
+
+@register("ruled_draws", "lottery str, fecha date, seq int, result int, series str", td.with_ctes(["ruled"], "SELECT * FROM ruled"),
+          note="F12, the learnable rule that the model queries are held against")
+def q_ruled_draws(spark, sf_dir):
+    return td.ruled_draws(spark, sf_dir)

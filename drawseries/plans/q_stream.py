@@ -29,8 +29,8 @@ def q_ingest_stream(spark, sf_dir):
     # the feed: every new row, cut into files by arrival range
     new.repartitionByRange(BATCHES, "k").write.parquet(f"{root}/source")
     old = dedupe_last(td.raw_old(spark, sf_dir), ["fecha", "lottery"], ["k"])
-    start_table(old, f"{root}/table")
-    out = ingest_stream(spark, f"{root}/source", new.schema, f"{root}/table", f"{root}/_checkpoint")
+    table = start_table(old, f"{root}/table", period="decade")
+    out = ingest_stream(spark, f"{root}/source", new.schema, table, f"{root}/_checkpoint")
     return out.select("lottery", "fecha", "result", "series", F.col("k"))
 
 
@@ -48,8 +48,26 @@ def q_ingest_stream_events(spark, sf_dir):
         "ts", "event_id")
     # files hold arbitrary id ranges: a later file may carry earlier events (late data)
     e.repartition(4, F.xxhash64("event_id")).write.parquet(f"{root}/source")
-    start_table(spark.createDataFrame([], e.schema), f"{root}/table")
-    out = ingest_stream(spark, f"{root}/source", e.schema, f"{root}/table", f"{root}/_checkpoint",
-                        order="ts")
+    table = start_table(spark.createDataFrame([], e.schema), f"{root}/table", order="ts", period="month")
+    out = ingest_stream(spark, f"{root}/source", e.schema, table, f"{root}/_checkpoint")
     return out.select("lottery", "fecha", "result",
                       F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "event_id")
+
+
+@register("ingest_stream_counts", "batches int, read int, inserted int, changed int, affected int, versions int", td.with_ctes(
+    ["raw_old", "raw_new"], f"""
+SELECT {BATCHES} AS batches, count(*) AS read, count(DISTINCT (n.fecha, n.lottery)) FILTER (o.k IS NULL) AS inserted,
+       count(DISTINCT (n.fecha, n.lottery)) FILTER (o.k IS NOT NULL) AS changed, count(*) AS affected, {BATCHES} + 1 AS versions
+FROM raw_new n LEFT JOIN old o ON n.fecha = o.fecha AND n.lottery = o.lottery""", [OLD_SQL]),
+          note="one file a batch, in arrival order by key ranges that no key crosses; counts are observed on the writes")
+def q_ingest_stream_counts(spark, sf_dir):
+    root = f"{ensure_checkpoint_dir(spark)}/stream_counts_{uuid.uuid4().hex}"
+    new = td.raw_new(spark, sf_dir)
+    day = F.pmod(F.xxhash64("fecha"), F.lit(BATCHES)).cast("int")
+    for i in range(BATCHES):
+        new.where(day == i).coalesce(1).write.mode("append").parquet(f"{root}/source")
+    table = start_table(dedupe_last(td.raw_old(spark, sf_dir), ["fecha", "lottery"], ["k"]), f"{root}/table", period="decade")
+    counts = []
+    ingest_stream(spark, f"{root}/source", new.schema, table, f"{root}/_checkpoint", max_files_per_trigger=1, counts=counts)
+    got = [len(counts), *[sum(c[w] for c in counts) for w in ("read", "inserted", "updated", "affected")], len(table.versions())]
+    return spark.createDataFrame([got], "batches int, read long, inserted long, changed long, affected long, versions int")

@@ -34,7 +34,7 @@ LOTTERIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 # F1 keeps one draw per (date, lottery).  Every thousand customers draw in an era
 # of their own, later than the last one's, so that the series grow with the orders.
-ERA_CUSTOMERS, ERA_DAYS, ERAS = 1000, 2500, 1000
+ERA_CUSTOMERS, ERA_DAYS = 1000, 2500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +47,7 @@ def raw_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one row per order, duplicates on (fecha, lottery); ``k`` = arrival."""
     o = table(spark, sf_dir, "orders")
     return o.select(
-        F.date_add(F.col("o_orderdate").cast("date"), (F.floor(F.col("o_custkey") / ERA_CUSTOMERS) % ERAS * ERA_DAYS).cast("int"))
+        F.date_add(F.col("o_orderdate").cast("date"), (F.floor(F.col("o_custkey") / ERA_CUSTOMERS) * ERA_DAYS).cast("int"))
         .alias("fecha"),
         F.col("o_orderpriority").alias("lottery"),
         (F.floor("o_totalprice").cast("bigint") % 10000).cast("int").alias("result"),
@@ -69,6 +69,24 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpoint(add_seq(dedup, "lottery", ["fecha"]))
 
 
+#: What each digit adds with every second draw, and in odd draws.
+RULE = {1000: (3, 2), 100: (7, 5), 10: (1, 4), 1: (9, 8)}
+
+
+def ruled_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the draws of F1 with numbers and signs that follow from the draw before last.
+
+    Each digit is that of two draws before plus a fixed step (mod 10), the sign follows
+    from the units digit: a rule that the as-of features determine, so a right fit finds it.
+    """
+    half, odd = F.floor((F.col("seq") / 2).cast("double")), F.col("seq") % 2
+    digit = {p: (half * step + odd * more + F.length("lottery")) % 10 for p, (step, more) in RULE.items()}
+    result = sum(d * p for p, d in digit.items())
+    return draws(spark, sf_dir).select(
+        "fecha", "lottery", result.cast("int").alias("result"),
+        F.substring(F.lit(SIGN_STRIP), (3 * digit[1] + 1).cast("int"), F.lit(3)).alias("series"), "seq")
+
+
 _STORED: dict[tuple[str, str], str] = {}
 
 
@@ -244,11 +262,16 @@ def all_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------- F9 --
 
+HOT_RUN = 7
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """training-attempt history, one run per ``o_custkey % 20``."""
+    """training-attempt history; a third of all attempts are of one run, the others
+    of 20 runs for every thousand customers."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    run = (F.col("o_custkey") % 20).cast("int")
+    run = F.when(k % 3 == 0, F.lit(HOT_RUN)).otherwise(
+        F.col("o_custkey") % 20 + 20 * F.floor(F.col("o_custkey") / 1000)).cast("int")
     flat = F.lit(0.5) + (k % 2) / F.lit(1000.0)
     racc = (F.floor("o_totalprice") % 1000) / F.lit(1000.0)
     sacc = ((k * 7919) % 1000) / F.lit(1000.0)
@@ -271,7 +294,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_CTES: dict[str, str] = {
     "raw": f"""raw AS (
-  SELECT CAST(o_orderdate AS DATE) + CAST(floor(o_custkey / {ERA_CUSTOMERS}.0) % {ERAS} * {ERA_DAYS} AS INT) AS fecha,
+  SELECT CAST(o_orderdate AS DATE) + CAST(floor(o_custkey / {ERA_CUSTOMERS}.0) * {ERA_DAYS} AS INT) AS fecha,
          o_orderpriority AS lottery,
          CAST(CAST(floor(o_totalprice) AS BIGINT) % 10000 AS INT) AS result,
          substr('{SIGN_STRIP}', CAST(3 * (o_custkey % 12) + 1 AS INT), 3) AS series,
@@ -281,6 +304,10 @@ SQL_CTES: dict[str, str] = {
   SELECT *, row_number() OVER (PARTITION BY lottery ORDER BY fecha) AS seq
   FROM (SELECT fecha, lottery, max_by(result, k) AS result, max_by(series, k) AS series
         FROM raw GROUP BY fecha, lottery) d0)""",
+    "ruled": "ruled AS (SELECT fecha, lottery, CAST(" + " + ".join(
+        f"{p} * ((floor(seq / 2.0) * {step} + seq % 2 * {more} + length(lottery)) % 10)" for p, (step, more) in RULE.items())
+        + f""" AS INT) AS result, substr('{SIGN_STRIP}', CAST(3 * ((floor(seq / 2.0) * {RULE[1][0]} + seq % 2 * {RULE[1][1]}
+  + length(lottery)) % 10) + 1 AS INT), 3) AS series, seq FROM draws)""",
     "raw_old": "raw_old AS (SELECT * FROM raw WHERE k % 3 <> 0)",
     "raw_new": "raw_new AS (SELECT * FROM raw WHERE k % 3 = 0)",
     "loterias": """loterias AS (
@@ -318,24 +345,24 @@ SQL_CTES: dict[str, str] = {
   SELECT run_id, lottery, k, result_acc, series_acc, result_f1, series_f1, ts,
          row_number() OVER (PARTITION BY run_id ORDER BY k) AS attempt
   FROM (
-    SELECT CAST(o_custkey % 20 AS INT) AS run_id,
-           ({'[' + ', '.join(repr(x) for x in LOTTERIES) + ']'})[CAST(o_custkey % 20 AS INT) % 5 + 1] AS lottery,
+    SELECT run_id, ({'[' + ', '.join(repr(x) for x in LOTTERIES) + ']'})[run_id % 5 + 1] AS lottery,
            o_orderkey AS k,
-           CASE WHEN o_custkey % 20 < 5 THEN 0.5 + CAST(o_orderkey % 2 AS DOUBLE) / 1000.0
+           CASE WHEN run_id < 5 THEN 0.5 + CAST(o_orderkey % 2 AS DOUBLE) / 1000.0
                 ELSE CAST(floor(o_totalprice) % 1000 AS DOUBLE) / 1000.0 END AS result_acc,
-           CASE WHEN o_custkey % 20 < 5 THEN 0.5 + CAST(o_orderkey % 2 AS DOUBLE) / 1000.0
+           CASE WHEN run_id < 5 THEN 0.5 + CAST(o_orderkey % 2 AS DOUBLE) / 1000.0
                 ELSE CAST((o_orderkey * 7919) % 1000 AS DOUBLE) / 1000.0 END AS series_acc,
            CASE WHEN o_orderkey % 13 = 0 THEN NULL
                 ELSE CAST((o_orderkey * 31) % 1000 AS DOUBLE) / 1000.0 END AS result_f1,
            CASE WHEN o_orderkey % 13 = 0 THEN NULL
                 ELSE CAST((o_orderkey * 17) % 1000 AS DOUBLE) / 1000.0 END AS series_f1,
            o_orderdate AS ts
-    FROM orders) h0)""",
+    FROM (SELECT *, CAST(CASE WHEN o_orderkey % 3 = 0 THEN {HOT_RUN}
+                              ELSE o_custkey % 20 + 20 * floor(o_custkey / 1000.0) END AS INT) AS run_id FROM orders) o) h0)""",
 }
 
 # CTE -> CTEs it reads
 _DEPS = {
-    "draws": ["raw"], "raw_old": ["raw"], "raw_new": ["raw"], "loterias": ["raw"],
+    "draws": ["raw"], "ruled": ["draws"], "raw_old": ["raw"], "raw_new": ["raw"], "loterias": ["raw"],
     "pairs": ["draws"], "digits_long": ["draws"], "digit_scores": ["digits_long"],
 }
 

@@ -1,56 +1,45 @@
 """K1: incremental ingest as Structured Streaming.
 
-A file source of raw draw rows feeds ``foreachBatch``; every micro-batch is
-merged into the draw table with the keyed upsert (A12 + J5 semantics):
-streamed rows beat the rows the table started with, and among streamed rows
-the latest arrival (``order`` column) wins.  Late rows are therefore accepted
-and need no watermark; the outcome does not depend on how the input is cut
-into micro-batches.
-
-Each batch reads the newest table version and writes version ``batch_id+1``
-— never the folder being read.  A replayed batch (after a failure) rewrites
-the same version from the same input, so the sink is idempotent.
+A file source of raw draw rows feeds ``foreachBatch``; every micro-batch is merged
+into a copy-on-write table (``sources.cow``) by the keyed upsert (A12 + J5): streamed
+rows beat the rows the table started with, and among streamed rows the latest arrival
+(``order`` column) wins.  Late rows are therefore accepted and need no watermark; the
+outcome does not depend on how the input is cut into micro-batches.
+
+A batch rewrites only the parts that its keys touch, so its cost follows the batch, not
+the table.  A replayed batch is known by its number and changes nothing; one that died
+before its commit is run again from the version it started from.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators.catalog import dedupe_last
-from ..sources.tabular import latest_version
+from ..sources.cow import CowTable
 
 
-def _merge(current: DataFrame, batch: DataFrame, key: list[str], order: str) -> DataFrame:
-    streamed = batch.withColumn("_src", F.lit(1))
-    return dedupe_last(current.unionByName(streamed), key, ["_src", order])
-
-
-def start_table(initial: DataFrame, root: str) -> str:
+def start_table(initial: DataFrame, root: str, key=("fecha", "lottery"), order: str = "k", period: str = "year") -> CowTable:
     """Version 0 of the table: the stored rows, marked as not streamed."""
-    path = f"{root}/v=0"
-    initial.withColumn("_src", F.lit(0)).write.mode("overwrite").parquet(path)
-    return path
+    table = CowTable(initial.sparkSession, root, key, order, period)
+    table.start(initial)
+    return table
 
 
-def ingest_stream(spark: SparkSession, source_dir: str, schema, table_root: str, checkpoint_dir: str,
-                  key=("fecha", "lottery"), order: str = "k", max_files_per_trigger: int | None = None):
-    """Run the stream until the source is drained (``availableNow``); returns
-    the newest table version as a DataFrame."""
-    key = list(key)
+def ingest_stream(spark: SparkSession, source_dir: str, schema, table: CowTable, checkpoint_dir: str,
+                  max_files_per_trigger: int | None = None, counts: list | None = None) -> DataFrame:
+    """Run the stream until the source is drained (``availableNow``); the newest version's rows.
 
+    ``counts`` takes what each batch's merge counted.
+    """
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
-        cur_v = latest_version(spark, table_root, below=batch_id + 1)
-        current = spark.read.parquet(f"{table_root}/v={cur_v}")
-        merged = _merge(current, batch, key, order)
-        merged.write.mode("overwrite").parquet(f"{table_root}/v={batch_id + 1}")
+        got = table.merge(batch, batch_id)
+        if counts is not None and got is not None:
+            counts.append({"batch": batch_id, **got})
 
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_dir)
-    q = stream.writeStream.foreachBatch(upsert_batch).option("checkpointLocation", checkpoint_dir) \
+    q = reader.parquet(source_dir).writeStream.foreachBatch(upsert_batch).option("checkpointLocation", checkpoint_dir) \
         .trigger(availableNow=True).start()
     q.awaitTermination()
-    v = latest_version(spark, table_root)
-    return spark.read.parquet(f"{table_root}/v={v}").drop("_src")
+    return table.read()

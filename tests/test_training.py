@@ -100,3 +100,47 @@ def test_alert_precedence(spark):
     want = {i: e for i, (_, _, e) in enumerate(cases) if e is not None}
     assert got == want
     assert AL.alerts(df).filter(F.col("i") == 0).first().threshold == 0.45
+
+
+def _plain_improvements(rows, run):
+    """(attempt -> (improvements, since, best_result)) by stepping through a run."""
+    best_r = best_s = 0.0
+    imps, last, out = 0, 0, {}
+    for r in sorted((r for r in rows if r[0] == run), key=lambda x: x[2]):
+        if r[4] > best_r or r[5] > best_s:
+            imps, last = imps + 1, r[2]
+        best_r, best_s = max(best_r, r[4]), max(best_s, r[5])
+        out[r[2]] = (imps, r[2] - last, best_r)
+    return out
+
+
+def test_segmented_scans_equal_the_plain_form_at_any_block_size(spark):
+    df, rows = _history(spark, runs=4, attempts=170)
+    want = {(run, a): v for run in range(4) for a, v in _plain_improvements(rows, run).items()}
+    plain = {(r.run_id, r.attempt): (r.converged, r.range_result, r.stop_attempt) for r in TR.converged(df).collect()}
+    for size in (1, 7, 64, 1000):
+        got = {(r.run_id, r.attempt): (r.improvements, r.since_improvement, r.best_result)
+               for r in TR.plateau(df, block_rows=size).collect()}
+        assert got == want
+        assert {(r.run_id, r.attempt): r.improvements for r in TR.running_best(df, block_rows=size).collect()} == {
+            k: v[0] for k, v in want.items()}
+        assert {(r.run_id, r.attempt): (r.converged, r.range_result, r.stop_attempt)
+                for r in TR.converged(df, block_rows=size).collect()} == plain
+
+
+def test_no_window_over_the_rows_of_a_run(spark):
+    """Windows over rows are partitioned by run and block; a run's blocks alone are prefixed per run."""
+    df, _ = _history(spark)
+    for out in (TR.running_best(df), TR.plateau(df), TR.converged(df), TR.leaderboard(df)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        for line in plan.splitlines():
+            if "Window [" in line:
+                assert "_b#" in line or "_t#" in line, line
+
+
+def test_leaderboard_ranks_ties_and_missing_fitness(spark):
+    df = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.5), (1, 3, None), (1, 4, 0.9), (2, 1, None)],
+                               "run_id int, attempt int, result_acc double")
+    got = {(r.run_id, r.attempt): (r.rank, r.population, r.is_elite, r.in_pool) for r in TR.leaderboard(df).collect()}
+    assert got == {(1, 4): (1, 4, True, True), (1, 1): (2, 4, True, True), (1, 2): (3, 4, False, False),
+                   (1, 3): (4, 4, False, False), (2, 1): (1, 1, True, True)}
