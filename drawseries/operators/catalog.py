@@ -1,19 +1,21 @@
 """Star schema and keyed writes: view join, key lookup, insert-if-absent,
 upsert, dedupe, bulk load and its report.
 
-Dimension tables (lotteries, signs) are broadcast only after their row count
-has been checked against a bound; above it the join falls back to a shuffle
-join that AQE may still turn into a broadcast at run time.  Keyed merges are
-``groupBy(key)`` aggregations with ``max_by``/``min_by`` — partial
-aggregation on the map side collapses a hot key before the shuffle.
+Joins to dimension tables (lotteries, signs) are left to Spark's byte threshold.
+Keyed merges are ``groupBy(key)`` aggregations with ``max_by``/``min_by`` — partial
+aggregation on the map side collapses a hot key before the shuffle.  Merges into a
+stored table that should not shuffle it go through ``sources.cow``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.clean import drop_incomplete
+from ..functions.clean import ESSENTIAL
+from ..session import store
 
 # -- A12 --------------------------------------------------------------------
 
@@ -96,6 +98,24 @@ def upsert(target: DataFrame, new: DataFrame, key: list[str], order: list[str])
         .select(*cols)
 
 
+def upsert_observed(target: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, Observation]:
+    """J5 with its counts: (merged table, observation that the action which writes it fills).
+
+    ``affected`` is the number of new rows, as a keyed write reports it; ``inserted`` and
+    ``replaced`` count keys.  No second job: the counts are taken on the way to the write.
+    """
+    cols = target.columns
+    rest = [c for c in cols if c not in key]
+    t = target.select(*cols, F.lit(0).alias("_p"), *[F.lit(None).cast(new.schema[o].dataType).alias(f"_o{i}") for i, o in enumerate(order)])
+    n = new.select(*cols, F.lit(1).alias("_p"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
+    best = F.max_by(F.struct(*rest), F.struct("_p", *[f"_o{i}" for i in range(len(order))])).alias("_row")
+    merged = t.unionByName(n).groupBy(*key).agg(best, F.sum("_p").alias("_new"), F.min("_p").alias("_least"))
+    seen = Observation(f"upsert-{uuid.uuid4().hex}")
+    merged = merged.observe(seen, F.sum("_new").alias("affected"), F.count(F.when(F.col("_least") == 1, 1)).alias("inserted"),
+                            F.count(F.when((F.col("_least") == 0) & (F.col("_new") > 0), 1)).alias("replaced"))
+    return merged.select(*key, "_row.*").select(*cols), seen
+
+
 def extend_dimension(dim: DataFrame, names: DataFrame, name_col: str = "nombre") -> DataFrame:
     """J4 on a dimension: names not present yet are appended with the next ids
     (in name order); existing ids never change."""
@@ -127,18 +147,24 @@ def bulk_load(target_fact: DataFrame, draws: DataFrame, loterias: DataFrame, sig
     rows per lottery: read, rejected, inserted, skipped; ``failed`` lotteries
     report −1).
     """
-    complete = drop_incomplete(draws)
-    resolved, rejected = lookup_keys(complete, loterias, signos, case_insensitive=False)
+    lot = loterias.select(F.col("id").alias("loteria_id"), F.col("nombre").alias("_lk"))
+    sig = signos.select(F.col("id").alias("signo_id"), F.col("codigo").alias("_sk"))
+    j = draws.join(lot, draws["lottery"] == F.col("_lk"), "left").join(sig, draws["series"] == F.col("_sk"), "left")
+    whole = F.lit(True)
+    for c in ESSENTIAL:
+        whole = whole & F.col(c).isNotNull()
+    what = (F.when(~whole, "incomplete").when(F.col("loteria_id").isNull() | F.col("signo_id").isNull(), "rejected")
+            .otherwise("candidate"))
     fact_cols = ["fecha", "loteria_id", "result", "signo_id"]
-    staged = resolved.select(*fact_cols, "lottery", order)
-    first = dedupe_first(staged, ["fecha", "loteria_id"], [order])
+    # each row is looked up and tagged once; the load and the report read the tags
+    tagged = store(j.select(*fact_cols, "lottery", order, what.alias("what")), "tagged")
+    first = dedupe_first(tagged.where("what = 'candidate'").drop("what"), ["fecha", "loteria_id"], [order])
     inserted = first.join(target_fact.select("fecha", "loteria_id"), ["fecha", "loteria_id"], "left_anti")
     merged = target_fact.select(*fact_cols).unionByName(inserted.select(*fact_cols))
-    events = (draws.select("lottery", F.lit("read").alias("what"))
-              .unionByName(rejected.select("lottery", F.lit("rejected").alias("what")))
-              .unionByName(inserted.select("lottery", F.lit("inserted").alias("what"))))
-    report = load_report(events, failed)
-    return merged, report
+    events = tagged.select("lottery", F.explode(F.array_compact(F.array(
+        F.lit("read"), F.when(F.col("what") == "rejected", F.col("what"))))).alias("what")) \
+        .unionByName(inserted.select("lottery", F.lit("inserted").alias("what")))
+    return merged, load_report(events, failed)
 
 
 def load_report(events: DataFrame, failed: DataFrame | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ and every fit reads it; each fit is itself a distributed job.
 from __future__ import annotations
 
 import random
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
@@ -21,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, ensure_checkpoint_dir
 from .features import FEATURE_COLUMNS
 from .rank import top3_classes, top3_numbers
 from .stats import classification_report, with_balanced_weights
@@ -45,12 +46,10 @@ def random_split(df: DataFrame, test_size: float, seed: int, key=("lottery", "se
 
 # -- training frame ---------------------------------------------------------
 
-def training_frame(as_of: DataFrame, sign_labels: list[str] | None = None,
-                   weights: bool = False) -> tuple[DataFrame, list[str]]:
+def training_frame(as_of: DataFrame, sign_labels: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Labels (4 digits + sign index) and the feature vector.
 
-    Class weights are left to the fit, which sees the training rows only
-    (``weights`` adds them over all rows).  The sign index is alphabetical over every sign present (P13); returned
+    Class weights are left to the fit, which sees the training rows only.  The sign index is alphabetical over every sign present (P13); returned
     with the frame so predictions can be decoded.
     """
     df = as_of
@@ -65,10 +64,7 @@ def training_frame(as_of: DataFrame, sign_labels: list[str] | None = None,
     code = F.array_position(F.array(*[F.lit(s) for s in sign_labels]), F.col("target_series"))
     df = df.withColumn("y_series", F.when(code > 0, (code - 1).cast("double")))
     df = VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="features").transform(df)
-    labelled = df.filter(F.col("target").isNotNull())
-    if weights:
-        labelled = with_balanced_weights(labelled, TARGETS, key="lottery")
-    return labelled, sign_labels
+    return df.filter(F.col("target").isNotNull()), sign_labels
 
 
 @dataclass
@@ -98,7 +94,7 @@ class Candidate:
                                 stepSize=self.learning_rate, subsamplingRate=self.subsample,
                                 minInstancesPerNode=min_inst, seed=self.seed)
             return OneVsRest(classifier=gbt, labelCol=label, featuresCol="features",
-                             predictionCol=f"pred_{tag}")
+                             predictionCol=f"pred_{tag}", parallelism=2)
         raise ValueError(self.algorithm)
 
 
@@ -111,21 +107,21 @@ def weighted(train: DataFrame) -> DataFrame:
     return checkpoint(with_balanced_weights(train, TARGETS, key="lottery"))
 
 
+def fit_targets(train: DataFrame, cand: Candidate, targets=TARGETS) -> dict:
+    """One classifier per target on ``train``, which has its class weights if the algorithm takes any."""
+    return {t: cand.estimator(t, f"w_{t}" if cand.algorithm == "rf" else None).fit(train.filter(F.col(t).isNotNull()))
+            for t in targets}
+
+
 def fit_digit_models(train: DataFrame, cand: Candidate, targets=TARGETS) -> dict:
     """H2: one classifier per target on ``train`` (all rows given)."""
-    models = {}
-    if cand.algorithm == "rf":
-        train = weighted(train)
-    for t in targets:
-        weight = f"w_{t}" if cand.algorithm == "rf" else None
-        models[t] = cand.estimator(t, weight).fit(train.filter(F.col(t).isNotNull()))
-    return models
+    return fit_targets(weighted(train) if cand.algorithm == "rf" else train, cand, targets)
 
 
-def warm_start_fit(train: DataFrame, cand: Candidate, extra_trees: int = 50) -> dict:
-    """Refit with ``extra_trees`` more trees (a fitted forest is not grown in place)."""
+def warm_start_fit(train: DataFrame, cand: Candidate, lotteries: list[str], extra_trees: int = 50) -> dict:
+    """Every lottery's models refitted with ``extra_trees`` more trees (a fitted forest is not grown in place)."""
     bigger = Candidate(**{**cand.__dict__, "n_estimators": cand.n_estimators + extra_trees})
-    return fit_digit_models(train, bigger)
+    return fit_per_lottery(train, bigger, lotteries)
 
 
 def fit_per_lottery(train: DataFrame, cand: Candidate, lotteries: list[str], parallelism: int = 8) -> dict:
@@ -139,12 +135,16 @@ def fit_per_lottery(train: DataFrame, cand: Candidate, lotteries: list[str], par
     jobs = [(lot, t) for lot in lotteries for t in TARGETS]
     if cand.algorithm == "rf":
         train = weighted(train)
+    else:
+        # many binary fits read the same few columns: written once in folders by lottery
+        path = f"{ensure_checkpoint_dir(train.sparkSession)}/boosted-{uuid.uuid4().hex}"
+        narrow = train.select("features", *TARGETS, "lottery")
+        narrow.hint("rebalance", "lottery").write.partitionBy("lottery").parquet(path)
+        train = train.sparkSession.read.schema(narrow.schema).parquet(path)
 
     def fit(job):
         lot, t = job
-        weight = f"w_{t}" if cand.algorithm == "rf" else None
-        part = train.filter((F.col("lottery") == lot) & F.col(t).isNotNull())
-        return job, cand.estimator(t, weight).fit(part)
+        return job, fit_targets(train.filter(F.col("lottery") == lot), cand, [t])[t]
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         fitted = dict(pool.map(fit, jobs))
@@ -160,14 +160,44 @@ def apply_models(df: DataFrame, models: dict) -> DataFrame:
         n_feat = getattr(m, "numFeatures", len(FEATURE_COLUMNS))
         if n_feat != len(FEATURE_COLUMNS):
             raise ValueError(f"model for {t} expects {n_feat} features, frame has {len(FEATURE_COLUMNS)}")
-        out = m.transform(out)
         tag = t[2:]
+        if hasattr(m, "models"):
+            out = apply_one_vs_rest(out, m, tag)
+            continue
+        out = m.transform(out)
         if f"prob_{tag}" in out.columns:
             out = out.withColumn(f"prob_{tag}", vector_to_array(f"prob_{tag}"))
         out = out.drop(f"raw_{tag}", "rawPrediction")
     return out
 
 
+def apply_one_vs_rest(df: DataFrame, model, tag: str) -> DataFrame:
+    """``prob_<tag>`` and ``pred_<tag>`` of one-vs-rest boosted trees.
+
+    Each binary model's margin m gives its class's chance 1 / (1 + exp(-2 m)), as the model
+    itself has it; the chances are divided by their sum.  Ties go to the smaller class.
+    """
+    out, margins = df, []
+    for c, binary in enumerate(model.models):
+        raw = f"_raw_{tag}_{c}"
+        one = binary.copy().setFeaturesCol("features").setRawPredictionCol(raw).setProbabilityCol("").setPredictionCol("")
+        out = one.transform(out)
+        margins.append(F.element_at(vector_to_array(raw), 2))
+    chances = F.array(*[1 / (1 + F.exp(-2 * m)) for m in margins])
+    out = out.withColumn("_chances", chances).drop(*[f"_raw_{tag}_{c}" for c in range(len(model.models))])
+    total = F.aggregate("_chances", F.lit(0.0), lambda a, x: a + x)
+    prob = F.transform("_chances", lambda x: x / total)
+    return out.withColumn(f"prob_{tag}", prob).drop("_chances") \
+        .withColumn(f"pred_{tag}", (F.array_position(f"prob_{tag}", F.array_max(f"prob_{tag}")) - 1).cast("double"))
+
+
+def top_numbers(scored: DataFrame, by: list[str]) -> DataFrame:
+    """T4 over model probabilities: the three best numbers of each group ``by``."""
+    long = scored.select(*by, F.posexplode(F.array(*[F.col(f"prob_{d}") for d in DIGITS])).alias("position", "_p")) \
+        .select(*by, "position", F.posexplode("_p").alias("digit", "score"))
+    return top3_numbers(long, by)
+
+
 def predict_number(scored: DataFrame) -> DataFrame:
     """H3: argmax digit per position, recomposed into the 4-digit number."""
     num = sum(F.col(f"pred_{d}").cast("int") * p for d, p in zip(DIGITS, PLACES))
@@ -216,9 +246,14 @@ GRID_PROD = {"n_estimators": [50, 100, 150, 200, 300], "max_depth": [5, 10, 15,
 def draw_candidates(grid: dict, n: int, rng_seed: int = 0) -> list[Candidate]:
     """Random draw of ``n`` candidates from the grid (driver-side parameters)."""
     rng = random.Random(rng_seed)
-    return [Candidate(n_estimators=rng.choice(grid["n_estimators"]), max_depth=rng.choice(grid["max_depth"]),
-                      min_samples_split=rng.choice(grid["min_samples_split"]),
-                      seed=rng.randrange(10000)) for _ in range(n)]
+    out = []
+    for _ in range(n):
+        algorithm = rng.choice(grid["algorithm"]) if "algorithm" in grid else "rf"
+        boosted = {k: rng.choice(grid[k]) for k in ("learning_rate", "subsample") if algorithm == "gbt" and k in grid}
+        out.append(Candidate(n_estimators=rng.choice(grid["n_estimators"]), max_depth=rng.choice(grid["max_depth"]),
+                             min_samples_split=rng.choice(grid["min_samples_split"]), seed=rng.randrange(10000),
+                             algorithm=algorithm, **boosted))
+    return out
 
 
 def search(frame: DataFrame, candidates: list[Candidate], test_size: float = 0.2, split_seed: int = 42,
@@ -240,16 +275,50 @@ def search(frame: DataFrame, candidates: list[Candidate], test_size: float = 0.2
     return results
 
 
+HISTORY = ("run_id string, lottery string, attempt int, result_acc double, series_acc double, result_f1 double, "
+           "series_f1 double, ts timestamp, algorithm string, n_estimators int, max_depth int, min_samples_split int, seed int")
+
+
+def search_history(frame: DataFrame, candidates, log: str, run_id: str, patience: int, test_size: float = 0.2,
+                   split_seed: int = 42, lotteries: list[str] | None = None) -> DataFrame:
+    """H4 live: candidates are tried one after the other, each attempt is appended to ``log``, and a
+    lottery is searched no further once W44 finds its plateau in the log.
+
+    One lottery's attempts are one run (``run_id`` and the lottery's name).  Returns the log's rows of
+    the run; A7, A8, W43, W44 and T8 take them as they are.  ``log`` is a folder of append-only files.
+    """
+    from .training import plateau
+    spark = frame.sparkSession
+    split = checkpoint(random_split(frame, test_size, split_seed))
+    train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
+    todo = lotteries or [r[0] for r in split.select("lottery").distinct().collect()]
+    mine = F.col("run_id").startswith(f"{run_id}/")
+    for i, cand in enumerate(candidates):
+        if not todo:
+            break
+        scored = checkpoint(score(test, fit_per_lottery(train.filter(F.col("lottery").isin(todo)), cand, todo)).select(
+            "lottery", *[f"{p}_{t}" for t in [*DIGITS, "series"] for p in ("y", "pred")]))
+        f1 = macro_f1(scored).groupBy("lottery").agg(*[
+            F.max(F.when(F.col("target") == t, F.col("f1"))).alias(f"{t}_f1") for t in ("result", "series")])
+        attempt = accuracy_table(scored).join(f1, "lottery").select(
+            F.concat(F.lit(f"{run_id}/"), "lottery").alias("run_id"), "lottery", F.lit(i + 1).alias("attempt"), "result_acc",
+            "series_acc", "result_f1", "series_f1", F.current_timestamp().alias("ts"), F.lit(cand.algorithm).alias("algorithm"),
+            F.lit(cand.n_estimators).alias("n_estimators"), F.lit(cand.max_depth).cast("int").alias("max_depth"),
+            F.lit(cand.min_samples_split).alias("min_samples_split"), F.lit(cand.seed).alias("seed"))
+        attempt.write.mode("append").json(log)
+        history = spark.read.schema(HISTORY).json(log).where(mine)
+        stopped = {r.lottery for r in plateau(history, patience).where("stop_attempt is not null").select("lottery").distinct().collect()}
+        todo = [lot for lot in todo if lot not in stopped]
+    return spark.read.schema(HISTORY).json(log).where(mine)
+
+
 # -- H6 / H7 ----------------------------------------------------------------
 
 def predict_latest(frame_all: DataFrame, models: dict, sign_labels: list[str]) -> tuple[DataFrame, DataFrame]:
     """H6: score the last row of every series; returns (top-3 numbers, top-3 signs)."""
     latest = frame_all.filter(F.col("target").isNull())
     scored = score(latest, models)
-    long = scored.select("lottery", F.posexplode(F.array(*[F.col(f"prob_{d}") for d in DIGITS]))
-                         .alias("position", "_p")) \
-        .select("lottery", "position", F.posexplode("_p").alias("digit", "score"))
-    numbers = top3_numbers(long)
+    numbers = top_numbers(scored, ["lottery"])
     signs = top3_classes(scored, proba="prob_series").withColumn(
         "sign", F.element_at(F.array(*[F.lit(s) for s in sign_labels]), F.col("cls") + 1))
     return numbers, signs

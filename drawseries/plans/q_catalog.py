@@ -3,12 +3,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..operators import catalog as CT
 from ..operators import stats as ST
+from ..operators import update as U
 from ..operators.catalog import dedupe_last
+from ..session import ensure_checkpoint_dir, store
+from ..sources.cow import CowTable
 from ..sources import pages as PG
 from ..sources import testdata as td
 from . import sqlfrag as Q
@@ -96,6 +101,20 @@ def q_upsert(spark, sf_dir):
     return CT.upsert(_old(spark, sf_dir), td.raw_new(spark, sf_dir), ["fecha", "lottery"], ["k"])
 
 
+@register("upsert_counts", "affected int, inserted int, replaced int, stored int", td.with_ctes(["raw_old", "raw_new"], """
+SELECT (SELECT count(*) FROM raw_new) AS affected, count(*) FILTER (NOT has_old) AS inserted,
+       count(*) FILTER (has_old AND has_new) AS replaced, count(*) AS stored
+FROM (SELECT fecha, lottery, bool_or(p = 0) AS has_old, bool_or(p = 1) AS has_new
+      FROM (SELECT fecha, lottery, 0 AS p FROM old UNION ALL SELECT fecha, lottery, 1 FROM raw_new) u GROUP BY ALL) k""", [OLD_SQL]),
+          note="J5's counts, observed on the write of the merged table")
+def q_upsert_counts(spark, sf_dir):
+    merged, seen = CT.upsert_observed(_old(spark, sf_dir), td.raw_new(spark, sf_dir), ["fecha", "lottery"], ["k"])
+    n = store(merged, "upserted").count()
+    got = seen.get
+    return spark.createDataFrame([(got["affected"], got["inserted"], got["replaced"], n)],
+                                 "affected long, inserted long, replaced long, stored long")
+
+
 # -- J6 ---------------------------------------------------------------------
 
 @register("pair_predictions", "lottery str, fecha date, pred int, pred_series str, real_result int, real_series str",
@@ -160,63 +179,100 @@ def q_bulk_load_fact(spark, sf_dir):
     return merged
 
 
-# -- S1 ---------------------------------------------------------------------
+# -- S1 and the update chain: S1 → P4 → J2 → J5 → A3 --------------------------
+
+UPDATE_TODAY = "2030-01-01"
+STORED_BEFORE = "1998-01-01"
+#: fetched beside the real ones: a name that is no lottery, and one whose pages hold no second table
+UNKNOWN_NAME, BROKEN_NAME = "9-NONE", "6-NEW"
+
+_SECOND = ", ".join(f"'{x}'" for x, name in td.FETCH_NAMES.items() if x != name)
+_FETCH = f"CASE WHEN lottery IN ({_SECOND}) THEN lottery || ' LUNA' ELSE lottery END"
+_PAGES_SQL = td.with_ctes(["draws"], f"SELECT {_FETCH} AS lottery, fecha, result, series FROM draws")
+
 
-@register("extract_result_rows", DRAW_SPEC, td.with_ctes(["draws"], f"""
-SELECT CASE WHEN lottery = '{td.PAGE_LOTTERIES[1]}' THEN '{td.SECOND_TABLE_NAME}' ELSE lottery END AS lottery,
-       fecha, result, series
-FROM draws WHERE lottery IN ('{td.PAGE_LOTTERIES[0]}', '{td.PAGE_LOTTERIES[1]}')"""),
-          note="pages rendered from F1 (two tables, header and short rows, one single-table page)")
+@register("extract_result_rows", DRAW_SPEC, _PAGES_SQL,
+          note="pages of all five lotteries rendered from F1 (two tables, header and short rows, one single-table page)")
 def q_extract_result_rows(spark, sf_dir):
-    return PG.extract_result_rows(td.result_pages(spark, sf_dir))
+    return PG.extract_result_rows(td.all_result_pages(spark, sf_dir))
+
 
+def _fetched(name: str):
+    names = F.create_map(*[F.lit(x) for pair in td.FETCH_NAMES.items() for x in pair])
+    return names[F.col(name)]
 
-# -- update from pages: S1 → P4 → J5 ----------------------------------------
 
-UPDATE_TODAY = "2030-01-01"
+def _stored_before(spark, sf_dir):
+    return td.draws(spark, sf_dir).filter(F.col("fecha") < F.lit(STORED_BEFORE).cast("date")) \
+        .select("fecha", _fetched("lottery").alias("lottery"), "result", "series")
 
 
-@register("update_from_pages", DRAW_SPEC, td.with_ctes(["draws"], f"""
-SELECT CASE WHEN lottery = '{td.PAGE_LOTTERIES[1]}' THEN '{td.SECOND_TABLE_NAME}' ELSE lottery END AS lottery,
-       fecha, result, series
-FROM draws WHERE lottery IN ('{td.PAGE_LOTTERIES[0]}', '{td.PAGE_LOTTERIES[1]}')"""),
-          note="stored table holds draws before 1998; stored pages bring the rest")
+@register("update_from_pages", DRAW_SPEC, _PAGES_SQL,
+          note="stored table holds draws before 1998; stored pages of all five lotteries bring the rest")
 def q_update_from_pages(spark, sf_dir):
     from ..sources.tabular import new_rows
-    d = td.draws(spark, sf_dir)
-    name = F.when(F.col("lottery") == td.PAGE_LOTTERIES[1], F.lit(td.SECOND_TABLE_NAME)) \
-        .otherwise(F.col("lottery"))
-    stored = d.filter(F.col("lottery").isin(*td.PAGE_LOTTERIES) & (F.col("fecha") < F.lit("1998-01-01").cast("date"))) \
-        .select(name.alias("lottery"), "fecha", "result", "series")
-    scraped = PG.extract_result_rows(td.result_pages(spark, sf_dir)).drop("page_id")
+    stored = _stored_before(spark, sf_dir)
+    scraped = PG.extract_result_rows(td.all_result_pages(spark, sf_dir)).drop("page_id")
     fresh = new_rows(scraped, stored, UPDATE_TODAY).withColumn("_arrival", F.lit(1))
     merged = CT.upsert(stored.withColumn("_arrival", F.lit(0)), fresh, ["fecha", "lottery"], ["_arrival"])
     return merged.drop("_arrival")
 
 
-# -- the same over all lotteries ----------------------------------------------
-
-_ALL_PAGES_SQL = td.with_ctes(["draws"], """
-SELECT CASE WHEN lottery IN (SECOND) THEN lottery || ' LUNA' ELSE lottery END AS lottery, fecha, result, series
-FROM draws""".replace("SECOND", ", ".join(f"'{x}'" for x, name in td.FETCH_NAMES.items() if x != name)))
+BAD_PAGE = ("<table><tr><th>x</th></tr><tr><td>31/31/2031</td><td>0001</td><td>Leo</td></tr>"
+            "<tr><td>01/02/2031</td><td>12</td><td>Leo</td></tr></table><table></table>")
+_REPORT_SQL = [f"""fetched AS (SELECT {_FETCH} AS lottery, fecha, series FROM draws)""",
+               f"""marks AS (SELECT lottery, max(fecha) FILTER (fecha < DATE '{STORED_BEFORE}') AS last FROM fetched GROUP BY lottery)""",
+               """fresh AS (SELECT f.* FROM fetched f JOIN marks m ON f.lottery = m.lottery AND (m.last IS NULL OR f.fecha > m.last))"""]
+
+
+def _update(spark, sf_dir):
+    """The chain over all five lotteries, an unknown name, a lottery of broken pages, and signs without PIS."""
+    table = CowTable(spark, f"{ensure_checkpoint_dir(spark)}/update_{uuid.uuid4().hex}", period="decade")
+    table.start(_stored_before(spark, sf_dir).withColumn("k", F.lit(0).cast("long")))
+    pages = td.all_result_pages(spark, sf_dir)
+    first = td.LOTTERIES[0]
+    pages = pages.unionByName(pages.where(F.col("lottery") == first).withColumn("lottery", F.lit(UNKNOWN_NAME))).unionByName(
+        spark.createDataFrame([(-1, first, BAD_PAGE), (-2, BROKEN_NAME, "<p>no table</p>"), (-3, BROKEN_NAME, "<table></table>")],
+                              "page_id long, lottery string, html string"))
+    names = [*td.FETCH_NAMES.values(), BROKEN_NAME]
+    loterias = spark.createDataFrame(list(enumerate(names, 1)), "id int, nombre string")
+    return (*U.update(table, pages, loterias, td.signos(spark, drop=NO_PIS), UPDATE_TODAY, 0), table)
+
+
+@register("update_report", "lottery str, status str, read int, rejected int, not_new int, inserted int, updated int",
+          td.with_ctes(["draws"], f"""
+SELECT lottery, 'ok' AS status, read, rejected, not_new, inserted, 0 AS updated FROM per
+UNION ALL SELECT '{UNKNOWN_NAME}', 'unknown_lottery', -1, -1, -1, -1, -1
+UNION ALL SELECT '{BROKEN_NAME}', 'no_table', -1, -1, -1, -1, -1
+UNION ALL SELECT 'TOTAL', '', sum(read), sum(rejected), sum(not_new), sum(inserted), 0 FROM per""", [*_REPORT_SQL, f"""per AS (
+  SELECT f.lottery, count(*) + CASE WHEN f.lottery = '{td.LOTTERIES[0]}' THEN 2 ELSE 0 END AS read,
+         max(n.rejected) + CASE WHEN f.lottery = '{td.LOTTERIES[0]}' THEN 2 ELSE 0 END AS rejected,
+         count(*) - max(n.fresh) AS not_new, max(n.fresh) - max(n.rejected) AS inserted
+  FROM fetched f JOIN (SELECT m.lottery, count(x.fecha) AS fresh, count(*) FILTER (x.series = 'PIS') AS rejected
+                       FROM marks m LEFT JOIN fresh x ON m.lottery = x.lottery GROUP BY m.lottery) n ON f.lottery = n.lottery
+  GROUP BY f.lottery)"""]),
+          note="S1 → P4 → J2 → J5 → A3; failed lotteries report -1 and the others commit")
+def q_update_report(spark, sf_dir):
+    report, _rejected, _table = _update(spark, sf_dir)
+    return report
 
 
-@register("extract_result_rows_all", DRAW_SPEC, _ALL_PAGES_SQL, note="pages of all five lotteries, two on a page")
-def q_extract_result_rows_all(spark, sf_dir):
-    return PG.extract_result_rows(td.all_result_pages(spark, sf_dir))
+@register("update_rejected", "lottery str, fecha_text str, reason str", td.with_ctes(["draws"], f"""
+SELECT lottery, strftime(fecha, '%d/%m/%Y') AS fecha_text, 'unknown_sign' AS reason FROM fresh WHERE series = 'PIS'
+UNION ALL SELECT '{td.LOTTERIES[0]}', '31/31/2031', 'bad_date' UNION ALL SELECT '{td.LOTTERIES[0]}', '01/02/2031', 'bad_number'""",
+                                                                               _REPORT_SQL),
+          note="rows of the update that could not be stored, with the reason")
+def q_update_rejected(spark, sf_dir):
+    _report, rejected, _table = _update(spark, sf_dir)
+    return rejected
 
 
-@register("update_from_pages_all", DRAW_SPEC, _ALL_PAGES_SQL,
-          note="stored table holds draws before 1998; stored pages of all five lotteries bring the rest")
-def q_update_from_pages_all(spark, sf_dir):
-    from ..sources.tabular import new_rows
-    names = F.create_map(*[F.lit(x) for pair in td.FETCH_NAMES.items() for x in pair])
-    stored = td.draws(spark, sf_dir).filter(F.col("fecha") < F.lit("1998-01-01").cast("date")) \
-        .select(names[F.col("lottery")].alias("lottery"), "fecha", "result", "series")
-    scraped = PG.extract_result_rows(td.all_result_pages(spark, sf_dir)).drop("page_id")
-    fresh = new_rows(scraped, stored, UPDATE_TODAY).withColumn("_arrival", F.lit(1))
-    merged = CT.upsert(stored.withColumn("_arrival", F.lit(0)), fresh, ["fecha", "lottery"], ["_arrival"])
-    return merged.drop("_arrival")
+@register("update_table", DRAW_SPEC, td.with_ctes(["draws"], f"""
+SELECT {_FETCH} AS lottery, d.fecha, d.result, d.series FROM draws d
+WHERE d.fecha < DATE '{STORED_BEFORE}' OR d.series <> 'PIS'""", _REPORT_SQL), note="the table as the update left it")
+def q_update_table(spark, sf_dir):
+    _report, _rejected, table = _update(spark, sf_dir)
+    return table.read()
 
 
 # -- J4 on a dimension --------------------------------------------------------

@@ -53,7 +53,7 @@ _TARGET = "targets AS (SELECT unnest(['result', 'series']) AS target)"
 CANDIDATES = M.draw_candidates(M.GRID_TEST, 4, rng_seed=1)
 _CANDS = "cands AS (SELECT * FROM (VALUES " + ", ".join(
     f"({i}, {c.n_estimators}, {c.max_depth})" for i, c in enumerate(CANDIDATES)) + ") c(candidate, n_estimators, max_depth))"
-UNREGISTERED = "5-LOW"            # left out of the registry, to show what prediction does without a model
+UNREGISTERED = "6-NEW"            # a lottery without draws: what prediction does without a model
 
 
 def _ml_sql(body, *extra):
@@ -160,38 +160,111 @@ def q_ml_score_dates(spark, sf_dir):
     return got.select("fecha", "lottery", F.col("numero").rlike("^[0-9]{4}$").alias("numero_ok"))
 
 
-@register("ml_boosted_candidate", "lottery str, n int, acc_ok bool", _ml_sql(
-    "SELECT s.lottery, s.n, true AS acc_ok FROM split s JOIN lots USING (lottery)", _SPLIT))
-def q_ml_boosted(spark, sf_dir):
-    """A boosted candidate, fitted per lottery on the units digit."""
-    train, latest, _labels = _frame(spark, sf_dir)
-    split = M.random_split(train, 0.2, 42)
-    cand = M.Candidate(n_estimators=3, max_depth=3, algorithm="gbt", learning_rate=0.1, subsample=0.8)
-    models = M.fit_digit_models(split.filter(~F.col("is_test")), cand, targets=["y_unidades"])
-    scored = M.apply_models(split.filter(F.col("is_test")), models)
-    return scored.groupBy("lottery").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg((F.col("pred_unidades") == F.col("y_unidades")).cast("double")).alias("acc")).select(
-        "lottery", "n", _share("acc").alias("acc_ok"))
-
-
-@register("ml_warm_start", "lottery str, n int, n_trees int, result_ok bool, series_ok bool", _ml_sql(
-    "SELECT s.lottery, s.n, 55 AS n_trees, true AS result_ok, true AS series_ok FROM split s JOIN lots USING (lottery)", _SPLIT))
-def q_ml_warm_start(spark, sf_dir):
-    """Five trees more fifty; all five forests are scored."""
-    train, _latest, _labels = _frame(spark, sf_dir)
-    split = M.random_split(train, 0.2, 42)
-    models = M.warm_start_fit(split.filter(~F.col("is_test")), M.Candidate(n_estimators=5, max_depth=4), extra_trees=50)
-    acc = M.accuracy_table(M.apply_models(split.filter(F.col("is_test")), models))
-    return acc.select("lottery", "n", F.lit(min(m.getNumTrees for m in models.values())).alias("n_trees"),
-                      _share("result_acc").alias("result_ok"), _share("series_acc").alias("series_ok"))
+#: Least accuracy where the draws follow a rule, and the most where they follow none.
+LEARNT, CHANCE = 0.9, 0.25
+BOOSTED = {"n_estimators": [1], "max_depth": [3], "min_samples_split": [2], "algorithm": ["gbt"], "learning_rate": [0.3],
+           "subsample": [1.0]}
+
+
+def _ruled_frame(spark, sf_dir):
+    """As-of rows of the draws that follow a rule."""
+    as_of = checkpoint(features(td.ruled_draws(spark, sf_dir), mode="as_of", block_rows=4096))
+    labelled, labels = M.training_frame(as_of)
+    return checkpoint(labelled), labels
 
 
-def _registered(spark, sf_dir, skip=()):
+def _held_out(frame, fit, cand):
+    """(holdout rows scored by the models that ``fit`` makes of the training rows, the models)."""
+    split = checkpoint(M.random_split(frame, 0.2, 42))
+    models = fit(split.filter(~F.col("is_test")), cand, M.eligible_lotteries(frame, 50))
+    return M.score(split.filter(F.col("is_test")), models), models
+
+
+@register("ml_rule_accuracy", "lottery str, n int, learnt bool, chance bool", _ml_sql(
+    "SELECT s.lottery, s.n, true AS learnt, true AS chance FROM split s JOIN lots USING (lottery)", _SPLIT),
+          note="forests find a planted rule (all five accuracies over 0.9) and find none in the plain draws")
+def q_ml_rule_accuracy(spark, sf_dir):
+    ruled, _labels = _ruled_frame(spark, sf_dir)
+    cand = M.Candidate(n_estimators=10, max_depth=8)
+    scored, _ = _held_out(ruled, M.fit_per_lottery, cand)
+    plain, _latest, _labels = _frame(spark, sf_dir)
+    none, _ = _held_out(plain, M.fit_per_lottery, SMALL)
+    all_five = F.least(*[F.col(f"{d}_acc") for d in M.DIGITS], "series_acc")
+    chance = M.accuracy_table(none).select("lottery", (F.greatest("result_acc", "series_acc") <= CHANCE).alias("chance"))
+    return M.accuracy_table(scored).select("lottery", "n", (all_five >= LEARNT).alias("learnt")).join(chance, "lottery")
+
+
+@register("ml_boosted_candidate", "lottery str, n int, n_targets int, sums_ok bool, argmax_ok bool, learnt bool", _ml_sql(
+    "SELECT s.lottery, s.n, 5 AS n_targets, true AS sums_ok, true AS argmax_ok, true AS learnt FROM split s JOIN lots USING (lottery)",
+    _SPLIT), note="boosted candidates for all five targets of every lottery, with probabilities, on the draws with a rule")
+def q_ml_boosted(spark, sf_dir):
+    """Drawn as the search draws them; every probability vector sums to 1."""
+    cand = M.draw_candidates(BOOSTED, 1, rng_seed=1)[0]
+    ruled, _labels = _ruled_frame(spark, sf_dir)
+    scored, models = _held_out(ruled, M.fit_per_lottery, cand)
+    scored = checkpoint(scored.select("lottery", *[f"{p}_{t[2:]}" for t in M.TARGETS for p in ("y", "pred", "prob")]))
+    tags = [t[2:] for t in M.TARGETS]
+    sums = F.greatest(*[F.abs(F.aggregate(f"prob_{t}", F.lit(0.0), lambda a, x: a + x) - 1) for t in tags])
+    best = F.least(*[(F.element_at(f"prob_{t}", F.col(f"pred_{t}").cast("int") + 1) == F.array_max(f"prob_{t}")).cast("int") for t in tags])
+    checks = scored.groupBy("lottery").agg((F.max(sums) < 1e-9).alias("sums_ok"), (F.min(best) == 1).alias("argmax_ok"))
+    all_five = F.least(*[F.col(f"{d}_acc") for d in M.DIGITS], "series_acc")
+    return M.accuracy_table(scored).join(checks, "lottery").select(
+        "lottery", "n", F.lit(min(len(m) for m in models.values())).alias("n_targets"), "sums_ok", "argmax_ok",
+        (all_five >= LEARNT).alias("learnt"))
+
+
+@register("ml_warm_start", "lottery str, n int, n_trees int, learnt bool", _ml_sql(
+    "SELECT s.lottery, s.n, 55 AS n_trees, true AS learnt FROM split s JOIN lots USING (lottery)", _SPLIT),
+          note="five trees and fifty more for every lottery and target, on the draws with a rule")
+def q_ml_warm_start(spark, sf_dir):
+    ruled, _labels = _ruled_frame(spark, sf_dir)
+    scored, models = _held_out(ruled, M.warm_start_fit, M.Candidate(n_estimators=5, max_depth=6))
+    trees = min(m.getNumTrees for by in models.values() for m in by.values())
+    all_five = F.least(*[F.col(f"{d}_acc") for d in M.DIGITS], "series_acc")
+    return M.accuracy_table(scored).select("lottery", "n", F.lit(trees).alias("n_trees"), (all_five >= LEARNT).alias("learnt"))
+
+
+def simulated_stop(accuracies: list[tuple[float, float]], patience: int) -> int | None:
+    """First attempt at which neither best rose for ``patience`` attempts, stepping through a run's log."""
+    best, last = [0.0, 0.0], 0
+    for i, pair in enumerate(accuracies, 1):
+        if any(a > b for a, b in zip(pair, best)):
+            last = i
+        best = [max(a, b) for a, b in zip(pair, best)]
+        if i - last >= patience:
+            return i
+    return None
+
+
+@register("search_history", "lottery str, numbered bool, stop_ok bool, ended_ok bool, summary_ok bool", _ml_sql(
+    "SELECT lottery, true AS numbered, true AS stop_ok, true AS ended_ok, true AS summary_ok FROM lots"),
+          note="a search that logs its attempts and stops by patience; the stop is stepped through from the logged accuracies")
+def q_search_history(spark, sf_dir):
+    ruled, _labels = _ruled_frame(spark, sf_dir)
+    tries, patience = 4, 2
+    grid = {"n_estimators": [3, 5], "max_depth": [2, 4], "min_samples_split": [2]}
+    log = f"{ensure_checkpoint_dir(spark)}/search_{uuid.uuid4().hex}"
+    history = M.search_history(ruled, M.draw_candidates(grid, tries, rng_seed=3), log, "search", patience,
+                               lotteries=M.eligible_lotteries(ruled, 50))
+    by: dict[str, list] = {}
+    for r in history.orderBy("lottery", "attempt").collect():           # at most ``tries`` rows a lottery
+        by.setdefault(r.lottery, []).append(r)
+    stops = {r.lottery: r.stop_attempt for r in TR.plateau(history, patience).select("lottery", "stop_attempt").distinct().collect()}
+    totals = {r.lottery: r for r in TR.training_summary(history).collect()}
+    rows = []
+    for lot, got in by.items():
+        stop = simulated_stop([(r.result_acc, r.series_acc) for r in got], patience)
+        rows.append((lot, [r.attempt for r in got] == list(range(1, len(got) + 1)), stops[lot] == stop,
+                     len(got) == (stop or tries), totals[lot].iterations == len(got)
+                     and totals[lot].best_result_acc == max(r.result_acc for r in got)))
+    return spark.createDataFrame(rows, "lottery string, numbered boolean, stop_ok boolean, ended_ok boolean, summary_ok boolean")
+
+
+def _registered(spark, sf_dir):
     """Fits every lottery on its training rows and registers ``result`` and ``series`` with accuracy and macro F1."""
     train, latest, labels = _frame(spark, sf_dir)
     split = checkpoint(M.random_split(train, 0.2, 42))
-    lots = [x for x in _lotteries(latest, train) if x not in skip]
+    lots = _lotteries(latest, train)
     models = M.fit_per_lottery(split.filter(~F.col("is_test")), SMALL, lots)
     scored = checkpoint(M.score(split.filter(F.col("is_test")), models).select(
         "lottery", *[f"{p}_{t}" for t in [*M.DIGITS, "series"] for p in ("y", "pred")]))
@@ -219,13 +292,12 @@ def q_ml_register_models(spark, sf_dir):
 
 
 @register("predict_from_registry", "lottery str, status str, n_numbers int, n_signs int", _ml_sql(
-    f"SELECT lottery, CASE WHEN lottery = '{UNREGISTERED}' THEN 'no_model' ELSE 'ok' END AS status, "
-    f"CASE WHEN lottery = '{UNREGISTERED}' THEN 0 ELSE 3 END AS n_numbers, "
-    f"CASE WHEN lottery = '{UNREGISTERED}' THEN 0 ELSE 3 END AS n_signs FROM lots"))
+    f"SELECT lottery, 'ok' AS status, 3 AS n_numbers, 3 AS n_signs FROM lots "
+    f"UNION ALL SELECT '{UNREGISTERED}', 'no_model', 0, 0"))
 def q_predict_from_registry(spark, sf_dir):
-    """T6 → load → H6 → S4: the best stored models predict; a lottery without one gets a status row."""
-    _kept, root, latest, labels = _registered(spark, sf_dir, skip=(UNREGISTERED,))
-    names = [r[0] for r in latest.select("lottery").orderBy("lottery").collect()]
+    """T6 → load → H6 → S4: the best stored models predict; an added lottery without any gets a status row."""
+    _kept, root, latest, labels = _registered(spark, sf_dir)
+    names = [r[0] for r in latest.select("lottery").orderBy("lottery").collect()] + [UNREGISTERED]
     models, status = RG.best_models(spark, root, names)
     numbers, signs = M.predict_latest(latest.withColumn("target", F.lit(None).cast("int")), models, labels)
     path = f"{root}/predictions"

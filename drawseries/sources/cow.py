@@ -154,8 +154,11 @@ class CowTable:
             .otherwise("inserted").alias("what"))
         return stays, known, touched
 
-    def merge(self, batch: DataFrame, batch_id: int) -> dict[str, int] | None:
-        """Upsert of a batch; counts of its rows, or None if the batch was committed before."""
+    def merge(self, batch: DataFrame, batch_id: int, outcome: list | None = None) -> dict[str, int] | None:
+        """Upsert of a batch; counts of its rows, or None if the batch was committed before.
+
+        ``outcome`` takes the batch's rows, one per key, with ``what`` became of each.
+        """
         snap = self.snapshot()
         if snap.batch >= batch_id:
             return None
@@ -167,6 +170,9 @@ class CowTable:
             self._commit(Snapshot(snap.version + 1, batch_id, snap.parts), self.schema())
             return dict.fromkeys(("read", "inserted", "updated", "stale", "affected"), 0)
         stays, known, touched = self.plan_merge(new, snap)
+        if outcome is not None:
+            known = store(known, "outcome")
+            outcome.append(known)
         seen = Observation(f"merge-{uuid.uuid4().hex}")
         fresh = known.observe(seen, *[F.count(F.when(F.col("what") == w, 1)).alias(w) for w in ("inserted", "updated", "stale")])
         out = self._with_part(stays).select(*columns, "part").unionByName(

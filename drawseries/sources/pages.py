@@ -33,10 +33,20 @@ def _text(c):
     return F.trim(decoded)
 
 
-def extract_result_rows(pages: DataFrame) -> DataFrame:
-    tables = F.regexp_extract_all(F.col("html"), F.lit(_TABLE), 1)
+def _tables():
+    return F.regexp_extract_all(F.col("html"), F.lit(_TABLE), 1)
+
+
+def page_counts(pages: DataFrame) -> DataFrame:
+    """(lottery, pages, readable): how many pages were fetched for a lottery and how many have the two tables."""
+    return pages.groupBy("lottery").agg(F.count(F.lit(1)).alias("pages"),
+                                        F.count(F.when(F.size(_tables()) >= 2, 1)).alias("readable"))
+
+
+def result_cells(pages: DataFrame) -> DataFrame:
+    """(page_id, lottery, fecha_text, number_text, sign_text): the rows of three cells and more, as text."""
     idx = F.when(F.upper(F.col("lottery")).contains(SECOND_TABLE_MARKER), 1).otherwise(0)
-    picked = pages.select("page_id", "lottery", tables.alias("_tables"), idx.alias("_idx")) \
+    picked = pages.select("page_id", "lottery", _tables().alias("_tables"), idx.alias("_idx")) \
         .filter(F.size("_tables") >= 2) \
         .select("page_id", "lottery", F.element_at("_tables", F.col("_idx") + 1).alias("_table"))
     rows = picked.select("page_id", "lottery", F.posexplode(
@@ -45,12 +55,16 @@ def extract_result_rows(pages: DataFrame) -> DataFrame:
     cells = rows.select("page_id", "lottery",
                         F.regexp_extract_all(F.col("_row"), F.lit(_CELL), 1).alias("_cells")) \
         .filter(F.size("_cells") >= 3)
-    parsed = cells.select(
-        "page_id",
-        parse_fecha(_text(F.col("_cells")[0])).alias("fecha"),
-        F.col("lottery"),
-        parse_number(_text(F.col("_cells")[1])).alias("result"),
-        normalise_sign(_text(F.col("_cells")[2])).alias("series"),
-    )
-    return parsed.filter(F.col("fecha").isNotNull() & F.col("result").isNotNull())
+    return cells.select("page_id", "lottery", *[_text(F.col("_cells")[i]).alias(name) for i, name in enumerate(
+        ("fecha_text", "number_text", "sign_text"))])
 
+
+def parsed_rows(cells: DataFrame) -> DataFrame:
+    """``cells`` with fecha, result and series; null where the text does not parse."""
+    return cells.select("*", parse_fecha(F.col("fecha_text")).alias("fecha"), parse_number(F.col("number_text")).alias("result"),
+                        normalise_sign(F.col("sign_text")).alias("series"))
+
+
+def extract_result_rows(pages: DataFrame) -> DataFrame:
+    parsed = parsed_rows(result_cells(pages)).select("page_id", "fecha", "lottery", "result", "series")
+    return parsed.filter(F.col("fecha").isNotNull() & F.col("result").isNotNull())

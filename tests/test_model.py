@@ -111,3 +111,55 @@ def test_score_dates_variants(spark, learnable):
     assert M.score_dates(latest, models, start="2030-01-01", end="2030-01-10").count() == 10
     assert M.score_dates(latest, models, dates=["2030-02-01", "2030-03-01"]).count() == 2
     assert M.eligible_lotteries(frame, min_rows=10_000) == []
+
+
+# -- walk-forward store, boosted one-vs-rest, live search ---------------------------
+
+def test_walk_forward_folders_hold_what_a_fit_may_see(spark):
+    from drawseries.operators import backtest as BT
+    from drawseries.sources import testdata as td
+    d = td.ruled_draws(spark, "/root/testdata/sf0.001")
+    path, _labels = BT.walk_forward_store(d, window=20, retrain=8)
+    frame = BT.read_walk_forward(spark, path)
+    n = {r.lottery: r["count"] for r in d.groupBy("lottery").count().collect()}
+    for lot, size in n.items():
+        s0 = max(size - 20, 1) + 1
+        for j, cut in enumerate(range(s0, size + 1, 8), 1):
+            train = {r.seq for r in BT.training_rows(frame, lot, j).collect()}
+            test = {r.seq for r in BT.test_rows(frame, lot, j).collect()}
+            assert train == set(range(1, cut - 1))                     # rows whose label comes before the cut-off
+            assert test == set(range(cut - 1, min(cut + 8, size + 1) - 1))
+    plan = BT.training_rows(frame, "1-URGENT", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(lottery" in plan and "blk" in plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+
+
+def test_boosted_probabilities(spark):
+    from drawseries.operators.features import features
+    from drawseries.sources import testdata as td
+    frame, _ = M.training_frame(features(td.ruled_draws(spark, "/root/testdata/sf0.001"), mode="as_of", block_rows=4096))
+    frame = frame.where("lottery = '1-URGENT'")
+    models = M.fit_digit_models(frame, M.Candidate(n_estimators=1, max_depth=3, algorithm="gbt", learning_rate=0.3),
+                                targets=["y_unidades"])
+    out = M.apply_models(frame, models)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan                                        # margins are gathered in the JVM
+    rows = out.select("prob_unidades", "pred_unidades", "y_unidades").collect()
+    for r in rows:
+        assert abs(sum(r.prob_unidades) - 1) < 1e-9 and min(r.prob_unidades) > 0
+        assert r.prob_unidades[int(r.pred_unidades)] == max(r.prob_unidades)
+    assert sum(r.pred_unidades == r.y_unidades for r in rows) >= 0.9 * len(rows)
+
+
+def test_candidates_of_both_kinds_are_drawn():
+    grid = {"n_estimators": [1, 2], "max_depth": [2], "min_samples_split": [2], "algorithm": ["rf", "gbt"], "learning_rate": [0.3],
+            "subsample": [0.5]}
+    got = M.draw_candidates(grid, 40, 1)
+    assert {c.algorithm for c in got} == {"rf", "gbt"}
+    assert all((c.learning_rate, c.subsample) == ((0.3, 0.5) if c.algorithm == "gbt" else (0.1, 1.0)) for c in got)
+
+
+def test_simulated_stop():
+    from drawseries.plans.q_model import simulated_stop
+    assert simulated_stop([(0.5, 0.1), (0.5, 0.1), (0.4, 0.1)], 2) == 3
+    assert simulated_stop([(0.5, 0.1), (0.5, 0.2), (0.4, 0.1)], 2) is None
+    assert simulated_stop([], 2) is None
