@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import Memo, short_batches
+from .common import short_batches
 from .ordered import block_bounds, deal, sorted_blocks
 
 #: (ids in a word, bits of each), by selector 1 to 14.
@@ -56,6 +56,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, frame offsets, escaped values) of an array of unsigned 64-bit ids."""
     ids = np.asarray(ids, dtype=np.uint64)
     n = len(ids)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
     # for each place of a frame the selector that packs most ids from there on
     rows = -(-n // FRAME)
     grid = np.zeros((rows, FRAME), dtype=np.uint64)
@@ -222,65 +224,109 @@ def decode_tokens(blocks: DataFrame, as_u32: bool = False) -> DataFrame:
         run, f"doc_id long, start long, n_tokens long, ids {'binary' if as_u32 else 'array<long>'}")
 
 
-def library_encoder(tokenizer_path: str, memo: int = 350_000) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
-    """Encoding with a file of the ``tokenizers`` library, words memoised.
+#: Parts of texts that a worker remembers with their ids before it starts anew.
+REMEMBERED = 400_000
 
-    A text is cut at ASCII white space, which no token of these files crosses, and
-    each distinct part is encoded once.  Where the file's pre-tokenizer keeps the
-    matches of one pattern as byte-level pieces, the library's normalizer and model
-    are called on each distinct piece; else its whole encoding on each part.  Only
-    for files whose pre-tokenizer drops white space.
+
+def library_encoder(tokenizer_path: str, remembered: int = REMEMBERED) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
+    """Encoding with a file of the ``tokenizers`` library, without special tokens added.
+
+    A text is cut at ASCII white space, which no token of these files crosses, and each
+    distinct part is encoded once.  A text that holds the string of an added token goes
+    to the library whole.  Only for files whose pre-tokenizer drops white space.
     """
     def make():
         if tokenizer_path not in _CODERS:
-            _CODERS[tokenizer_path] = Memo(_part_encoder(tokenizer_path, memo), memo)
-        parts = _CODERS[tokenizer_path]
-
-        def encode(texts: list[str]) -> list[np.ndarray]:
-            return [np.frombuffer(b"".join([parts[w] for w in t.encode("utf-8", "surrogatepass").split()]), "<u4")
-                    for t in texts]
-        return encode
+            _CODERS[tokenizer_path] = Parts(tokenizer_path, remembered)
+        return _CODERS[tokenizer_path].encode
     return make
 
 
-def _part_encoder(path: str, memo: int) -> Callable[[bytes], bytes]:
-    """A function from a part of a text without white space to its ids as 32-bit integers."""
-    import os
-
-    from tokenizers import Tokenizer
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True                 # their strings in a text are ordinary text
-    steps = (json.loads(tok.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
-    plain = ([s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed"
-             and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"])
-    # of ASCII parts the normalizer changes nothing but the case
-    kinds = {k["type"] for k in (json.loads(tok.to_str())["normalizer"] or {}).get("normalizers", [])}
-    plain = plain and kinds == {"NFC", "Replace", "Lowercase"}
-    if not plain:
-        return lambda w: np.array(tok.encode(w.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
-    normalize, cut, model = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str, tok.model
-    letters = _byte_letters()
-
-    def piece(mapped: str) -> bytes:
-        return array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
-
-    def word(p: str) -> bytes:
-        return piece(p if p.isascii() else "".join([letters[b] for b in p.encode()]))
-
-    words, pieces = Memo(word, memo), Memo(piece, memo)
-
-    def part(w: bytes) -> bytes:
-        s = w.decode("utf-8", "surrogatepass")
-        # up to here no letter has a mark that normalizing could join to it, and all have the one lower case
-        if max(s) < "\u0250":
+class Parts(dict):
+    """Part of a text (bytes without white space) -> its ids as 32-bit integers; one per worker process and file."""
+
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        super().__init__()
+        import os
+
+        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.whole = Tokenizer.from_file(path)
+        spec = json.loads(self.whole.to_str())
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.added_normalized = [t["content"] for t in spec["added_tokens"] if t["normalized"]]
+        self.remembered = remembered
+        #: lower-case letters or a mark -> ids; pieces as the library cuts them -> ids
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        # letter runs, and marks behind them, are their own pieces; the normalizer changes but their case
+        self.plain = ([x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed"
+                      and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+                      and {k["type"] for k in (spec["normalizer"] or {}).get("normalizers", [])} == {"NFC", "Replace", "Lowercase"})
+        self.tokenize, self.letters = self.whole.model.tokenize, _byte_letters()
+        if self.plain:
+            self.normalize, self.cut = self.whole.normalizer.normalize_str, self.whole.pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, part: bytes) -> bytes:
+        low = part.lower()
+        if self.plain and low.isalpha():                 # ASCII letters
+            ids = self[part] = self.words.get(low) or self._ascii(low)
+            return ids
+        s = part.decode("utf-8", "surrogatepass")
+        ids = None
+        # below this no letter has a mark that normalizing could join to it, and all have the one lower case
+        if self.plain and (s.isascii() or max(s) < "\u0250"):
             low = s.lower()
-            if low.isalpha():                        # a run of letters, or one with a mark behind it, is its own pieces
-                return words[low]
-            if low[-1] in ".,;:!?" and low[:-1].isalpha():
-                return words[low[:-1]] + words[low[-1]]
-        return b"".join([pieces[p] for p, _ in cut(normalize(s))])
-    return part
+            if low.isalpha():
+                ids = self._word(low)
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                ids = self._word(low[:-1]) + self._word(low[-1])
+        if ids is None:
+            if self.plain:
+                pieces = self.pieces
+                ids = b"".join([pieces.get(p) or self._piece(p) for p, _ in self.cut(self.normalize(s))])
+            else:
+                ids = array("I", self.whole.encode(s, add_special_tokens=False).ids).tobytes()
+        self[part] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces[piece] = array("I", [t.id for t in self.tokenize(piece)]).tobytes()
+        return ids
+
+    def _ascii(self, low: bytes) -> bytes:
+        ids = self.words[low] = array("I", [t.id for t in self.tokenize(low.decode())]).tobytes()
+        return ids
+
+    def _word(self, low: str) -> bytes:
+        """Ids of lower-case letters or of one mark, which the byte-level letters may spell anew."""
+        raw = low.encode()
+        ids = self.words.get(raw)
+        if ids is None:
+            letters = self.letters
+            shown = low if len(raw) == len(low) else "".join([letters[b] for b in raw])
+            ids = self.words[raw] = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+        return ids
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for t in texts:
+            if self.has_added(t):
+                out.append(np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4"))
+            else:
+                out.append(np.frombuffer(b"".join([self[w] for w in t.encode("utf-8", "surrogatepass").split()]), "<u4"))
+            if len(self) > self.remembered:
+                self.clear()
+                self.words.clear()
+                self.pieces.clear()
+        return out
+
+    def has_added(self, text: str) -> bool:
+        for a in self.added:
+            if a in text:
+                return True
+        return bool(self.added_normalized) and any(a in self.whole.normalizer.normalize_str(text) for a in self.added_normalized)
 
 
 def _byte_letters() -> list[str]:
@@ -290,4 +336,4 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-_CODERS: dict[str, Memo] = {}
+_CODERS: dict[str, Parts] = {}

@@ -43,9 +43,7 @@ def test_frames_and_density(n):
 
 @pytest.fixture(scope="module")
 def tok():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def check(got, rows, tok):
@@ -90,3 +88,29 @@ def test_shortcuts_equal_the_library_for_every_character(tok):
             c = chr(i)
             for t in (f"Ab{c}cd", f"{c}", f"x{c}.", f"{c}'s{c}{c}"):
                 assert encode([t])[0].tolist() == tok.encode(t, add_special_tokens=False).ids, hex(i)
+
+
+def test_added_tokens_are_the_librarys(tok):
+    encode = simple8b.library_encoder(PATH)()
+    texts = ["end <|endoftext|> here", "<|startoftext|>", "a<|endoftext|><|endoftext|>b", "< |endoftext|>", "<|ENDOFTEXT|> x",
+             "plain", "<|endoftext|"]
+    assert encode(texts)[0].tolist() == [806, 49407, 763]
+    assert [e.tolist() for e in encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_forgetting_changes_nothing(tok):
+    encoder = simple8b.Parts(PATH, remembered=20)
+    texts = [f"word{i} {'abc' * (i % 7)} Été, {i} don't." for i in range(50)]
+    for k in range(0, 50, 5):
+        got = encoder.encode(texts[k:k + 5])
+        assert [e.tolist() for e in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts[k:k + 5]]
+        assert len(encoder) <= 20
+
+
+def test_other_files_of_the_library(tmp_path):
+    from tokenizers import models, pre_tokenizers
+    other = Tokenizer(models.WordLevel({"a": 0, "b": 1, "[U]": 2}, unk_token="[U]"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    path = str(tmp_path / "t.json")
+    other.save(path)
+    assert simple8b.library_encoder(path)()(["a b,c  a", ""])[0].tolist() == [0, 1, 2, 2, 0]
