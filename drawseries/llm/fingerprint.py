@@ -40,54 +40,87 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_WORD = (1 << 64) - 1
+_BASE = np.uint64(1099511628211)
+_POWERS = np.ones(1, dtype=np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of ``_BASE``, kept for later texts."""
+    global _POWERS
+    while len(_POWERS) < n:
+        with np.errstate(over="ignore"):
+            more = _POWERS * (_POWERS[-1] * _BASE)
+        _POWERS = np.concatenate([_POWERS, more])
+    return _POWERS[:n]
 
 
 class Parse:
     """A parse that can be continued, and continued again from a marked place.
 
-    The dictionary is a trie: key ``node << 21 | code point`` leads to a child.  A
-    phrase's hash is its parent's hash times an odd constant plus its last code
-    point, mixed at the end; what is left unfinished at the text's end is already a
-    phrase.
+    The dictionary is a trie of dicts by character; a node keeps its phrase's length
+    under the empty string.  Phrases follow each other in the text, so their lengths
+    name them; what is left unfinished at the text's end is already a phrase.
     """
 
-    __slots__ = ("trie", "keys", "rolled", "node")
+    __slots__ = ("root", "node", "lengths", "text", "undo")
 
     def __init__(self):
-        self.trie: dict[int, int] = {}
-        self.keys: list[int] = []
-        self.rolled: list[int] = [0]                  # by node; the root's comes first
-        self.node = 0
+        self.root = {"": 0}
+        self.node = self.root
+        self.lengths: list[int] = []
+        self.text: list[str] = []
+        self.undo = None                                 # after a mark: (node, character) of each new phrase
 
     def feed(self, text: str) -> None:
-        trie, node, rolled = self.trie, self.node, self.rolled
-        get, add, roll = trie.get, self.keys.append, rolled.append
-        size = len(self.keys)
-        for c in map(ord, text):
-            key = node << 21 | c
-            child = get(key)
-            if child is None:
-                size += 1
-                trie[key] = size
-                add(key)
-                roll((rolled[node] * 1099511628211 + c + 1) & _WORD)
-                node = 0
-            else:
-                node = child
+        root, node, add = self.root, self.node, self.lengths.append
+        self.text.append(text)
+        if self.undo is None:
+            for c in text:
+                child = node.get(c)
+                if child is None:
+                    n = node[""] + 1
+                    node[c] = {"": n}
+                    add(n)
+                    node = root
+                else:
+                    node = child
+        else:
+            made = self.undo.append
+            for c in text:
+                child = node.get(c)
+                if child is None:
+                    n = node[""] + 1
+                    node[c] = {"": n}
+                    add(n)
+                    made((node, c))
+                    node = root
+                else:
+                    node = child
         self.node = node
 
-    def mark(self) -> tuple[int, int]:
-        return len(self.keys), self.node
+    def mark(self) -> tuple:
+        self.undo = []
+        return len(self.lengths), self.node, len(self.text)
 
-    def back(self, mark: tuple[int, int]) -> None:
-        size, self.node = mark
-        for key in self.keys[size:]:
-            del self.trie[key]
-        del self.keys[size:], self.rolled[size + 1:]
+    def back(self, mark: tuple) -> None:
+        size, self.node, texts = mark
+        for node, c in reversed(self.undo):
+            del node[c]
+        self.undo = []
+        del self.lengths[size:], self.text[texts:]
 
     def hashes(self) -> np.ndarray:
-        return _mixed(np.array(self.rolled[1:], dtype=np.uint64))
+        """One hash for each phrase: the sum of its code points times powers by their place in it, mixed."""
+        n = len(self.lengths)
+        if not n:
+            return np.zeros(0, dtype=np.uint64)
+        size = np.array(self.lengths)
+        total = int(size.sum())
+        code = np.frombuffer("".join(self.text).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)[:total].astype(np.uint64)
+        first = np.cumsum(size) - size
+        place = np.arange(total) - np.repeat(first, size)
+        with np.errstate(over="ignore"):
+            return _mixed(np.add.reduceat((code + np.uint64(1)) * _powers(int(size.max()))[place], first))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
