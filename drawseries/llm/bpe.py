@@ -27,12 +27,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StructField, StructType
 
 from .common import Memo, short_batches
 
+#: Fixed value: the pattern of the public byte-level vocabulary, whose texts may be cut at single spaces.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that either half of a worker's memo may hold.
 MEMO = 100_000
 
@@ -57,10 +60,14 @@ class Encoder:
         self.ids = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.text = {rank: token for token, rank in self.ids.items()}
         self.pieces = regex.compile(pattern)
+        #: with this pattern a match starts at each single space, and letters, or one mark behind them, are one match
+        self.shortcuts = pattern == BYTE_LEVEL
+        self.marks = frozenset(".,;:!?")
         self.finder = ahocorasick.Automaton()
         for token, rank in self.ids.items():
-            self.finder.add_word(token, rank)
+            self.finder.add_word(token, (rank, len(token) - 1))
         self.finder.make_automaton()
+        self.width = {rank: len(token) for token, rank in self.ids.items()}
         self.shorter = {rank: self._prefix(token) for token, rank in self.ids.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.fits_memo = Memo(self._fits, MEMO)
@@ -121,49 +128,50 @@ class Encoder:
         if whole is not None:
             return (whole,)
         n = len(raw)
-        longest = [0] * n
+        # matches come by their ends, so the last one from a start is its longest
         match = [0] * n
-        size, fits = self.text, self.fits_memo
-        for end, token in self.finder.iter(raw):
-            width = len(size[token])
-            at = end - width + 1
-            if width > longest[at]:
-                longest[at], match[at] = width, token
-        alive = bytearray(b"\1") * (n + 1)
+        for end, (token, before) in self.finder.iter(raw):
+            match[end - before] = token
+        width, fits, shorter = self.width, self.fits_memo, self.shorter
+        alive = [True] * (n + 1)
         out: list[int] = []
-        pos = 0
+        pos, last = 0, -1
         token: int | None = match[0]
-        while pos < n:
-            last = out[-1] if out else None
+        while True:
             while token is not None:
-                end = pos + len(size[token])
-                if alive[end] and (last is None or fits[last, token]):
+                end = pos + width[token]
+                if alive[end] and (last < 0 or fits[last, token]):
                     break
-                token = self.shorter[token]
-            if token is None:
-                alive[pos] = 0
+                token = shorter[token]
+            if token is None:                            # a dead end: take the last token back
+                alive[pos] = False
                 token = out.pop()
-                pos -= len(size[token])
-                token = self.shorter[token]
+                pos -= width[token]
+                last = out[-1] if out else -1
+                token = shorter[token]
                 continue
             out.append(token)
-            pos = end
-            if pos < n:
-                token = match[pos]
-        return tuple(out)
+            if end == n:
+                return tuple(out)
+            pos, last, token = end, token, match[end]
 
     def _by_pattern(self, text: str) -> bytes:
+        if self.shortcuts and (text.isascii() or max(text) < "\u0250"):
+            if text.isalpha() or (text[:1] == " " and text[1:].isalpha()):
+                return self._raw(self.piece(text))       # one match
+            if text[-1:] in self.marks and text[:-1].strip(" ").isalpha() and text[:2] != "  ":
+                return self.chunk_memo[text[:-1]] + self.piece_memo[text[-1]]
         memo = self.piece_memo
         return b"".join([memo[p] for p in self.pieces.findall(text)])
 
-    def encode(self, text: str, cut_spaces: bool = True) -> bytes:
+    def encode(self, text: str) -> bytes:
         """Ids of a text as 32-bit integers, each match of the pattern encoded separately.
 
-        With ``cut_spaces`` the text is first cut before single spaces and around
-        single line feeds that stand between other characters.  The public byte-level
-        pattern always starts a match there, so the cut parts can be memoised.
+        With the public byte-level pattern the text is first cut before single spaces and
+        around single line feeds that stand between other characters: a match always
+        starts there, so the cut parts can be memoised.
         """
-        if not cut_spaces or self.odd_space.search(text):
+        if not self.shortcuts or self.odd_space.search(text):
             return self._by_pattern(text)
         memo, out = self.chunk_memo, []
         lines = text.split("\n")
@@ -190,37 +198,65 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
-def _mapped(df: DataFrame, source: str, out: str, sql: DataType,
-            make: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
-    """All columns of ``df`` and a new one made of column ``source``."""
-    kept = [c for c in df.columns if c != out or c == source]
+def _coded(enc: Encoder, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, where each text's end)."""
+    raw = [enc.encode(t) if t else b"" for t in texts]
+    return np.frombuffer(b"".join(raw), dtype=np.int32), np.cumsum([0, *map(len, raw)]) // 4
+
+
+_TABLES: dict[str, pa.Array] = {}
+
+
+def token_table(path: str) -> pa.Array:
+    """Token bytes by id."""
+    if path not in _TABLES:
+        ranks = read_ranks(path)
+        tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for raw, rank in ranks.items():
+            tokens[rank] = raw
+        _TABLES[path] = pa.array(tokens, pa.binary())
+    return _TABLES[path]
+
+
+def _decoded(table: pa.Array, ids: pa.Array, ends: np.ndarray) -> pa.Array:
+    """The bytes of the ids between each two ``ends``: tokens are gathered as one run of bytes, which the texts divide."""
+    got = table.take(ids)
+    if got.null_count:
+        raise KeyError("an id that the vocabulary does not have")
+    offsets = np.frombuffer(got.buffers()[1], dtype=np.int32) if len(got) else np.zeros(1, np.int32)
+    at = pa.py_buffer(offsets[ends].astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, at, got.buffers()[2] if len(got) else pa.py_buffer(b"")])
+
+
+def _mapped(df: DataFrame, source: str, new: dict[str, DataType], make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+            drop: bool = False) -> DataFrame:
+    """All columns of ``df`` (``source`` unless dropped) and new ones made of column ``source``."""
+    kept = [c for c in df.columns if c not in new or c == source]
     base = df.select(*[df[c] for c in kept])
-    names = base.columns
+    at = base.columns.index(source)
+    fields = [f for i, f in enumerate(base.schema.fields) if not (drop and i == at)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, one(b.column(names.index(source)))], names=[*names, out])
+            cols = [c for i, c in enumerate(b.columns) if not (drop and i == at)]
+            yield pa.RecordBatch.from_arrays([*cols, *one(b.column(at))], names=[*[f.name for f in fields], *new])
 
-    schema = StructType([*base.schema.fields, StructField(out, sql)])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(run, StructType([*fields, *[StructField(c, t) for c, t in new.items()]]))
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids",
-           cut_spaces: bool = True) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with the token ids of every whole text (array<int>)."""
     short_batches(df.sparkSession)
 
     def make():
         enc = encoder(path, pattern)
 
-        def one(texts: pa.Array) -> pa.Array:
-            raw = [enc.encode(t, cut_spaces) if t else b"" for t in texts.to_pylist()]
-            ends = np.cumsum([0, *map(len, raw)]) // 4
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
-                                            pa.array(np.frombuffer(b"".join(raw), dtype=np.int32)))
+        def one(texts: pa.Array) -> list[pa.Array]:
+            ids, ends = _coded(enc, texts.to_pylist())
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
         return one
-    return _mapped(df, text, out, ArrayType(IntegerType()), make)
+    return _mapped(df, text, {out: ArrayType(IntegerType())}, make)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -228,10 +264,25 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     short_batches(df.sparkSession)
 
     def make():
-        token = {rank: raw for raw, rank in read_ranks(path).items()}
+        table = token_table(path)
+
+        def one(rows: pa.Array) -> list[pa.Array]:
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False))])
+            return [_decoded(table, rows.flatten(), ends)]
+        return one
+    return _mapped(df, ids, {out: BinaryType()}, make)
+
+
+def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``df`` with ids instead of the text, and the bytes that those ids decode to: both ways in one pass."""
+    short_batches(df.sparkSession)
+
+    def make():
+        enc, table = encoder(path, pattern), token_table(path)
 
-        def one(rows: pa.Array) -> pa.Array:
-            return pa.array([b"".join(map(token.__getitem__, v)) if v else b"" for v in
-                             (r.values.to_numpy().tolist() if r.is_valid else None for r in rows)], pa.binary())
+        def one(texts: pa.Array) -> list[pa.Array]:
+            ids, ends = _coded(enc, texts.to_pylist())
+            ids = pa.array(ids)
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids), _decoded(table, ids, ends)]
         return one
-    return _mapped(df, ids, out, BinaryType(), make)
+    return _mapped(df, text, {"ids": ArrayType(IntegerType()), "decoded": BinaryType()}, make, drop=True)

@@ -64,7 +64,7 @@ def op8_byte_bpe(spark, sf_dir):
     import public_tokenizers
     path = tokenizer_path("byte_bpe_50k.tiktoken")
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    out = bpe.encode_decode(docs, path, public_tokenizers.PATTERN)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))

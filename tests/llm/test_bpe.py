@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from drawseries.llm.bpe import Encoder, decode, encode, read_ranks
+from drawseries.llm.bpe import Encoder, decode, encode, encode_decode, read_ranks
 
 from ..conftest import SF_SMALL
 from .conftest import ODD
@@ -18,8 +18,8 @@ PATH = P.path("byte_bpe_50k.tiktoken")
 
 
 class Listed(Encoder):
-    def encode(self, text, cut_spaces=True):
-        return list(array("i", super().encode(text, cut_spaces)))
+    def encode(self, text):
+        return list(array("i", super().encode(text)))
 
 
 @pytest.fixture(scope="module")
@@ -45,9 +45,27 @@ def test_random_pieces_match_library(pair):
 @given(t=st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t \x1c'sle.,ab1é試🙂")), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_any_text_matches_library(pair, t):
     enc, lib = pair
-    want = lib.encode_ordinary(t)
-    assert enc.encode(t) == want
-    assert enc.encode(t, cut_spaces=False) == want
+    assert enc.encode(t) == lib.encode_ordinary(t)
+
+
+def test_other_patterns_are_not_cut_at_spaces(pair):
+    ranks = pair[0].ids
+    pattern = r"[a-z ]+|[^a-z ]+"
+    raw = {k.encode("latin-1"): v for k, v in ranks.items()}
+    enc = Listed(raw, pattern)
+    lib = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=raw, special_tokens={})
+    assert not enc.shortcuts and pair[0].shortcuts
+    for t in ("two words here, Yes", "a. b c\nd", " lead", "word."):
+        assert enc.encode(t) == lib.encode_ordinary(t)
+
+
+def test_both_ways_in_one_pass(docs_of, pair):
+    docs = docs_of(ODD).withColumn("ids", F.lit("clash"))
+    out = encode_decode(docs, PATH, P.PATTERN)
+    assert "text" not in out.columns
+    got = sorted(((r.doc_id, list(r.ids), bytes(r.decoded)) for r in out.collect()), key=str)
+    assert got == sorted(((i, pair[1].encode_ordinary(t or ""), (t or "").encode()) for i, t in ODD), key=str)
+    assert encode_decode(docs_of([]), PATH, P.PATTERN).count() == 0
 
 
 def test_long_pieces_stay_linear(pair):
@@ -68,6 +86,13 @@ def test_table_round_trip(spark, docs_of, pair):
     assert encode(docs_of([]), PATH, P.PATTERN).count() == 0
 
 
+def test_decoding_null_and_unknown_ids(spark):
+    df = spark.createDataFrame([(1, [0, 1]), (2, None), (3, [])], "i int, ids array<int>")
+    assert {r.i: bytes(r.decoded) for r in decode(df, PATH).collect()} == {1: b'!"', 2: b"", 3: b""}
+    with pytest.raises(Exception, match="out of bounds|vocabulary"):
+        decode(spark.createDataFrame([([60000],)], "ids array<int>"), PATH).collect()
+
+
 def test_ranks_file():
     ranks = read_ranks(PATH)
     assert len(ranks) == 50256 and ranks[base64.b64decode("IQ==")] == 0
