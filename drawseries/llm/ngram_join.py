@@ -258,6 +258,12 @@ def join_block(sets: list[np.ndarray], probes: list[int], percent: int, parts_of
     return [root(i) for i in range(len(sets))]
 
 
+def set_name(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit halves of a hash of a set; equal sets have equal ones."""
+    digest = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)
+
+
 _LIGHT = "id long, n int, h1 long, h2 long, slice int, counts binary"
 
 
@@ -272,10 +278,10 @@ def _first_pass(n_words: int):
             cells, size, h1, h2 = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, n_words)
-                digest = xxhash.xxh3_128_intdigest(s.tobytes())
+                a, b2 = set_name(s)
                 size.append(len(s))
-                h1.append((digest >> 64) - (1 << 63))
-                h2.append((digest & ((1 << 64) - 1)) - (1 << 63))
+                h1.append(a)
+                h2.append(b2)
                 cells.append((s >> shift).astype(np.int64))
             got = np.concatenate(cells) if cells else np.zeros(0, np.int64)
             total += np.bincount(got, minlength=CELLS).astype(np.uint32)
@@ -319,7 +325,10 @@ def rarity(light: DataFrame) -> np.ndarray:
 
 
 def _emit_keys(n_words: int, percent: int, classes: np.ndarray, n_buckets: int):
-    """Keys with their documents, packed by bucket; keys that repeat in the task are joined there."""
+    """Keys with the names of their sets, packed by bucket; keys that repeat in the task are joined there.
+
+    A set goes by the first half of its hash, so that every text of an id is a node of its own.
+    """
     schema = ["bucket", "keys", "ids"]
 
     def packed(ks: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
@@ -347,11 +356,12 @@ def _emit_keys(n_words: int, percent: int, classes: np.ndarray, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ks, ids, held = [], [], 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                k = keys(shingles(t, n_words), classes, percent)
+            for t in b.column(1).to_pylist():
+                s = shingles(t, n_words)
+                k = keys(s, classes, percent)
                 if len(k):
                     ks.append(k)
-                    ids.append(i)
+                    ids.append(set_name(s)[0])
                     held += len(k)
                 if held > KEYS_HELD:
                     yield from packed(ks, ids)
@@ -362,7 +372,7 @@ def _emit_keys(n_words: int, percent: int, classes: np.ndarray, n_buckets: int):
 
 
 def _bucket_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) for each document and the least one with a key of the same value, in one partition of buckets."""
+    """(a, b) for each set and the least one with a key of the same value, in one partition of buckets."""
     ks, ds = [], []
     for b in batches:
         for bucket, k, d in zip(*[b.column(i).to_pylist() for i in range(3)]):
@@ -442,19 +452,16 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
     classes = rarity(light)
     sets = light.where("slice is null").select("id", "n", "h1", "h2")
     # equal sets are one: the least id stands for all
-    merged = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
+    merged = staged(sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "merged")
     member = staged(sets.join(merged, ["n", "h1", "h2"], "left")
                     .select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
-    rep_of = member.groupBy("id").agg(F.min("rep").alias("rep"))
 
     emitted = rows.mapInArrow(_emit_keys(n_words, percent, classes, _buckets(spark)), "bucket int, keys binary, ids binary")
     where = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("keys"), F.lit(_buckets(spark))).cast("int"))
     stars = emitted.repartitionById(_buckets(spark), where).mapInArrow(_bucket_stars, "a long, b long").distinct()
-    # from documents to the ones that stand for their set
-    r1, r2 = rep_of.toDF("a", "ra"), rep_of.toDF("b", "rb")
-    stars = staged(stars.join(r1, "a").join(r2, "b").where("ra <> rb")
-                   .select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "stars")
-    groups = staged(components(stars).toDF("id", "g"), "groups")
+    sets_of = components(stars).toDF("h1", "g")
+    # from sets to the ids that stand for them; an id comes with all its texts
+    groups = staged(sets_of.join(merged.select("h1", F.col("rep").alias("id")), "h1").select("id", "g").distinct(), "groups")
 
     size = groups.groupBy("g").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("nb"))
     placed = (groups.join(size, "g")
@@ -481,7 +488,7 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
     open_groups = staged(main.select("g", F.col("top.part").alias("top"), F.col("n_all"),
                                      F.ceil((F.col("n_all") - F.col("top.n")) / F.lit(block)).cast("int").alias("np")), "open")
     if not open_groups.isEmpty():
-        rest = (many.join(open_groups, "g").join(large.select("id", "part"), "id"))
+        rest = many.join(open_groups, "g").join(large.distinct(), ["id", "g"])
         probes = rest.where("part <> top").select(
             "g", F.pmod(F.xxhash64("id", F.lit(3)), "np").cast("int").alias("i"),
             F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), "id", F.lit(True).alias("probe"), "part", "text")
@@ -492,9 +499,13 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
         found = staged(components(edges).toDF("id", "part"), "parts")
 
     # an id whose rows have several sets ties their stand-ins together
-    ties = member.where("n > 0").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
-    if not ties.isEmpty():
-        found = staged(components(edges.unionByName(ties.select("a", "b"))).toDF("id", "part"), "parts")
+    several = staged(member.where("n > 0").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z"), "several")
+    if not several.isEmpty():
+        ties = member.where("n > 0").join(several, "id").select("a", F.col("rep").alias("b")).where("a <> b")
+        # a text's edges go by its id, which all its stand-ins are tied to as well
+        own = several.select(F.col("a"), F.col("id").alias("b")).where("a <> b")
+        edges = edges.unionByName(ties).unionByName(own)
+        found = staged(components(edges).toDF("id", "part"), "parts")
     out = member.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     name = F.coalesce("part", "rep")
     return out.select(F.nullif(F.col("id"), F.lit(LEAST)).alias(key), F.col("n").cast("long").alias("n_shingles"),

@@ -147,3 +147,18 @@ def test_one_large_group(docs_of, monkeypatch):
 def test_query_over_the_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()]
     assert got(QUERIES["op3_prefix_tree_join"](spark, SF_SMALL)) == brute(rows)
+
+
+def test_every_text_of_an_id_is_compared(docs_of):
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(500)]
+    s1, s2, s3 = ([rng.choice(vocabulary) for _ in range(200)] for _ in range(3))
+
+    def near(s):
+        return " ".join([*s[:-1], "other"])
+    s1, near1, s2, near2, s3, near3 = " ".join(s1), near(s1), " ".join(s2), near(s2), " ".join(s3), near(s3)
+    rows = [(5, s1), (5, s2), (3, s2), (9, near1)]
+    assert {r[0]: r[2] for r in got(near_duplicates(docs_of(rows)))} == {5: 3, 3: 3, 9: 3}
+    rows = [(7, s1), (7, s2), (7, s3), (2, s1), (4, s2), (6, s3), (20, near1), (21, near2), (22, near3), (30, "alone here now")]
+    assert got(near_duplicates(docs_of(rows))) == brute(rows)
+    assert {r[2] for r in got(near_duplicates(docs_of(rows)))} == {2, 30}
