@@ -15,7 +15,7 @@ driver is bounded.  All dot products are in double precision.
 
 Defined cases: a vector that is null, empty, zero or holds a null or non-finite
 component, or whose label is null, links with nothing; vectors of different
-lengths never link; repeated ids are kept as rows of their own.  Other columns
+lengths never link; rows that share an id are nodes of their own.  Other columns
 are ignored.
 """
 
@@ -142,11 +142,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
     rows = staged(rows.mapInArrow(_to_bytes("vec", ["id", "label", "vec"]), "id long, label string, dim int, v binary"),
                   "vectors")
     valid = rows.where("v is not null and label is not null and id is not null")
-    classes = staged(valid.groupBy("label", "dim", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")),
-                     "vector-classes").select("label", "dim", "rep", "copies", "v")
+    # a class goes by a number of its own: one id may have rows in several
+    classes = staged(valid.groupBy("label", "dim", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+                     .withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
+    named = classes.select("rep", "least")
+    classes = classes.select("label", "dim", "rep", "copies", "v")
     n = classes.count()
     share = min(1.0 / PER_PIVOT, PIVOTS / max(1, n))
-    chosen = classes.where(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    chosen = classes.where(F.pmod(F.xxhash64("v", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
     pivots: dict[tuple, list[bytes]] = {}
     for r in chosen.select("label", "dim", "rep", "v").collect():
         pivots.setdefault((r.label, r.dim), []).append(bytes(r.v))
@@ -169,9 +172,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
         _join(threshold), "rep long, links long, lead long"), "links")
     links = found.groupBy("rep").agg((F.sum("links") - 1).alias("links"))
     parts = components(found.select(F.col("rep").alias("a"), F.col("lead").alias("b")))
-    by_class = (classes.join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    # a component goes by the least id of its classes
+    parts = staged(parts.withColumnRenamed("node", "rep").join(named, "rep"), "parts")
+    least = parts.groupBy("component").agg(F.min("least").alias("name"))
+    parts = parts.join(least, "component").select("rep", "name")
+    by_class = (classes.join(named, "rep").join(links, "rep", "left").join(parts, "rep", "left")
                 .select("label", "dim", "v", F.coalesce("links", F.col("copies") - 1).alias("links"),
-                        F.coalesce("component", "rep").alias("component")))
+                        F.coalesce("name", "least").alias("component")))
     out = rows.join(by_class, ["label", "dim", "v"], "left")
     comp = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),

@@ -79,3 +79,13 @@ def test_components_of_paths_stars_and_cycles(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r.node: r.component for r in components(df).collect()} == want
     assert components(df.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_are_nodes_of_their_own(spark):
+    rows = [(5, [1.0, 0.0, 0.0], 1), (5, [0.0, 1.0, 0.0], 1)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    assert got(near_vectors(df)) == [(5, 0, 5, True), (5, 0, 5, True)]
+    rows = [(5, [1.0, 0.0, 0.0], 1), (5, [0.0, 1.0, 0.0], 1), (5, [1.0, 0.0, 0.0], 2), (3, [0.0, 1.0, 0.01], 1), (8, [1.0, 0.01, 0.0], 1),
+            (8, [1.0, 0.01, 0.0], 1), (9, [0.0, 0.0, 1.0], 1), (5, [0.0, 0.0, 1.0], 2)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    assert got(near_vectors(df)) == brute(rows)
