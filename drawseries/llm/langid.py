@@ -10,8 +10,8 @@ from; centroids from at most about ``SAMPLE`` rows of each language, chosen by a
 hash of the document's id.  Each language is fitted in a task of its own.
 
 Rejection: a text is rejected if it is null or has no letter (language ``und``,
-score 0), or if its cosine is under ``SLACK`` times the least cosine that any
-sampled text of that language has with its own centroid.
+score 0), or if its cosine is under ``SLACK`` times the cosine that all but ``ODD``
+of that language's sampled texts reach with their own centroid.
 
 Defined cases: repeated rows get equal results; ties go to the first language in
 alphabetical order; without any labelled row every text is ``und`` and rejected;
@@ -21,13 +21,13 @@ like an output column is replaced.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
@@ -38,9 +38,11 @@ DIMS = 4096
 CLUSTERS = 4
 SAMPLE = 400
 SLACK = 0.5
+#: Least share of a language's sample in a cluster; share of the sample that may lie under the cosine the floor is taken from.
+LEAST, ODD = 0.03, 0.01
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")                      # as Spark's own pattern in fit
 _SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -90,21 +92,34 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                                           pa.array(np.concatenate([[n], df]), pa.int64())], names=["dim", "n"])
 
 
-def k_means(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids, each row's cosine with its own): spherical k-means, seeded by farthest rows."""
-    seeds = [int(np.argmax(x @ x.mean(0)))]
-    near = x @ x[seeds[0]]
-    for _ in range(min(k, len(x)) - 1):
-        seeds.append(int(np.argmin(near)))
-        near = np.maximum(near, x @ x[seeds[-1]])
-    c = x[seeds]
-    for _ in range(rounds):
-        own = np.argmax(x @ c.T, axis=1)
+def k_means(x: np.ndarray, k: int, rounds: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centroids, each row's cosine with its own, rows of each): spherical k-means.
+
+    Seeds are rows at even steps of the cosine with the mean.  A cluster that holds under
+    ``LEAST`` of the rows is seeded anew inside the largest one, and left out if it is
+    still so small in the end: odd texts are no language's centroid.
+    """
+    order = np.argsort(x @ x.mean(0), kind="stable")
+    k = max(1, min(k, len(x)))
+    c = x[order[((2 * np.arange(k) + 1) * len(x)) // (2 * k)]].copy()
+    small = LEAST * len(x)
+    for turn in range(rounds):
+        cos = x @ c.T
+        own = np.argmax(cos, axis=1)
+        size = np.bincount(own, minlength=len(c))
         for j in range(len(c)):
-            if (own == j).any():
+            if size[j] and size[j] >= small:
                 m = x[own == j].sum(0)
                 c[j] = m / max(np.linalg.norm(m), 1e-12)
-    return c, (x @ c.T).max(1)
+            elif turn < rounds // 2:                     # a row of the largest cluster that lies rather far out
+                rows = np.nonzero(own == np.argmax(size))[0]
+                rows = rows[np.argsort(cos[rows, np.argmax(size)], kind="stable")]
+                c[j] = x[rows[len(rows) // 4]]
+    for _ in range(2):
+        size = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+        c = c[(size >= small) & (size > 0)]
+    cos = x @ c.T
+    return c, cos.max(1), np.bincount(np.argmax(cos, axis=1), minlength=len(c))
 
 
 def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text", key: str = "doc_id",
@@ -125,9 +140,9 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text",
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
         x = vectors(group["text"].tolist(), idf)
-        c, cos = k_means(x, clusters)
+        c, cos, _ = k_means(x, clusters)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "c": [v.astype(np.float32).tobytes() for v in c],
-                             "least": float(cos.min())})
+                             "least": float(np.quantile(cos, ODD))})
 
     fitted = sorted((r.lang, bytes(r.c), r.least) for r in
                     share.groupBy("lang").applyInPandas(centroids, "lang string, c binary, least double").collect())

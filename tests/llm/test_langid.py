@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from drawseries.llm.common import remainder
-from drawseries.llm.langid import Model, counts, fit, identify, k_means, vectors
+from drawseries.llm.langid import Model, counts, fit, has_letter, identify, k_means, vectors
 from drawseries.llm.queries import QUERIES
 
 from ..conftest import SF_MID
@@ -14,7 +14,7 @@ def test_k_means_separates_groups():
     centres = np.eye(4)
     x = np.concatenate([c + 0.05 * rng.standard_normal((50, 4)) for c in centres])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    c, cos = k_means(x, 4)
+    c, cos, _ = k_means(x, 4)
     assert len({int(np.argmax(v)) for v in c}) == 4 and cos.min() > 0.9
 
 
@@ -57,3 +57,28 @@ def test_query_held_out_accuracy(spark):
     r = both.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("acc"), F.count("*").alias("n")).first()
     assert got.count() == 1000 and r.n > 150 and r.acc > 0.95
     assert got.where("rejected and lang_pred <> 'und'").count() <= 3
+
+
+def test_odd_texts_are_no_centroids():
+    rng = np.random.default_rng(2)
+    centres = np.eye(8)[:3]
+    x = np.concatenate([c + 0.05 * rng.standard_normal((130, 8)) for c in centres] + [np.eye(8)[5:8] + 0.01])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in (3, 4, 6):
+        c, cos, size = k_means(x, k)
+        assert len(c) >= 3 and size.min() >= 0.03 * len(x) and size.sum() == len(x)
+        assert {int(np.argmax(v)) for v in c} == {0, 1, 2}
+    assert k_means(x[:1], 4)[2].tolist() == [1]
+
+
+def test_one_meaning_of_letter():
+    for t, want in (("½", False), ("²", False), ("①", False), ("Ⅷ", False), ("_1", False), ("é", True), ("試", True), ("ª", True), (None, False)):
+        assert has_letter(t) is want
+
+
+def test_clusters_hold_a_real_share_of_the_table(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").where(remainder(F.col("doc_id")) != 0)
+    for lang in ("en", "de"):
+        texts = [r.text for r in docs.where(F.col("lang") == lang).select("text").limit(200).collect()]
+        c, _, size = k_means(vectors(texts, np.ones(4096, np.float32)), 4)
+        assert len(c) >= 2 and size.min() >= 0.03 * len(texts)
