@@ -84,7 +84,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the checksum of what they decode to."""
     import public_tokenizers
     path = tokenizer_path("byte_bpe_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN), path)
+    coded = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"),
                         F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
