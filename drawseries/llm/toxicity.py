@@ -39,9 +39,11 @@ from .common import short_batches, staged
 
 SAMPLE = 3000
 CLEAN = 4
-FEATURES = 2000
+FEATURES = 300
 LEAST_DOCS = 5
 LONG = 1000
+#: Weight of a toxic text against a clean one without bags; the bags weigh far more than that.
+POSITIVE = 20.0
 THRESHOLD = 0.5
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -154,7 +156,7 @@ def train(y: np.ndarray, plain: np.ndarray, found: list[list[list[int]]], n: int
     w = np.zeros(n + 1)
     w[n] = -math.log(max(long, 55))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
-    weight = np.where(y == 1, 2.0, 1.0 + bags) / max(1, len(y))
+    weight = np.where(y == 1, POSITIVE, 1.0 + bags) / max(1, len(y))
     bare = long * float((y == 0).sum()) / max(1, len(y))       # sentences of the bags without features, a document
     for t in range(1, rounds + 1):
         z = w[n] + np.bincount(sent, w[feat], minlength=len(doc))
