@@ -224,8 +224,8 @@ def decode_tokens(blocks: DataFrame, as_u32: bool = False) -> DataFrame:
         run, f"doc_id long, start long, n_tokens long, ids {'binary' if as_u32 else 'array<long>'}")
 
 
-#: Parts of texts that a worker remembers with their ids before it starts anew.
-REMEMBERED = 400_000
+#: Parts of texts that a worker remembers with their ids; with more it goes on with those of the last batch.
+REMEMBERED = 600_000
 
 
 def library_encoder(tokenizer_path: str, remembered: int = REMEMBERED) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
@@ -316,10 +316,14 @@ class Parts(dict):
                 out.append(np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4"))
             else:
                 out.append(np.frombuffer(b"".join([self[w] for w in t.encode("utf-8", "surrogatepass").split()]), "<u4"))
-            if len(self) > self.remembered:
-                self.clear()
-                self.words.clear()
-                self.pieces.clear()
+        if len(self) > self.remembered:
+            used = set().union(*[t.encode("utf-8", "surrogatepass").split() for t in texts])
+            kept = {w: self[w] for w in used if w in self}
+            self.clear()
+            self.words.clear()
+            self.pieces.clear()
+            if len(kept) <= self.remembered // 2:
+                self.update(kept)
         return out
 
     def has_added(self, text: str) -> bool:
