@@ -191,6 +191,7 @@ _FETCH = f"CASE WHEN lottery IN ({_SECOND}) THEN lottery || ' LUNA' ELSE lottery
 _PAGES_SQL = td.with_ctes(["draws"], f"SELECT {_FETCH} AS lottery, fecha, result, series FROM draws")
 
 
+@register("extract_result_rows_all", DRAW_SPEC, _PAGES_SQL, note="earlier name of extract_result_rows")
 @register("extract_result_rows", DRAW_SPEC, _PAGES_SQL,
           note="pages of all five lotteries rendered from F1 (two tables, header and short rows, one single-table page)")
 def q_extract_result_rows(spark, sf_dir):
@@ -207,6 +208,7 @@ def _stored_before(spark, sf_dir):
         .select("fecha", _fetched("lottery").alias("lottery"), "result", "series")
 
 
+@register("update_from_pages_all", DRAW_SPEC, _PAGES_SQL, note="earlier name of update_from_pages")
 @register("update_from_pages", DRAW_SPEC, _PAGES_SQL,
           note="stored table holds draws before 1998; stored pages of all five lotteries bring the rest")
 def q_update_from_pages(spark, sf_dir):
