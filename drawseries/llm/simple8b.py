@@ -29,6 +29,7 @@ import json
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -226,6 +227,11 @@ def decode_tokens(blocks: DataFrame, as_u32: bool = False) -> DataFrame:
 
 #: Parts of texts that a worker remembers with their ids; with more it goes on with those of the last batch.
 REMEMBERED = 600_000
+#: Fixed value: the pattern that words and runs of marks are cut by.
+WORDS_OR_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A run of marks behind letters is a piece of its own.
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+ID = attrgetter("id")
 
 
 def library_encoder(tokenizer_path: str, remembered: int = REMEMBERED) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
@@ -256,66 +262,63 @@ class Parts(dict):
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.added_normalized = [t["content"] for t in spec["added_tokens"] if t["normalized"]]
         self.remembered = remembered
-        #: lower-case letters or a mark -> ids; pieces as the library cuts them -> ids
+        #: lower-case letters or a run of marks -> ids; pieces as the library cuts them -> ids
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         # letter runs, and marks behind them, are their own pieces; the normalizer changes but their case
         self.plain = ([x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed"
-                      and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+                      and steps[0]["pattern"] == {"Regex": WORDS_OR_MARKS} and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
                       and {k["type"] for k in (spec["normalizer"] or {}).get("normalizers", [])} == {"NFC", "Replace", "Lowercase"})
         self.tokenize, self.letters = self.whole.model.tokenize, _byte_letters()
         if self.plain:
             self.normalize, self.cut = self.whole.normalizer.normalize_str, self.whole.pre_tokenizer.pre_tokenize_str
 
     def __missing__(self, part: bytes) -> bytes:
-        low = part.lower()
-        if self.plain and low.isalpha():                 # ASCII letters
-            ids = self[part] = self.words.get(low) or self._ascii(low)
-            return ids
-        s = part.decode("utf-8", "surrogatepass")
-        ids = None
-        # below this no letter has a mark that normalizing could join to it, and all have the one lower case
-        if self.plain and (s.isascii() or max(s) < "\u0250"):
-            low = s.lower()
-            if low.isalpha():
-                ids = self._word(low)
-            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-                ids = self._word(low[:-1]) + self._word(low[-1])
-        if ids is None:
-            if self.plain:
-                pieces = self.pieces
-                ids = b"".join([pieces.get(p) or self._piece(p) for p, _ in self.cut(self.normalize(s))])
+        if not self.plain:
+            ids = array("I", self.whole.encode(part.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids).tobytes()
+        else:
+            stem = part.lower().rstrip(MARKS)
+            if not stem.isalpha():                       # not ASCII letters with nothing but marks behind them
+                ids = self._other(part)
             else:
-                ids = array("I", self.whole.encode(s, add_special_tokens=False).ids).tobytes()
+                words, mark = self.words, part[len(stem):]
+                ids = words.get(stem) or self._word(stem)
+                if mark:
+                    ids += words.get(mark) or self._word(mark)
         self[part] = ids
         return ids
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces[piece] = array("I", [t.id for t in self.tokenize(piece)]).tobytes()
-        return ids
+    def _other(self, part: bytes) -> bytes:
+        s = part.decode("utf-8", "surrogatepass")
+        # below this no letter has a mark that normalizing could join to it, and all have the one lower case
+        if max(s) < "\u0250":
+            low = s.lower().encode()
+            stem = low.rstrip(MARKS)
+            if stem.decode().isalpha():
+                words, mark = self.words, low[len(stem):]
+                ids = words.get(stem) or self._word(stem)
+                return ids + (words.get(mark) or self._word(mark)) if mark else ids
+        pieces = self.pieces
+        return b"".join([pieces.get(p) or self._piece(p) for p, _ in self.cut(self.normalize(s))])
 
-    def _ascii(self, low: bytes) -> bytes:
-        ids = self.words[low] = array("I", [t.id for t in self.tokenize(low.decode())]).tobytes()
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces[piece] = array("I", map(ID, self.tokenize(piece))).tobytes()
         return ids
 
-    def _word(self, low: str) -> bytes:
-        """Ids of lower-case letters or of one mark, which the byte-level letters may spell anew."""
-        raw = low.encode()
-        ids = self.words.get(raw)
-        if ids is None:
-            letters = self.letters
-            shown = low if len(raw) == len(low) else "".join([letters[b] for b in raw])
-            ids = self.words[raw] = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+    def _word(self, low: bytes) -> bytes:
+        """Ids of lower-case letters or of a run of marks, whose bytes the byte-level letters may spell anew."""
+        shown = low.decode() if low.isascii() else low.decode("latin-1").translate(self.letters)
+        ids = self.words[low] = array("I", map(ID, self.tokenize(shown))).tobytes()
         return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
+        out, known = [], self.__getitem__
         for t in texts:
             if self.has_added(t):
                 out.append(np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4"))
             else:
-                out.append(np.frombuffer(b"".join([self[w] for w in t.encode("utf-8", "surrogatepass").split()]), "<u4"))
+                out.append(np.frombuffer(b"".join(map(known, t.encode("utf-8", "surrogatepass").split())), "<u4"))
         if len(self) > self.remembered:
             used = set().union(*[t.encode("utf-8", "surrogatepass").split() for t in texts])
             kept = {w: self[w] for w in used if w in self}
@@ -333,11 +336,11 @@ class Parts(dict):
         return bool(self.added_normalized) and any(a in self.whole.normalizer.normalize_str(text) for a in self.added_normalized)
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> str:
     """The printable character that byte-level tokenizers write for each byte: itself, or the next from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     hidden = [b for b in range(256) if b not in shown]
-    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+    return "".join([chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)])
 
 
 _CODERS: dict[str, Parts] = {}

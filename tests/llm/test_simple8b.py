@@ -90,6 +90,12 @@ def test_shortcuts_equal_the_library_for_every_character(tok):
                 assert encode([t])[0].tolist() == tok.encode(t, add_special_tokens=False).ids, hex(i)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aBéÑßſİΣς'\"$%.,;!?0½-_|<>~\u0301 \n\x1c日", max_size=14))
+def test_marks_before_and_behind_words(tok, text):
+    assert simple8b.library_encoder(PATH)()([text])[0].tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_added_tokens_are_the_librarys(tok):
     encode = simple8b.library_encoder(PATH)()
     texts = ["end <|endoftext|> here", "<|startoftext|>", "a<|endoftext|><|endoftext|>b", "< |endoftext|>", "<|ENDOFTEXT|> x",
