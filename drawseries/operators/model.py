@@ -127,20 +127,20 @@ def warm_start_fit(train: DataFrame, cand: Candidate, lotteries: list[str], extr
 def fit_per_lottery(train: DataFrame, cand: Candidate, lotteries: list[str], parallelism: int = 8) -> dict:
     """H2 per series: every lottery is trained on its own draws.
 
-    Each fit is a distributed MLlib job; fits of different (series, target)
-    pairs are submitted concurrently from a small thread pool so short series
-    do not leave the cluster idle between jobs.
+    The training columns are written once in folders by lottery, so that a fit reads its own
+    series only.  Each fit is a distributed MLlib job; fits of different (series, target)
+    pairs are submitted concurrently from a small thread pool so short series do not leave
+    the cluster idle between jobs.
     """
     from concurrent.futures import ThreadPoolExecutor
     jobs = [(lot, t) for lot in lotteries for t in TARGETS]
-    if cand.algorithm == "rf":
-        train = weighted(train)
-    else:
-        # many binary fits read the same few columns: written once in folders by lottery
-        path = f"{ensure_checkpoint_dir(train.sparkSession)}/boosted-{uuid.uuid4().hex}"
-        narrow = train.select("features", *TARGETS, "lottery")
-        narrow.hint("rebalance", "lottery").write.partitionBy("lottery").parquet(path)
-        train = train.sparkSession.read.schema(narrow.schema).parquet(path)
+    weights = [f"w_{t}" for t in TARGETS] if cand.algorithm == "rf" else []
+    if weights and weights[0] not in train.columns:
+        train = with_balanced_weights(train, TARGETS, key="lottery")
+    path = f"{ensure_checkpoint_dir(train.sparkSession)}/training-{uuid.uuid4().hex}"
+    narrow = train.select("features", *TARGETS, *weights, "lottery")
+    narrow.hint("rebalance", "lottery").write.partitionBy("lottery").parquet(path)
+    train = train.sparkSession.read.schema(narrow.schema).parquet(path)
 
     def fit(job):
         lot, t = job

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import forest as FO
 from ..operators import model as M
 from ..operators import registry as RG
 from ..operators import training as TR
@@ -308,6 +309,34 @@ def q_predict_from_registry(spark, sf_dir):
         "lottery", "status", F.coalesce("n_numbers", F.lit(0)).alias("n_numbers"), F.coalesce("n_signs", F.lit(0)).alias("n_signs"))
 
 
+@register("score_registered", "lottery str, n int, n_targets int, sums_ok bool, learnt bool", _ml_sql(
+    "SELECT s.lottery, s.n, 5 AS n_targets, true AS sums_ok, true AS learnt FROM split s JOIN lots USING (lottery)", _SPLIT),
+          note="stored forests of all series and targets score the held-out rows in one join")
+def q_score_registered(spark, sf_dir):
+    """T6 → H3 over the table of stored forests: on the draws with a rule every target of every lottery is found."""
+    ruled, _labels = _ruled_frame(spark, sf_dir)
+    split = checkpoint(M.random_split(ruled, 0.2, 42))
+    cand = M.Candidate(n_estimators=10, max_depth=8)
+    models = M.fit_per_lottery(split.filter(~F.col("is_test")), cand, M.eligible_lotteries(ruled, 50))
+    rows, saved = [], {}
+    for lot in models:
+        for target in ("result", "series"):
+            mid = uuid.uuid4().hex
+            rows.append({"model_id": mid, "lottery": lot, "target": target, "params": cand.__dict__})
+            saved[lot, target, mid] = {t: m for t, m in models[lot].items() if (t == "y_series") == (target == "series")}
+    root = f"{ensure_checkpoint_dir(spark)}/registry_{uuid.uuid4().hex}"
+    RG.register_if_better(spark, root, RG.entries(spark, rows), saved)
+    best = FO.forests_of(TR.best_model(RG.read_registry(spark, root)), FO.forest_table(spark, root))
+    scores = FO.forest_scores(split.filter(F.col("is_test")), best)
+    y = F.coalesce(*[F.when(F.col("label") == t, F.col(t)) for t in M.TARGETS])
+    off = F.abs(F.aggregate("prob", F.lit(0.0), lambda a, x: a + x) - 1)
+    by_target = scores.groupBy("lottery", "label").agg(
+        F.count("*").alias("n"), F.max(off).alias("off"), F.avg((F.col("pred") == y).cast("double")).alias("acc"))
+    return by_target.groupBy("lottery").agg(
+        F.max("n").alias("n"), F.count("*").alias("n_targets"), (F.max("off") < 1e-9).alias("sums_ok"),
+        (F.min("acc") >= LEARNT).alias("learnt"))
+
+
 @register("model_alerts", "lottery str, target str, level str, metric_name str", _ml_sql(
     "SELECT lottery, target, 'CRITICAL' AS level, 'f1_' || target AS metric_name FROM lots, targets", _TARGET))
 def q_model_alerts(spark, sf_dir):

@@ -163,3 +163,79 @@ def test_simulated_stop():
     assert simulated_stop([(0.5, 0.1), (0.5, 0.1), (0.4, 0.1)], 2) == 3
     assert simulated_stop([(0.5, 0.1), (0.5, 0.2), (0.4, 0.1)], 2) is None
     assert simulated_stop([], 2) is None
+
+
+@pytest.fixture(scope="module")
+def stored(spark, learnable, tmp_path_factory):
+    """Two series' forests in a registry."""
+    from drawseries.operators import registry as RG
+    _as_of, frame, _labels = learnable
+    both = frame.unionByName(frame.withColumn("lottery", F.lit("Z/2 ñ")).where("seq % 3 > 0"))
+    models = {lot: M.fit_per_lottery(both, M.Candidate(n_estimators=4, max_depth=d, seed=5), [lot])[lot]
+              for lot, d in (("S", 6), ("Z/2 ñ", 0))}
+    root = str(tmp_path_factory.mktemp("registry"))
+    rows = [dict(lottery=lot, target=t, accuracy=0.5, model_id=f"{t}{i}") for i, lot in enumerate(models) for t in ("result", "series")]
+    parts = {(r["lottery"], r["target"], r["model_id"]): {k: m for k, m in models[r["lottery"]].items()
+                                                          if (k == "y_series") == (r["target"] == "series")} for r in rows}
+    RG.register_if_better(spark, root, RG.entries(spark, rows), parts)
+    return both, models, root
+
+
+def test_forest_table_scores_as_mllib(spark, stored):
+    from drawseries.operators import forest as FO
+    from drawseries.operators import registry as RG
+    both, models, root = stored
+    forests = FO.forests_of(RG.read_registry(spark, root), FO.forest_table(spark, root))
+    assert forests.count() == 10
+    got = FO.wide_scores(FO.forest_scores(both.select("lottery", "seq", "features"), forests), ["lottery", "seq"])
+    want = M.score(both, models)
+    cols = ["lottery", "seq", *[f"{c}_{t[2:]}" for t in M.TARGETS for c in ("pred", "prob")]]
+    a = {(r[0], r[1]): r[2:] for r in got.select(*cols).collect()}
+    b = {(r[0], r[1]): r[2:] for r in want.select(*cols).collect()}
+    assert a.keys() == b.keys() and len(a) == both.count()
+    assert all(a[k] == b[k] for k in a)
+
+
+def test_forest_table_plan_does_not_grow_with_series(spark, stored):
+    from drawseries.operators import forest as FO
+    from drawseries.operators import registry as RG
+    from drawseries.session import checkpoint
+    both, _models, root = stored
+    both = checkpoint(both)
+    one = RG.read_registry(spark, root).where("lottery = 'S'")
+    table = FO.forest_table(spark, root)
+    sizes = []
+    for n in (1, 500):
+        names = spark.range(n).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("name"))
+        many = one.drop("lottery").crossJoin(names).withColumnRenamed("name", "lottery")
+        rows = both.where("lottery = 'S' and seq <= 100").drop("lottery").crossJoin(names.withColumnRenamed("name", "lottery")).where(
+            "seq % 50 = 0")
+        scored = FO.forest_scores(rows, FO.forests_of(many, table))
+        plan = scored._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" not in plan
+        sizes.append(len(plan.splitlines()))
+        assert scored.count() == rows.count() * 5
+    assert sizes[0] == sizes[1]
+
+
+def test_fits_read_their_series_folder_only(spark, learnable, monkeypatch):
+    _as_of, frame, _labels = learnable
+    both = frame.unionByName(frame.withColumn("lottery", F.lit("Z/2 ñ")))
+    plans = []
+    monkeypatch.setattr(M, "fit_targets", lambda df, cand, targets: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or {t: df.count() for t in targets})
+    got = M.fit_per_lottery(both, M.Candidate(), ["S", "Z/2 ñ"])
+    assert got["S"] == got["Z/2 ñ"] == {t: frame.count() for t in M.TARGETS}
+    assert len(plans) == 10 and all("PartitionFilters: [isnotnull(lottery" in p and "Scan ExistingRDD" not in p for p in plans)
+
+
+def test_forest_table_guards_features_and_missing_models(spark, stored):
+    from drawseries.operators import forest as FO
+    from drawseries.operators import registry as RG
+    both, _models, root = stored
+    forests = FO.forests_of(RG.read_registry(spark, root), FO.forest_table(spark, root))
+    alone = both.where("seq = 10").withColumn("lottery", F.lit("nobody"))
+    assert FO.forest_scores(alone, forests).count() == 0
+    assert FO.forest_scores(both.limit(0), forests).count() == 0
+    with pytest.raises(Exception, match="expects 41 features"):
+        FO.forest_scores(both.where("seq = 10"), forests, n_features=3).collect()
