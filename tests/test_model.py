@@ -239,3 +239,41 @@ def test_forest_table_guards_features_and_missing_models(spark, stored):
     assert FO.forest_scores(both.limit(0), forests).count() == 0
     with pytest.raises(Exception, match="expects 41 features"):
         FO.forest_scores(both.where("seq = 10"), forests, n_features=3).collect()
+
+
+def test_stored_frame_has_the_rows_of_the_plain_frame_in_folders(spark):
+    from drawseries.sources import testdata as td
+    d = td.draws(spark, "/root/testdata/sf0.001")
+    train, latest, labels = M.stored_frame(d, 0.2, 42, block_rows=512)
+    plain, plain_labels = M.training_frame(features(d, mode="as_of", block_rows=512))
+    cols = ["lottery", "seq", "fecha", "target", "features", *M.TARGETS, "is_test"]
+    plain = M.random_split(plain, 0.2, 42)
+    assert labels == plain_labels
+    assert sorted(map(str, train.select(cols).collect())) == sorted(map(str, plain.select(cols).collect()))
+    last = {r.lottery: r.n for r in d.groupBy("lottery").agg(F.max("seq").alias("n")).collect()}
+    assert {r.lottery: r.seq for r in latest.collect()} == last
+    assert M.split_frame(train, 0.2, 42) is train
+    plan = train.filter((F.col("lottery") == "2-HIGH") & ~F.col("is_test"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "is_test" in plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+
+
+def test_a_search_scores_its_holdout_once(spark, learnable):
+    _as_of, frame, _labels = learnable
+    got = M.search(frame, [M.Candidate(n_estimators=2, max_depth=2), M.Candidate(n_estimators=3, max_depth=2)], lotteries=["S"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "features" not in plan and sorted(r.candidate for r in got.collect()) == [0, 1]
+
+
+def test_a_series_rows_are_kept_for_its_fits_and_let_go(spark, learnable, monkeypatch):
+    _as_of, frame, _labels = learnable
+    seen = []
+    monkeypatch.setattr(M, "fit_targets", lambda df, cand, targets: seen.append(df) or {t: df.storageLevel.useMemory for t in targets})
+    assert set(M.fit_per_lottery(frame, M.Candidate(), ["S"])["S"].values()) == {True}
+    assert len({id(df) for df in seen}) == 1 and not seen[0].storageLevel.useMemory
+
+
+def test_generated_methods_stay_small_enough_to_be_compiled(spark):
+    from drawseries.plans.registry import HUGE_METHOD, spark_query
+    spark.conf.unset(HUGE_METHOD)
+    spark_query("last_date")(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(HUGE_METHOD)) <= 8000
