@@ -277,3 +277,12 @@ def test_generated_methods_stay_small_enough_to_be_compiled(spark):
     spark.conf.unset(HUGE_METHOD)
     spark_query("last_date")(spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get(HUGE_METHOD)) <= 8000
+
+
+def test_a_block_of_the_features_stays_in_a_windows_memory(spark):
+    from drawseries.operators.features import MAX_LOOKBACK
+    from drawseries.plans.registry import WINDOW_ROWS, spark_query
+    spark.conf.unset(WINDOW_ROWS)
+    spark_query("last_date")(spark, "/root/testdata/sf0.001")
+    # a block, its halo on both sides, and a carried row for each of the 10,000 numbers
+    assert int(spark.conf.get(WINDOW_ROWS)) >= M.MODEL_BLOCK_ROWS + MAX_LOOKBACK + 1 + 10_000
