@@ -3,7 +3,8 @@
 Every model folder of a registry is read at once; a model becomes one row that holds its
 trees as arrays, indexed by node.  Rows to score meet their series' models in a join on the
 series key, and each tree is walked inside the row, so neither the plan nor the number of
-jobs grows with the series.  A hot series is split by the adaptive skew join.
+jobs grows with the series.  A series' rows are dealt into pieces of about ``PIECE`` rows, each of
+which meets a copy of the models, so a long series is scored by many tasks.
 
 Probabilities and predictions equal those of ``RandomForestClassificationModel``.  Defined
 cases: a series without a registered model of a target has no row for it; a model of other
@@ -16,6 +17,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import AtomicType
+
+from ..session import shuffle_partitions, store
 from .features import FEATURE_COLUMNS
 from .model import TARGETS
 
@@ -24,6 +28,8 @@ NODES = ("treeID int, nodeData struct<id:int, prediction:double, impurity:double
          "gain:double, leftChild:int, rightChild:int, "
          "split:struct<featureIndex:int, leftCategoriesOrThreshold:array<double>, numCategories:int>>")
 FOREST = "RandomForestClassificationModel"
+#: Rows that share a copy of their series' models.
+PIECE = 4096
 
 
 def _of_path(level: str) -> list:
@@ -76,8 +82,16 @@ def forest_scores(df: DataFrame, forests: DataFrame, n_features: int = len(FEATU
     """Every row of ``df`` once for each model of its series, with ``label``, ``prob`` and ``pred``."""
     guarded = F.when(F.col("n_features") == n_features, F.col("trees")).otherwise(
         F.raise_error(F.format_string("model %s of %s expects %d features", "model_id", "label", "n_features")))
-    models = forests.select(F.col(key).alias("_series"), "label", F.col("depth").alias("_depth"), guarded.alias("_trees"))
-    met = df.withColumn("_x", vector_to_array(features)).join(models, F.col(key) == F.col("_series"))
+    # a row a series, written so that the planner knows the (small) size
+    sizes = store(df.groupBy(F.col(key).alias("_series")).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("_of")), "pieces")
+    n_parts = shuffle_partitions(df.sparkSession)
+    models = forests.select(F.col(key).alias("_series"), "label", F.col("depth").alias("_depth"), guarded.alias("_trees")) \
+        .join(sizes, "_series").select("_series", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_piece"),
+                                       "label", "_depth", "_trees").repartition(n_parts, "_series", "_piece")
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
+    rows = df.withColumn("_x", vector_to_array(features)).join(sizes, F.col(key) == F.col("_series")) \
+        .withColumn("_piece", F.pmod(F.xxhash64("_x", *plain), F.col("_of")).cast("int")).drop("_of")
+    met = rows.repartition(n_parts, "_series", "_piece").join(models, ["_series", "_piece"])
 
     def leaf(tree):
         return F.aggregate(F.sequence(F.lit(0), F.col("_depth")), F.lit(0), lambda at, _: F.when(
@@ -91,7 +105,8 @@ def forest_scores(df: DataFrame, forests: DataFrame, n_features: int = len(FEATU
     all_votes = F.aggregate("_votes", F.lit(0.0), lambda a, x: a + x)
     met = met.withColumn("prob", F.transform("_votes", lambda x: F.when(all_votes == 0, x).otherwise(x / all_votes)))
     pred = (F.array_position("prob", F.array_max("prob")) - 1).cast("double")
-    return met.withColumn("pred", pred).drop("_x", "_series", "_depth", "_trees", "_shares", "_votes")
+    return met.withColumn("pred", pred).drop(
+        "_x", "_series", "_piece", "_depth", "_trees", "_shares", "_votes")
 
 
 def wide_scores(scores: DataFrame, by: list[str]) -> DataFrame:

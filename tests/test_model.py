@@ -286,3 +286,14 @@ def test_a_block_of_the_features_stays_in_a_windows_memory(spark):
     spark_query("last_date")(spark, "/root/testdata/sf0.001")
     # a block, its halo on both sides, and a carried row for each of the 10,000 numbers
     assert int(spark.conf.get(WINDOW_ROWS)) >= M.MODEL_BLOCK_ROWS + MAX_LOOKBACK + 1 + 10_000
+
+
+def test_a_long_series_is_scored_by_many_tasks(spark, stored, monkeypatch):
+    from drawseries.operators import forest as FO
+    from drawseries.operators import registry as RG
+    monkeypatch.setattr(FO, "PIECE", 20, raising=False)
+    both, models, root = stored
+    rows = both.where("lottery = 'S'")
+    scored = FO.forest_scores(rows, FO.forests_of(RG.read_registry(spark, root), FO.forest_table(spark, root)))
+    tasks = scored.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 5 * rows.count()
