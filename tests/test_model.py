@@ -297,3 +297,30 @@ def test_a_long_series_is_scored_by_many_tasks(spark, stored, monkeypatch):
     scored = FO.forest_scores(rows, FO.forests_of(RG.read_registry(spark, root), FO.forest_table(spark, root)))
     tasks = scored.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 5 * rows.count()
+
+
+def test_weights_of_all_refreshes_are_those_of_their_rows(spark):
+    from drawseries.operators import backtest as BT
+    from drawseries.operators.stats import weight_of, with_balanced_weights
+    from drawseries.sources import testdata as td
+    path, _labels = BT.walk_forward_store(td.draws(spark, "/root/testdata/sf0.001"), window=20, retrain=8)
+    frame = BT.read_walk_forward(spark, path)
+    got = BT.refresh_weights(frame, 3)
+    assert sorted(got) == sorted((r.lottery, j) for r in frame.select("lottery").distinct().collect() for j in (1, 2, 3))
+    for lot, j in list(got)[:4]:
+        train = with_balanced_weights(BT.training_rows(frame, lot, j), M.TARGETS, key="lottery")
+        pairs = F.create_map(*[F.lit(x) for pair in got[lot, j].items() for x in pair])
+        off = [F.max(F.abs(F.col(f"w_{t}") - weight_of(pairs, t))) for t in M.TARGETS]
+        assert set(train.agg(*off).first()) == {0.0}
+
+
+def test_a_backtests_refreshes_share_the_rows_of_a_series(spark, monkeypatch):
+    from drawseries.operators import backtest as BT
+    from drawseries.sources import testdata as td
+    kept = []
+    d = td.draws(spark, "/root/testdata/sf0.001").where("lottery in ('1-URGENT', '2-HIGH')")
+    real = type(d).persist
+    monkeypatch.setattr(type(d), "persist", lambda df, *a: kept.append(df) or real(df, *a))
+    got = BT.backtest_model(d, M.Candidate(n_estimators=2, max_depth=2), window=20, retrain=8)
+    assert got.count() == 40 and len(kept) == 2          # two series of three refreshes
+    assert not any(df.storageLevel.useMemory for df in kept)
