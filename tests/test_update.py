@@ -88,3 +88,13 @@ def test_bulk_load_looks_each_row_up_once(spark):
     assert merged.count() == 2
     plan = report._jdf.queryExecution().optimizedPlan().toString()
     assert "codigo" not in plan and "nombre" not in plan
+
+
+def test_update_makes_the_draws_once(spark, monkeypatch):
+    from drawseries.plans import q_catalog
+    from drawseries.sources import testdata as td
+    made = []
+    real = td.draws
+    monkeypatch.setattr(td, "draws", lambda *a: made.append(a) or real(*a))
+    _report, _rejected, table = q_catalog._update(spark, "/root/testdata/sf0.001")
+    assert table.read().count() > 0 and len(made) == 1
