@@ -26,9 +26,12 @@ are ignored.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
+from functools import partial
 from operator import attrgetter
 
 import numpy as np
@@ -37,13 +40,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import short_batches
+from .common import Memo, short_batches
 from .ordered import block_bounds, deal, sorted_blocks
 
 #: (ids in a word, bits of each), by selector 1 to 14.
 WIDTHS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20),
           (2, 30), (1, 60)]
 ESCAPE = 0
+#: Ids in a word by selector; the first id that each of the selectors 1 to 14 does not hold.
+COUNTS = np.array([1] + [c for c, _ in WIDTHS], dtype=np.uint8)
+BOUNDS = np.array([1 << b for _, b in WIDTHS], dtype=np.uint64)
 FRAME = 1024
 #: Narrower widths than one that starts at fewer places than this share are not tried.
 RARE = 0.02
@@ -59,45 +65,64 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
-    # for each place of a frame the selector that packs most ids from there on
+    # an id's class: the first selector that holds it, 15 for none; behind a frame's end is nothing to hold
     rows = -(-n // FRAME)
-    grid = np.zeros((rows, FRAME), dtype=np.uint64)
-    grid.reshape(-1)[:n] = ids
+    grid = np.zeros((rows, FRAME + WIDTHS[0][0]), dtype=np.uint64)
+    grid[:n // FRAME, :FRAME] = ids[:n // FRAME * FRAME].reshape(-1, FRAME)
+    grid[n // FRAME:, :n % FRAME] = ids[n // FRAME * FRAME:]
+    top = ids.max()
+    small = grid.astype(np.min_scalar_type(top))
+    least = np.zeros(grid.shape, dtype=np.int8)
+    for bound in BOUNDS[BOUNDS <= top]:
+        least += small >= bound.astype(small.dtype)
+    # for each place of a frame the selector that packs most ids from there on
     choice = np.full((rows, FRAME), ESCAPE, dtype=np.int8)
-    taken = np.ones((rows, FRAME), dtype=np.int64)
-    left = np.minimum(FRAME - np.arange(FRAME), n - np.arange(rows)[:, None] * FRAME - np.arange(FRAME))
-    wide = np.zeros((rows, FRAME + 1), dtype=np.int16)
+    most, seen = least[:, :FRAME].copy(), 1
     for s in range(len(WIDTHS), 0, -1):
-        count, bits = WIDTHS[s - 1]
-        np.cumsum((grid >> np.uint64(bits)) != 0, axis=1, out=wide[:, 1:])
-        ok = wide[:, np.minimum(np.arange(FRAME) + count, FRAME)] == wide[:, :-1]
+        for seen in range(seen, WIDTHS[s - 1][0]):
+            np.maximum(most, least[:, seen:seen + FRAME], out=most)
+        seen = WIDTHS[s - 1][0]
+        ok = most < s
         if ok.mean() < RARE:
             break
-        choice[ok] = s
-        taken[ok] = np.minimum(count, left)[ok]
-    choice, taken = choice.reshape(-1), taken.reshape(-1)
-    steps = taken.tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at += steps[at]
-    starts = np.array(starts, dtype=np.int64)
-    sel, num = choice[starts], taken[starts]
+        np.putmask(choice, ok, s)
+    starts = _starts(COUNTS[choice], n)
+    sel = choice.reshape(-1)[starts]
     words = sel.astype(np.uint64) << np.uint64(60)
+    flat, places = grid.reshape(-1), starts + starts // FRAME * WIDTHS[0][0]
     for s in range(1, len(WIDTHS) + 1):
         count, bits = WIDTHS[s - 1]
         mine = np.nonzero(sel == s)[0]
-        for j in range(count):
-            mine = mine[num[mine] > j]
-            if not len(mine):
-                break
-            words[mine] |= ids[starts[mine] + j] << np.uint64(bits * j)
+        if len(mine):
+            at = places[mine]
+            held = words[mine]
+            for j in range(count):
+                held |= flat[at + j] << np.uint64(bits * j)
+            words[mine] = held
     raw = np.nonzero(sel == ESCAPE)[0]
     words[raw] |= np.arange(len(raw), dtype=np.uint64)
     frames = np.searchsorted(starts, np.arange(0, n, FRAME)).astype(np.uint32)
     return words, frames, ids[starts[raw]]
 
 
+def _starts(counts: np.ndarray, n: int) -> np.ndarray:
+    """Places under ``n`` at which words begin, if one at a place of a frame (row) takes so many ids, none behind the frame.
+
+    All frames go on by a word at once.
+    """
+    rows = len(counts)
+    steps = np.zeros((rows, FRAME + 1), dtype=np.uint8)              # none at a frame's end
+    np.minimum(counts, np.minimum(FRAME - np.arange(FRAME), WIDTHS[0][0]).astype(np.uint8), out=steps[:, :-1])
+    begins = np.zeros((rows, FRAME + 1), dtype=bool)
+    flat, mark, at = steps.reshape(-1), begins.reshape(-1), np.arange(rows) * (FRAME + 1)
+    for k in range(FRAME):
+        if k % 16 == 0 and not flat[at].any():
+            break
+        mark[at] = True
+        at += flat[at]
+    return np.flatnonzero(begins[:, :-1].reshape(-1)[:n])
+
+
 def unpack(words: np.ndarray, frames: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` ids of a block: whole arrays of words at a time, by selector.
 
@@ -134,10 +159,11 @@ def _blocks(encode: Callable[[], Callable[[list[str]], list[np.ndarray]]], end_i
         names = [f.split()[0] for f in FILE.split(", ")]
         deal_no, made, before = None, 0, 0
         doc_ids, counts, held, size = [], [], [], 0
+        end = np.array([] if end_id is None else [end_id], np.uint64)
 
         def close():
             nonlocal doc_ids, counts, held, size, made, before
-            ids = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            ids = np.concatenate(held)
             words, frames, raw = pack(ids)
             row = [deal_no, made, before, doc_ids, counts, words.astype("<u8").tobytes(),
                    frames.astype("<u4").tobytes(), raw.astype("<u8").tobytes()]
@@ -156,11 +182,10 @@ def _blocks(encode: Callable[[], Callable[[list[str]], list[np.ndarray]]], end_i
                     if doc_ids:
                         yield close()
                     deal_no, made, before = block, 0, 0
-                got = ids.astype(np.uint64) if end_id is None else np.append(ids.astype(np.uint64), np.uint64(end_id))
                 doc_ids.append(doc)
-                counts.append(len(got))
-                held.append(got)
-                size += len(got)
+                counts.append(len(ids) + len(end))
+                held += [ids, end]
+                size += counts[-1]
                 if size >= IDS:
                     yield close()
         if doc_ids:
@@ -225,34 +250,43 @@ def decode_tokens(blocks: DataFrame, as_u32: bool = False) -> DataFrame:
         run, f"doc_id long, start long, n_tokens long, ids {'binary' if as_u32 else 'array<long>'}")
 
 
-#: Parts of texts that a worker remembers with their ids; with more it goes on with those of the last batch.
-REMEMBERED = 600_000
+#: Words that a worker remembers with their ids, up to twice as many for a while; the same for other parts of texts.
+REMEMBERED = 150_000
+#: Characters cut at a time, if no single text has more.
+CUT_CHARS = 1 << 21
+ID = attrgetter("id")
+#: A run of marks behind letters is a piece of its own.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Parts between ASCII white space that have a character outside Latin-1 each.
+OTHER = re.compile(r"(?<![^ \t-\r])PART(?:[ \t-\r]++PART)*+".replace("PART", r"[\x00-\x08\x0e-\x1f!-\xff]*+[^\x00-\xff][^ \t-\r]*+"))
 #: Fixed value: the pattern that words and runs of marks are cut by.
 WORDS_OR_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: A run of marks behind letters is a piece of its own.
-MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-ID = attrgetter("id")
 
 
 def library_encoder(tokenizer_path: str, remembered: int = REMEMBERED) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
     """Encoding with a file of the ``tokenizers`` library, without special tokens added.
 
-    A text is cut at ASCII white space, which no token of these files crosses, and each
-    distinct part is encoded once.  A text that holds the string of an added token goes
-    to the library whole.  Only for files whose pre-tokenizer drops white space.
+    Each distinct word or run of marks is encoded once while it is remembered.  Latin-1
+    is cut in arrays; parts between ASCII white space, which no token of these files
+    crosses, with other characters are cut by the library.  A text that holds the string
+    of an added token goes to the library whole.  Only for files whose pre-tokenizer
+    drops white space.
     """
-    def make():
-        if tokenizer_path not in _CODERS:
-            _CODERS[tokenizer_path] = Parts(tokenizer_path, remembered)
-        return _CODERS[tokenizer_path].encode
-    return make
+    return partial(_encoder, tokenizer_path, remembered)
+
+
+def _encoder(tokenizer_path: str, remembered: int) -> Callable[[list[str]], list[np.ndarray]]:
+    # an inner function would reach the workers with its own copy of _CODERS, new and empty in each task
+    if tokenizer_path not in _CODERS:
+        _CODERS[tokenizer_path] = Parts(tokenizer_path, remembered)
+    return _CODERS[tokenizer_path].encode
 
 
-class Parts(dict):
+class Parts(Memo):
     """Part of a text (bytes without white space) -> its ids as 32-bit integers; one per worker process and file."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        super().__init__()
+        super().__init__(self._part, remembered)
         import os
 
         from tokenizers import Tokenizer
@@ -261,10 +295,8 @@ class Parts(dict):
         spec = json.loads(self.whole.to_str())
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.added_normalized = [t["content"] for t in spec["added_tokens"] if t["normalized"]]
-        self.remembered = remembered
-        #: lower-case letters or a run of marks -> ids; pieces as the library cuts them -> ids
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        #: lower-case letters, a digit or a run of marks, in Latin-1 -> ids; pieces as the library cuts them -> ids
+        self.words, self.pieces = Memo(self._word, remembered), Memo(self._piece, remembered)
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         # letter runs, and marks behind them, are their own pieces; the normalizer changes but their case
         self.plain = ([x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed"
@@ -274,60 +306,64 @@ class Parts(dict):
         if self.plain:
             self.normalize, self.cut = self.whole.normalizer.normalize_str, self.whole.pre_tokenizer.pre_tokenize_str
 
-    def __missing__(self, part: bytes) -> bytes:
-        if not self.plain:
-            ids = array("I", self.whole.encode(part.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids).tobytes()
-        else:
-            stem = part.lower().rstrip(MARKS)
-            if not stem.isalpha():                       # not ASCII letters with nothing but marks behind them
-                ids = self._other(part)
-            else:
-                words, mark = self.words, part[len(stem):]
-                ids = words.get(stem) or self._word(stem)
-                if mark:
-                    ids += words.get(mark) or self._word(mark)
-        self[part] = ids
-        return ids
-
-    def _other(self, part: bytes) -> bytes:
+    def _part(self, part: bytes) -> bytes:
         s = part.decode("utf-8", "surrogatepass")
+        if not self.plain:
+            return array("I", self.whole.encode(s, add_special_tokens=False).ids).tobytes()
         # below this no letter has a mark that normalizing could join to it, and all have the one lower case
         if max(s) < "\u0250":
-            low = s.lower().encode()
+            low = s.lower()
             stem = low.rstrip(MARKS)
-            if stem.decode().isalpha():
-                words, mark = self.words, low[len(stem):]
-                ids = words.get(stem) or self._word(stem)
-                return ids + (words.get(mark) or self._word(mark)) if mark else ids
-        pieces = self.pieces
-        return b"".join([pieces.get(p) or self._piece(p) for p, _ in self.cut(self.normalize(s))])
+            if stem.isalpha():                           # letters with nothing but marks behind them
+                mark = low[len(stem):]
+                return self.pieces[stem.encode().decode("latin-1").translate(self.letters)] + (self.pieces[mark] if mark else b"")
+        return b"".join([self.pieces[p] for p, _ in self.cut(self.normalize(s))])
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces[piece] = array("I", map(ID, self.tokenize(piece))).tobytes()
-        return ids
+        return array("I", map(ID, self.tokenize(piece))).tobytes()
 
     def _word(self, low: bytes) -> bytes:
-        """Ids of lower-case letters or of a run of marks, whose bytes the byte-level letters may spell anew."""
-        shown = low.decode() if low.isascii() else low.decode("latin-1").translate(self.letters)
-        ids = self.words[low] = array("I", map(ID, self.tokenize(shown))).tobytes()
-        return ids
+        """Ids of lower-case letters, a digit or a run of marks, whose bytes the byte-level letters may spell anew."""
+        shown = low.decode("latin-1")
+        if not (low.isascii() and shown.isprintable()):
+            shown = shown.encode().decode("latin-1").translate(self.letters)
+        return array("I", map(ID, self.tokenize(shown))).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out, known = [], self.__getitem__
+        # for each text its ids, or places among the stretches of Latin-1 between the ids of other parts
+        lows, out = [], []
         for t in texts:
             if self.has_added(t):
-                out.append(np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4"))
+                out.append([np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()])
+            elif not self.plain:
+                out.append(list(map(self.__getitem__, t.encode("utf-8", "surrogatepass").split())))
             else:
-                out.append(np.frombuffer(b"".join(map(known, t.encode("utf-8", "surrogatepass").split())), "<u4"))
-        if len(self) > self.remembered:
-            used = set().union(*[t.encode("utf-8", "surrogatepass").split() for t in texts])
-            kept = {w: self[w] for w in used if w in self}
-            self.clear()
-            self.words.clear()
-            self.pieces.clear()
-            if len(kept) <= self.remembered // 2:
-                self.update(kept)
-        return out
+                out.append([])
+                for low, parts in _stretches(t):
+                    if low:
+                        out[-1].append(len(lows))
+                        lows.append(low)
+                    out[-1].extend(map(self.__getitem__, parts.split()))
+        ids = [got for group in _groups(lows) for got in self._latin(group)]
+        return [ids[x[0]] if len(x) == 1 and isinstance(x[0], int) else
+                np.frombuffer(b"".join([ids[i].tobytes() if isinstance(i, int) else i for i in x]), "<u4") for x in out]
+
+    def _latin(self, lows: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts of ``latin_lower``: their distinct pieces are looked up, all others copied by Arrow."""
+        # a line feed, which is none of their characters, parts the texts
+        pieces, begins = cut_latin(b"\n".join(lows))
+        if not len(pieces):
+            return [np.zeros(0, "<u4") for _ in lows]
+        upto = np.searchsorted(begins, np.cumsum([len(low) + 1 for low in lows])).tolist()
+        coded = pieces.dictionary_encode()
+        _, places, chars = coded.dictionary.buffers()
+        places = np.frombuffer(places, np.int32)[:len(coded.dictionary) + 1]
+        distinct = np.insert(np.frombuffer(chars, np.uint8)[:places[-1]], places[1:-1], 32).tobytes().split(b" ")
+        ids = pa.array(list(map(self.words.__getitem__, distinct)), pa.large_binary()).take(coded.indices)
+        _, places, values = ids.buffers()
+        places = np.frombuffer(places, np.int64)[:len(ids) + 1] // 4
+        values = np.frombuffer(values, "<u4", places[-1])
+        return [values[places[a]:places[b]] for a, b in zip([0, *upto], upto)]
 
     def has_added(self, text: str) -> bool:
         for a in self.added:
@@ -343,4 +379,83 @@ def _byte_letters() -> str:
     return "".join([chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)])
 
 
+BLANK, LETTER, MARK, DIGIT = range(4)
+
+
+def _latin_tables() -> tuple[bytes, bytes, bytes]:
+    """Latin-1 characters in lower case, blanks for white space; their kinds; whether a piece begins between two kinds (4 * first + second)."""
+    low, kinds = bytearray(range(256)), bytearray(256)
+    for i in range(256):
+        c = chr(i)
+        white = c in "\t\n\v\f\r \x85\xa0"
+        low[i] = 32 if white else ord(c.lower())
+        kinds[i] = BLANK if white else {"L": LETTER, "N": DIGIT}.get(unicodedata.category(c)[0], MARK)
+    begins = bytes(bool(b and (a != b or b == DIGIT)) for a in range(4) for b in range(4))
+    return bytes(low), bytes(kinds), begins.ljust(256, b"\0")
+
+
+LOWER, KINDS, BEGINS = _latin_tables()
+#: Letters that are a piece with the apostrophe before them, alone or with the second.
+ALONE, FIRST = b"stmd", [b"re", b"ve", b"ll"]
+
+
+def latin_lower(text: str) -> bytes | None:
+    """A text of Latin-1 characters in lower case, blanks for white space; None for other texts."""
+    try:
+        return text.encode("latin-1").translate(LOWER)
+    except UnicodeEncodeError:
+        return None
+
+
+def _stretches(text: str) -> Iterator[tuple[bytes, bytes]]:
+    """A text as stretches of ``latin_lower`` and the parts in UTF-8, with characters outside Latin-1, behind each."""
+    if (low := latin_lower(text)) is not None:
+        yield low, b""
+        return
+    at = 0
+    for m in OTHER.finditer(text):
+        yield latin_lower(text[at:m.start()]).strip(), m[0].encode("utf-8", "surrogatepass")
+        at = m.end()
+    yield latin_lower(text[at:]).strip(), b""
+
+
+def _groups(lows: list[bytes]) -> Iterator[list[bytes]]:
+    group, size = [], 0
+    for low in lows:
+        group.append(low)
+        size += len(low)
+        if size >= CUT_CHARS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def cut_latin(low: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of ``WORDS_OR_MARKS`` in ``low`` and the places where they begin."""
+    n = len(low)
+    chars = np.frombuffer(low, np.uint8)
+    kind = np.frombuffer(low.translate(KINDS), np.uint8)
+    solid = kind != BLANK
+    begins = np.zeros(n + 3, dtype=bool)
+    begins[:1] = True
+    begins[1:n] = np.frombuffer((kind[:-1] * np.uint8(4) + kind[1:]).tobytes().translate(BEGINS), bool)
+    marks = np.flatnonzero(chars == ord("'"))
+    if len(marks):
+        # an apostrophe that begins a piece takes the letters of a short form with it
+        marks = marks[(marks == 0) | (kind[marks - 1] != MARK)]
+        after = np.frombuffer(low + b"  ", np.uint8)
+        one, two = after[marks + 1], after[marks + 2]
+        alone = np.isin(one, np.frombuffer(ALONE, np.uint8))
+        both = np.any([(one == a) & (two == b) for a, b in FIRST], axis=0)
+        for its, size in ((marks[alone], 2), (marks[both], 3)):
+            begins[its + 1] = False
+            begins[its + size] = True
+    begins = begins[:n] & solid
+    chars, places = chars[solid], np.flatnonzero(begins[solid])
+    places = np.append(places, len(chars)).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(chars)])
+    return pieces, np.flatnonzero(begins)
+
+
 _CODERS: dict[str, Parts] = {}

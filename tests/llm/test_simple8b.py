@@ -120,3 +120,66 @@ def test_other_files_of_the_library(tmp_path):
     path = str(tmp_path / "t.json")
     other.save(path)
     assert simple8b.library_encoder(path)()(["a b,c  a", ""])[0].tolist() == [0, 1, 2, 2, 0]
+
+
+def test_memory_is_bounded_within_a_batch_too(tok):
+    encoder = simple8b.Parts(PATH, remembered=100)
+    tokenize, most = encoder.tokenize, 0
+
+    def spied(piece):
+        nonlocal most
+        most = max(most, len(encoder) + len(encoder.words))
+        return tokenize(piece)
+    encoder.tokenize = spied
+    text = " ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'e' * (i // 1000)}"
+                    for i in range(5000))
+    assert encoder.encode([text])[0].tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert most <= 200
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="'''stmdrevlA1²ªÉ×\xa0\x85\x1c\x00. \n€", max_size=12), max_size=5))
+def test_pieces_of_many_texts_are_the_librarys(tok, texts):
+    got = simple8b.library_encoder(PATH)()(texts)
+    assert [g.tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_texts_over_the_length_cut_at_a_time(tok, monkeypatch):
+    monkeypatch.setattr(simple8b, "CUT_CHARS", 30)
+    texts = ["a plain text of forty letters, it isn't short", "", "b", "it's", "日本 it's", "'re", " ", "c\n" * 20, "d"]
+    got = simple8b.Parts(PATH).encode(texts)
+    assert [g.tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_worker_loads_the_file_once(spark):
+    """A task gets the encoder pickled; each one made a tokenizer of its own."""
+    from pyspark import cloudpickle
+    sent = cloudpickle.dumps(simple8b.library_encoder(PATH))
+    first, second = (cloudpickle.loads(sent)().__self__ for _ in range(2))
+    assert first is second is simple8b._CODERS[PATH]
+
+    encode = simple8b.library_encoder(PATH)
+
+    def loaded(batches):
+        import os
+
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()], pa.int64()), pa.array([id(encode().__self__)], pa.int64())],
+                                             names=["worker", "coder"])
+    rows = spark.range(12, numPartitions=12).mapInArrow(loaded, "worker long, coder long").collect()
+    assert len({(r.worker, r.coder) for r in rows}) == len({r.worker for r in rows})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aBé €’łΣİ日́ 　.'s \n\x85\x1c", max_size=16), max_size=4))
+def test_texts_with_parts_outside_latin(tok, texts):
+    got = simple8b.library_encoder(PATH)()(texts)
+    assert [g.tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_character_outside_latin_leaves_the_other_words_in_arrays(tok):
+    encoder = simple8b.Parts(PATH)
+    text = "plain words and more — ‘quoted’ ones, and again words"
+    assert encoder.encode([text])[0].tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert sorted(k.decode() for k in encoder) == ["—", "‘quoted’"]
