@@ -32,3 +32,15 @@ def test_all_lotteries_pass_the_pages(spark):
     for query in ("extract_result_rows_all", "update_from_pages_all"):
         got = spark_query(query)(spark, SF_SMALL).collect()
         assert sorted((name[r.lottery], str(r.fecha), r.result, r.series) for r in got) == want
+
+
+def test_rows_without_cells_are_skipped_wherever_the_text_is_filtered(spark):
+    """A header of ``th`` cells, a row of no cells and one of one cell yield nothing and end no query."""
+    table = ("<table><tr><th>Fecha</th><th>N</th><th>S</th></tr><tr></tr><tr><td>05/01/2024</td></tr>"
+             "<tr><td>06/01/2024</td><td>0456</td><td>Leo</td></tr></table>")
+    pages = spark.createDataFrame([(1, "SOL", table * 2), (2, "SOL", "<table></table>" * 2), (3, "LUNA", "<table><tr></tr></table>" * 2)],
+                                  "page_id bigint, lottery string, html string")
+    rows = extract_result_rows(pages)
+    assert [(r.page_id, str(r.fecha), r.result, r.series) for r in rows.where("result > 0 and series <> ''").collect()] \
+        == [(1, "2024-01-06", 456, "LEO")]
+    assert rows.where("fecha > date'2024-01-01'").count() == 1
