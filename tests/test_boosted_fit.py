@@ -74,3 +74,10 @@ def test_best_split_is_that_of_all_pairs():
     assert gain[0] == pytest.approx(best) and f[0] == 0 and own[0] == pytest.approx(s.sum() / n.sum())
     at = int(b[0]) + 1
     assert left[0] == pytest.approx(s[:at].sum() / n[:at].sum()) and right[0] == pytest.approx(s[at:].sum() / n[at:].sum())
+
+
+def test_the_boosted_query_does_the_rounds_of_a_boosted_candidate():
+    """The reference draws 50 to 300 rounds; one round was left of them."""
+    from drawseries.plans import q_model
+    cand = M.draw_candidates(q_model.BOOSTED, 1, rng_seed=1)[0]
+    assert cand.algorithm == "gbt" and cand.n_estimators >= 50
